@@ -1,4 +1,7 @@
-"""Keyed lookups of requests against task state."""
+"""Keyed lookups of requests against task state.
+
+``unique`` promises that the request key is a primary key; see ``lookup_join``.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,14 +11,14 @@ from reelstate.operators.skew import lookup_join, running_last, with_running
 
 
 def answer(requests: DataFrame, state: DataFrame, key: str = "task_id",
-           limit: int | None = None) -> DataFrame:
+           unique: bool = False, limit: int | None = None) -> DataFrame:
     """Every request with ``code`` and ``message`` beside the record's columns.
 
     ``state`` holds one row per key. An unknown key is a 404 row whose record columns
     are NULL.
     """
     known = state.withColumn("_known", F.lit(True))
-    return with_reply_code(lookup_join(requests, known, key, "left", limit))
+    return with_reply_code(lookup_join(requests, known, key, "left", unique, limit))
 
 
 def with_reply_code(joined: DataFrame) -> DataFrame:
@@ -27,14 +30,30 @@ def with_reply_code(joined: DataFrame) -> DataFrame:
     }).drop("_known")
 
 
+def answer_documents(requests: DataFrame, documents: DataFrame, tasks: DataFrame,
+                     key: str = "task_id", unique: bool = False,
+                     limit: int | None = None) -> DataFrame:
+    """Every request with its task's result documents, one row per document.
+
+    Only a not-found request has no document. Known and unknown requests are joined
+    apart: an inner join lets adaptive execution split a skewed side, whichever it is,
+    where an outer join could split the requests only. ``tasks`` lists the known keys, as
+    slim as it can be had; it may repeat them.
+    """
+    known = documents.withColumn("_known", F.lit(True))
+    found = lookup_join(requests, known, key, "inner", unique, limit)
+    missing = unknown_requests(requests, tasks, key, unique, limit)
+    return with_reply_code(found.unionByName(missing, allowMissingColumns=True))
+
+
 def known_requests(requests: DataFrame, tasks: DataFrame, key: str = "task_id",
-                   limit: int | None = None) -> DataFrame:
-    return lookup_join(requests, tasks.select(key).distinct(), key, "left_semi", limit)
+                   unique: bool = False, limit: int | None = None) -> DataFrame:
+    return lookup_join(requests, tasks.select(key).distinct(), key, "left_semi", unique, limit)
 
 
 def unknown_requests(requests: DataFrame, tasks: DataFrame, key: str = "task_id",
-                     limit: int | None = None) -> DataFrame:
-    return lookup_join(requests, tasks.select(key).distinct(), key, "left_anti", limit)
+                     unique: bool = False, limit: int | None = None) -> DataFrame:
+    return lookup_join(requests, tasks.select(key).distinct(), key, "left_anti", unique, limit)
 
 
 def state_as_of(polls: DataFrame, events: DataFrame, fields: list[str],
@@ -57,13 +76,13 @@ def state_as_of(polls: DataFrame, events: DataFrame, fields: list[str],
 
 
 def with_source(tasks: DataFrame, manifest: DataFrame, key: str,
-                limit: int | None = None) -> DataFrame:
+                unique: bool = False, limit: int | None = None) -> DataFrame:
     """Tasks whose source file landed."""
-    return known_requests(tasks, manifest, key, limit)
+    return known_requests(tasks, manifest, key, unique, limit)
 
 
 def dangling_outputs(tasks: DataFrame, manifest: DataFrame, key: str,
-                     limit: int | None = None) -> DataFrame:
+                     unique: bool = False, limit: int | None = None) -> DataFrame:
     """Completed tasks that name an output although their source never landed."""
     completed = tasks.filter(F.col("status") == S.COMPLETED)
-    return unknown_requests(completed, manifest, key, limit)
+    return unknown_requests(completed, manifest, key, unique, limit)

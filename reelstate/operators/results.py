@@ -49,9 +49,10 @@ def flatten_results(results: DataFrame, keep: list[str], keep_empty: bool = Fals
     """
     explode = F.posexplode_outer if keep_empty else F.posexplode
     flat = results.select(*keep, "part", explode("detections").alias("_pos", "_detection"))
+    position = F.coalesce(F.col("part"), F.lit(0)) * part_size + F.col("_pos")
     return flat.select(
         *keep,
-        (F.col("part") * part_size + F.col("_pos")).cast("long").alias("pos"),
+        position.cast("long").alias("pos"),
         *[F.col(f"_detection.{name}").alias(name) for name in DETECTION_FIELDS],
     )
 
@@ -72,12 +73,3 @@ def detection_table(flat: DataFrame, key: str = "task_id") -> DataFrame:
 def result_metadata(state: DataFrame, key: str = "task_id") -> DataFrame:
     """File name and completion time of a result, the rest of the document unread."""
     return state.select(key, "result.filename", "result.processed_at")
-
-
-def attach_results(answers: DataFrame, results: DataFrame, key: str = "task_id") -> DataFrame:
-    """Further result parts of answered requests.
-
-    The first part comes with the lookup; only tasks beyond one document have more. The
-    inner join lets adaptive execution split a skewed side, whichever it is.
-    """
-    return answers.join(results.filter("part > 0"), key)

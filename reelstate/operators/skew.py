@@ -152,13 +152,19 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], columns: list
 
 
 def lookup_join(requests: DataFrame, table: DataFrame, key: str, how: str,
-                limit: int | None = None) -> DataFrame:
-    """Join requests to a table that holds each key once (left, semi or anti).
+                unique: bool = False, limit: int | None = None) -> DataFrame:
+    """Join requests to a table of keyed rows (left, inner, semi or anti).
+
+    The table should hold a key at most a few times, unless the join is inner.
+    ``unique`` says that no two requests share a key: then none is hot, and the plain
+    join is the whole plan.
 
     Hot request keys are salted: their rows spread over as many copies of the table row
     as the key has pieces. The salt is a hash of the whole request, so a replay repeats
     it; a request id among the columns tells requests of one key apart.
     """
+    if unique:
+        return requests.join(table, key, how)
     pieces = hot_keys(requests, [key], limit)
     cold, hot = split_hot(requests, [key], pieces)
     salt = F.pmod(F.xxhash64(*requests.columns), F.col("_hot.pieces"))

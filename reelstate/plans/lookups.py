@@ -22,14 +22,20 @@ NOT_FOUND = f"'{S.NOT_FOUND_MESSAGE}'"
 ))
 def flagship_request_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply code and flattened detections of every requested task."""
-    documents = results.assemble_results(standins.detections(spark, sf_dir))
-    answers = lookup.answer(
-        standins.requests(spark, sf_dir), documents.filter("part = 0")
+    answers = answered_documents(spark, sf_dir)
+    return results.flatten_results(
+        answers, ["task_id", "code", "reply_message"], keep_empty=True
+    )
+
+
+def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's request with the result documents of its task."""
+    return lookup.answer_documents(
+        standins.requests(spark, sf_dir),
+        results.assemble_results(standins.detections(spark, sf_dir)),
+        _line_tasks(spark, sf_dir),
+        unique=True,
     )
-    keep = ["task_id", "code", "reply_message"]
-    first = results.flatten_results(answers, keep, keep_empty=True)
-    more = results.attach_results(answers.filter("code = 200").select(*keep), documents)
-    return first.unionByName(results.flatten_results(more, keep))
 
 
 @query(sql.with_tables(
@@ -56,14 +62,14 @@ def _line_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT o_orderkey AS task_id FROM orders WHERE EXISTS ({_TASKS})")
 def j2_known_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.known_requests(
-        standins.requests(spark, sf_dir), _line_tasks(spark, sf_dir)
+        standins.requests(spark, sf_dir), _line_tasks(spark, sf_dir), unique=True
     )
 
 
 @query(f"SELECT o_orderkey AS task_id FROM orders WHERE NOT EXISTS ({_TASKS})")
 def j2_unknown_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.unknown_requests(
-        standins.requests(spark, sf_dir), _line_tasks(spark, sf_dir)
+        standins.requests(spark, sf_dir), _line_tasks(spark, sf_dir), unique=True
     )
 
 
@@ -105,11 +111,11 @@ _DOCUMENT_TASKS = ("SELECT doc_id, source, CASE WHEN lang = 'fr' THEN 'processin
        "WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id)")
 def j4_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = standins.table(spark, sf_dir, "labels")
-    return lookup.with_source(_document_tasks(spark, sf_dir), manifest, "doc_id")
+    return lookup.with_source(_document_tasks(spark, sf_dir), manifest, "doc_id", unique=True)
 
 
 @query(f"SELECT t.* FROM ({_DOCUMENT_TASKS}) t WHERE status = 'completed' "
        "AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id)")
 def j4_dangling_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = standins.table(spark, sf_dir, "labels")
-    return lookup.dangling_outputs(_document_tasks(spark, sf_dir), manifest, "doc_id")
+    return lookup.dangling_outputs(_document_tasks(spark, sf_dir), manifest, "doc_id", unique=True)

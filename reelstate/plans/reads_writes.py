@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from reelstate import schemas as S
 from reelstate.functions import documents, text
 from reelstate.operators import records, results
-from reelstate.operators.lookup import answer
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import query
+from reelstate.plans.lookups import answered_documents
 from reelstate.plans.scalars import REPLY_LINES_SQL, order_replies
 from reelstate.session import scratch_path
 from reelstate.sources import event_log, landing, replies
@@ -57,29 +57,23 @@ def io3_event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def io4_reply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result replies written as JSON lines, then scanned with the declared schema."""
-    parts = results.assemble_results(standins.detections(spark, sf_dir))
-    first = answer(standins.requests(spark, sf_dir), parts.filter("part = 0"))
-    later = parts.filter("part > 0").withColumns({
-        "code": F.lit(S.OK_CODE), "reply_message": F.lit(None).cast("string"),
-    })
-    answers = first.unionByName(later)
+    answers = answered_documents(spark, sf_dir)
     result = documents.result(
         F.concat(F.lit("clip_"), F.col("task_id").cast("string"), F.lit(".mp4")),
-        F.lit("00:30"), F.lit("1920x1080"), F.col("part").cast("string"), F.col("detections"),
+        F.lit("00:30"), F.lit("1920x1080"), F.lit("2026-03-06 14:00:00"), F.col("detections"),
     )
-    full = answers.select("code", "reply_message", F.col("task_id").cast("string"),
-                          F.lit(S.COMPLETED).alias("status"), result.alias("result"))
-    path = scratch_path(spark, "replies")
-    replies.write_replies(
-        records.reply_documents(full, ["task_id", "status", "result"]).withColumn(
-            "task_id", F.col("reply.data.task_id")
-        ), path,
+    full = answers.select(
+        F.col("task_id").cast("string"), "code", "reply_message", "part",
+        F.lit(S.COMPLETED).alias("status"), result.alias("result"),
     )
-    read = replies.read_replies(spark, path).select(
-        "code", "data.task_id", F.col("data.result.processed_at").cast("long").alias("part"),
-        "data.result.detections",
+    sent = records.reply_documents(
+        full.withColumn("key", F.col("task_id")), ["task_id", "status", "part", "result"]
     )
-    return results.flatten_results(read, ["task_id", "code"], keep_empty=True)
+    path = scratch_path(spark, "replies")
+    replies.write_replies(sent, path, "key")
+    read = replies.read_replies(spark, path, sent.schema["reply"].dataType)
+    flat = read.select("code", "data.task_id", "data.part", "data.result.detections")
+    return results.flatten_results(flat, ["task_id", "code"], keep_empty=True)
 
 
 @query(f"SELECT value FROM ({REPLY_LINES_SQL})")

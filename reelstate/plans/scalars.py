@@ -9,6 +9,7 @@ from reelstate.operators import records, results
 from reelstate.operators.lookup import answer
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import query
+from reelstate.plans.lookups import answered_documents
 from reelstate.plans.projections import completed_uploads
 
 
@@ -152,17 +153,14 @@ def s_i1_task_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def s_n1_s_n2_build_and_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result structs built, then flattened in the form that keeps empty tasks."""
-    parts = results.assemble_results(standins.detections(spark, sf_dir))
-    answers = answer(standins.requests(spark, sf_dir), parts.filter("part = 0"))
     result = documents.result(
         F.lit("clip.mp4"), F.lit("00:30"), F.lit("1920x1080"), F.lit("2026-03-06 14:00:00"),
         F.col("detections"),
     )
-    first = answers.select("task_id", "part", result.alias("result"))
-    first = first.select("task_id", "part", "result.detections")
-    flat = results.flatten_results(first, ["task_id"], keep_empty=True)
-    rest = results.flatten_results(parts.filter("part > 0"), ["task_id"])
-    return flat.unionByName(rest)
+    built = answered_documents(spark, sf_dir).select("task_id", "part", result.alias("result"))
+    return results.flatten_results(
+        built.select("task_id", "part", "result.detections"), ["task_id"], keep_empty=True
+    )
 
 
 _REPLY = f"""
@@ -183,7 +181,7 @@ def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = lines.groupBy(F.col("l_orderkey").alias("task_id")).agg(
         F.count(F.lit(1)).alias("n_detections")
     ).withColumns({"status": F.lit(S.COMPLETED), "progress": F.lit(S.PROGRESS_LAST)})
-    answers = answer(standins.requests(spark, sf_dir), tasks)
+    answers = answer(standins.requests(spark, sf_dir), tasks, unique=True)
     return records.reply_documents(answers, ["status", "progress", "n_detections"])
 
 

@@ -93,7 +93,9 @@ def t5_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("task_id")
     )
     merged = state.merged_state(standins.task_events(spark, sf_dir), ["status", "progress"])
-    return _appended(progress.answer_stream(requests, merged.drop("last_seq")), "answers")
+    table = scratch_path(spark, "state")
+    merged.drop("last_seq").write.parquet(table)
+    return _appended(progress.answer_stream(requests, spark.read.parquet(table)), "answers")
 
 
 @query(_STATE)

@@ -16,8 +16,9 @@ def percent_stream(transfers: DataFrame) -> DataFrame:
 def answer_stream(requests: DataFrame, state: DataFrame, key: str = "task_id") -> DataFrame:
     """Requests of a stream joined to the state table, as of each micro-batch.
 
-    The state is read anew for every batch. Spark broadcasts it when its size allows and
-    else shuffles both sides, where adaptive execution splits a hot request key.
+    ``state`` should be a stored table, for every batch reads it anew. Spark broadcasts it
+    when its size allows and else shuffles both sides; such a stream keeps no state, so
+    adaptive execution serves it too and splits a hot request key.
     """
     known = state.withColumn("_known", F.lit(True))
     return with_reply_code(requests.join(known, key, "left"))
