@@ -1,0 +1,153 @@
+"""Hot keys: a third of the rows on one key, and every result unchanged."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from compare import spark_rows
+from reelstate.operators import lookup, results, skew, state
+
+LIMIT = 50
+
+
+@pytest.fixture(scope="module")
+def events(spark, sf_dir):
+    """Given events with a third of them moved to one task, in no useful order."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    task = F.when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("user_id"))
+    return rows.select(
+        task.alias("task_id"), F.col("event_id").alias("seq"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.when(F.col("value") > 5, F.col("event_type")).alias("status"),
+        F.when(F.col("value") < 9, F.get_json_object("props", "$.k").cast("int")).alias("progress"),
+    ).cache()
+
+
+def same(left, right):
+    assert spark_rows(left) == spark_rows(right)
+
+
+def replay(events):
+    """Field by field overwriting, as a plain loop."""
+    kept, history = {}, {}
+    for row in sorted(events.collect(), key=lambda r: r.seq):
+        record = kept.setdefault(row.task_id, {"status": None, "progress": None})
+        record.update({f: row[f] for f in record if row[f] is not None})
+        history[row.seq] = dict(record)
+    return kept, history
+
+
+def test_hot_keys_are_found(events):
+    hot = skew.hot_keys(events, ["task_id"], LIMIT * 4)
+    assert [row.task_id for row in hot.collect()] == [7]
+
+
+def test_merge_and_history_match_replay(events):
+    kept, history = replay(events)
+    merged = state.merged_state(events, ["status", "progress"])
+    assert {r.task_id: {"status": r.status, "progress": r.progress}
+            for r in merged.collect()} == kept
+    for limit in (None, LIMIT, 3):
+        rows = state.state_history(events, ["status", "progress"], limit=limit).collect()
+        assert {r.seq: {"status": r.status, "progress": r.progress} for r in rows} == history
+        assert len(rows) == len(history)
+
+
+def test_attempts(events):
+    reset = F.col("status") == "signup"
+    same(state.number_attempts(events, reset), state.number_attempts(events, reset, limit=LIMIT))
+
+
+def test_as_of(events):
+    polls = events.filter("seq % 5 = 0").select("task_id", "at", F.col("seq").alias("request_id"))
+    log = events.filter("seq % 5 <> 0")
+    found = lookup.state_as_of(polls, log, ["status", "progress"], limit=LIMIT)
+    same(found, lookup.state_as_of(polls, log, ["status", "progress"]))
+
+    rows = log.collect()
+    for poll in found.collect():
+        seen = sorted((r.at, r.seq, r.status) for r in rows
+                      if r.task_id == poll.task_id and r.at <= poll.at and r.status is not None)
+        assert poll.status == (seen[-1][2] if seen else None)
+
+
+def test_poll_sees_events_of_its_own_instant(spark):
+    polls = spark.createDataFrame([(1, 10, 5)], "task_id INT, at BIGINT, request_id INT")
+    log = spark.createDataFrame(
+        [(1, 10, 99, "late"), (1, 11, 1, "future")], "task_id INT, at BIGINT, seq BIGINT, status STRING")
+    assert lookup.state_as_of(polls, log, ["status"]).first().status == "late"
+
+
+@pytest.mark.parametrize("order, split_on", [
+    (["at", "seq"], "at"), (["progress", "seq"], "progress"), (["status", "seq"], "seq"),
+])
+def test_positions(events, order, split_on):
+    """Also with NULLs in the order and in the column that splits."""
+    plain = results.with_positions(events, order, split_on)
+    same(plain, results.with_positions(events, order, split_on, limit=LIMIT))
+    same(plain, results.with_positions(events, order, split_on, limit=2))
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookups(events, how):
+    table = events.filter("task_id <> 3").groupBy("task_id").agg(F.max("seq").alias("last_seq"))
+    requests = events.select("task_id", "seq")
+    plain = requests.join(table, "task_id", how)
+    same(plain, skew.lookup_join(requests, table, "task_id", how, limit=LIMIT))
+    same(plain, skew.lookup_join(requests, table, "task_id", how))
+    same(plain, skew.lookup_join(requests, table, "task_id", how, unique=True))
+
+
+def test_null_request_key_is_not_found(spark, events):
+    requests = spark.createDataFrame([(1, None)], "request_id INT, task_id BIGINT")
+    row = lookup.answer(requests, state.merged_state(events, ["status"])).first()
+    assert (row.code, row.reply_message) == (404, "任务不存在")
+
+
+def test_known_and_unknown_cover_all(events):
+    tasks = events.filter("task_id % 2 = 1").select("task_id")
+    parts = [f(events, tasks, limit=LIMIT) for f in (lookup.known_requests, lookup.unknown_requests)]
+    same(parts[0].unionByName(parts[1]), events)
+
+
+def test_blocks_stay_small(spark, events):
+    """A hot key is cut into pieces near the limit, not left whole."""
+    hot = skew.hot_keys(events, ["task_id"], LIMIT, "seq")
+    _, rows = skew.split_hot(events, ["task_id"], hot)
+    piece = F.expr("(seq - _hot.low) div _hot.width")
+    sizes = rows.groupBy("task_id", piece.alias("piece")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * LIMIT
+
+
+def test_documents_in_parts(events):
+    flat = results.with_positions(events, ["seq"], "seq").select(
+        "task_id", "pos", F.col("at").cast("string").alias("timestamp"),
+        F.col("seq").cast("string").alias("horse_id"), F.lit("p").alias("person_name"),
+        F.lit("0.9_0.8").alias("confidence"))
+    parts = results.assemble_results(flat, part_size=7)
+    assert parts.agg(F.max(F.size("detections"))).first()[0] == 7
+    same(results.flatten_results(parts, ["task_id"], part_size=7), flat)
+
+
+def test_document_lookup_with_hot_tasks_and_requests(events):
+    flat = results.with_positions(events, ["seq"], "seq").select(
+        "task_id", "pos", F.lit("00:01").alias("timestamp"), F.lit("H").alias("horse_id"),
+        F.lit("p").alias("person_name"), F.lit("0.9_0.8").alias("confidence"))
+    known = flat.filter("task_id <> 3")
+    parts = results.assemble_results(known, part_size=40)
+    requests = events.filter("seq % 20 = 0").select("seq", "task_id")
+    for limit in (None, 5):
+        answers = lookup.answer_documents(requests, parts, known, limit=limit)
+        found = results.flatten_results(answers, ["seq", "task_id", "code"], True, part_size=40)
+        expected = requests.join(known, "task_id", "left").select(
+            "seq", "task_id", F.when(F.col("pos").isNull(), 404).otherwise(200).alias("code"),
+            "pos", *results.DETECTION_FIELDS)
+        same(found, expected)
+
+
+def test_empty_documents(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, [])], "task_id INT, part BIGINT, detections ARRAY<STRUCT<timestamp: STRING, "
+                      "horse_id: STRING, person_name: STRING, confidence: STRING>>")
+    assert results.flatten_results(rows, ["task_id"]).count() == 0
+    kept = results.flatten_results(rows, ["task_id"], keep_empty=True).collect()
+    assert [(r.task_id, r.pos, r.horse_id) for r in kept] == [(1, None, None)]
