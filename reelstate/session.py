@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import functools
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local master without the setting gets a fresh temporary folder. A cluster
+    A local master without the setting gets one temporary folder per process. A cluster
     without it is an error: executors do not share a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,9 +41,12 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="reelstate-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _temporary_root()
+
+
+@functools.cache
+def _temporary_root() -> str:
+    return tempfile.mkdtemp(prefix="reelstate-")
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

@@ -14,7 +14,8 @@ def read_landing(spark: SparkSession, folder: str, glob: str | None = None,
     """``task_id, filename, path, length, modificationTime`` of the files in a folder.
 
     Only file metadata is read: ``content`` is pruned before any bytes move. Files not
-    named ``{task_id}_{filename}`` have a NULL task id.
+    named ``{task_id}_{filename}`` have a NULL task id. Spark's file sources do not list
+    empty files, so an upload without bytes is missing.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
