@@ -4,7 +4,7 @@ An event row sets some fields of a task record; NULL means the field is untouche
 ``seq`` orders the events of a task and is unique within it.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from reelstate.operators.skew import running_last, running_sum, with_running
 from reelstate.schemas import PROCESSING, UPLOADING
 
+# Allowed values of text fields, by field name.
+Enums = dict[str, Sequence[str]] | None
+
 
 def latest_value(events: DataFrame, fields: list[str], keys: Sequence[str] = ("task_id",),
-                 order: str = "seq") -> DataFrame:
-    """The value each field has in the last event of the key."""
-    return events.groupBy(*keys).agg(
-        F.max(order).alias(f"last_{order}"),
-        *[F.max_by(field, order).alias(field) for field in fields],
-    )
+                 order: str = "seq", enums: Enums = None) -> DataFrame:
+    """The value each field has in the last event of the key, NULL included."""
+    return _aggregate(events, fields, keys, order, enums, F.max_by)
 
 
 def latest_row(events: DataFrame, keys: Sequence[str] = ("task_id",), order: str = "seq") -> DataFrame:
@@ -38,8 +38,18 @@ def latest_row(events: DataFrame, keys: Sequence[str] = ("task_id",), order: str
 
 
 def merged_state(events: DataFrame, fields: list[str], keys: Sequence[str] = ("task_id",),
-                 order: str = "seq", enums: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Field-level last write wins: per field, the latest value that is not NULL.
+                 order: str = "seq", enums: Enums = None) -> DataFrame:
+    """Field-level last write wins: per field, the latest value that is not NULL."""
+    return _aggregate(events, fields, keys, order, enums, _latest_set)
+
+
+def _latest_set(field: str, order: str) -> Column:
+    return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order)))
+
+
+def _aggregate(events: DataFrame, fields: list[str], keys: Sequence[str], order: str,
+               enums: Enums, latest: Callable[[str, str], Column]) -> DataFrame:
+    """One aggregate per field, combined map-side.
 
     ``enums`` lists the allowed values of text fields. They travel as numbers, and with
     only numbers in its buffer the aggregate hashes where text would make it sort. A
@@ -47,11 +57,11 @@ def merged_state(events: DataFrame, fields: list[str], keys: Sequence[str] = ("t
     """
     enums = {name: values for name, values in (enums or {}).items() if name in fields}
     coded = events.withColumns({name: _code(name, values) for name, values in enums.items()})
-    merged = coded.groupBy(*keys).agg(
+    found = coded.groupBy(*keys).agg(
         F.max(order).alias(f"last_{order}"),
-        *[_latest_set(field, order).alias(field) for field in fields],
+        *[latest(field, order).alias(field) for field in fields],
     )
-    return merged.withColumns({
+    return found.withColumns({
         name: F.get(F.array(*[F.lit(v) for v in values]), F.col(name))
         for name, values in enums.items()
     })
@@ -66,10 +76,6 @@ def _code(name: str, values: Sequence[str]) -> Column:
     return code
 
 
-def _latest_set(field: str, order: str) -> Column:
-    return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order)))
-
-
 def phase_progress(events: DataFrame, key: str = "task_id", order: str = "seq") -> DataFrame:
     """Latest upload percent and latest processing percent, side by side."""
 

@@ -18,7 +18,8 @@ ENUMS = {"status": STATUSES}
     sql.TASK_EVENTS,
 ))
 def a1_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.latest_value(standins.task_events(spark, sf_dir), ["status", "progress"])
+    events = standins.task_events(spark, sf_dir)
+    return state.latest_value(events, ["status", "progress"], enums=ENUMS)
 
 
 @query(sql.with_tables(

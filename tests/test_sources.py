@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelstate import schemas as S
-from reelstate.operators import records, selection
+from reelstate.operators import lookup, records, selection
 from reelstate.session import scratch_root
 from reelstate.sources import event_log, landing, replies
+from reelstate.sources.state_table import write_state_table
 
 ID = "123e4567-e89b-42d3-a456-42661417400"
 FILES = {f"{ID}0_a_b.mp4": 3, f"{ID}1_clip.MOV": 7, f"{ID}3_empty.mp4": 0, f"{ID}2_notes.txt": 5, "stray.avi": 1}
@@ -115,3 +116,19 @@ def test_scratch_follows_the_setting():
     assert scratch_root(FakeSession("local[2]")) == scratch_root(FakeSession("local"))
     with pytest.raises(ValueError, match="share"):
         scratch_root(FakeSession("yarn"))
+
+
+def test_lookup_leaves_a_bucketed_state_table_in_place(spark, tmp_path):
+    state = spark.range(1000).selectExpr("id AS task_id", "'completed' AS status")
+    write_state_table(state, "stored_state", 8, path=str(tmp_path / "state"))
+    requests = spark.range(500, 1500).selectExpr("id AS request_id", "id AS task_id")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        answers = lookup.answer(requests, spark.table("stored_state"), unique=True)
+        plan = answers._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert answers.filter("code = 200").count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.sql("DROP TABLE stored_state")
