@@ -1,5 +1,7 @@
 """Streams over several micro-batches, against the batch operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,25 @@ def test_event_log_as_a_stream(spark, sf_dir, tmp_path):
     latest.upsert_stream(source, out, str(tmp_path / "c"), FIELDS, trigger=DRAIN).awaitTermination()
     expected = state.merged_state(events, FIELDS).select("task_id", "last_seq", *FIELDS)
     same(folded(spark, out), expected)
+
+
+def test_tombstone_stops_a_late_event(spark):
+    """The end of a task, then a straggler in the next batch."""
+    path, table = scratch_path(spark, "late"), scratch_path(spark, "kept")
+    schema = "task_id STRING, seq BIGINT, status STRING"
+    for row in (("a", 5, "completed"), ("a", 3, "processing")):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # the file source goes by modification time
+    changes = eviction.follow_tasks(stream(spark, path), late_milliseconds=600_000)
+    query = latest.publish_state(
+        changes, table, scratch_path(spark, "c"), {"processingTime": "1 second"})
+    try:
+        give_up = time.time() + 60
+        while query.isActive and time.time() < give_up:
+            if sum(p["numInputRows"] for p in query.recentProgress) >= 2:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    found = spark.read.schema(changes.schema).parquet(table).collect()
+    assert {(r.task_id, r.seq, r.followed) for r in found} == {("a", 5, False)}
