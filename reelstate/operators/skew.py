@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take.
 HOT_ROWS = 1_000_000
+# Pieces of one key, whose totals a single task folds.
+MAX_PIECES = 10_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None,
@@ -25,21 +27,21 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None,
 
     ``_hot.pieces`` says into how many pieces to cut the key. With ``split_on`` (an
     integral column) it is ``_hot.low`` and ``_hot.width``: cut from the lowest value on,
-    every ``width`` values.
+    every ``width`` values. The width shares the range out evenly but stays within
+    ``limit``, so that distinct values bound the rows of a piece even where they crowd;
+    beyond ``MAX_PIECES`` pieces it grows again.
     """
     limit = limit or HOT_ROWS
     rows = F.count(F.lit(1)).alias("_rows")
     bounds = [F.min(split_on).alias("_low"), F.max(split_on).alias("_high")] if split_on else []
     counted = df.filter(_not_null(keys)).groupBy(*keys).agg(rows, *bounds)
-    pieces = F.ceil(F.col("_rows") / limit)
-    if split_on:
-        span = counted.withColumn("_pieces", pieces)
-        width = F.expr("(_high - _low) div _pieces + 1")
-        cut = F.struct(F.col("_low").alias("low"), width.alias("width"))
-        counted = span.withColumn("_hot", cut)
-    else:
-        counted = counted.withColumn("_hot", F.struct(pieces.alias("pieces")))
-    return counted.filter(F.col("_rows") > limit).select(*keys, "_hot")
+    cut = counted.filter(F.col("_rows") > limit).withColumn("_pieces", F.ceil(F.col("_rows") / limit))
+    if not split_on:
+        return cut.select(*keys, F.struct(F.col("_pieces").alias("pieces")).alias("_hot"))
+    even = F.expr("(_high - _low) div _pieces + 1")
+    crowded = F.greatest(F.lit(limit).cast("long"), F.expr(f"(_high - _low) div {MAX_PIECES}"))
+    low, width = F.col("_low").alias("low"), F.least(even, crowded).alias("width")
+    return cut.select(*keys, F.struct(low, width).alias("_hot"))
 
 
 def _not_null(keys: list[str]) -> Column:

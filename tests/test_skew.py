@@ -109,13 +109,20 @@ def test_known_and_unknown_cover_all(events):
     same(parts[0].unionByName(parts[1]), events)
 
 
-def test_blocks_stay_small(spark, events):
-    """A hot key is cut into pieces near the limit, not left whole."""
+@pytest.mark.parametrize("outlier", [None, 10**9])
+def test_pieces_stay_small(events, outlier):
+    """A hot key is cut into pieces near the limit, also when one value lies far off."""
+    if outlier:
+        far = events.filter("seq = 0").withColumn("seq", F.lit(outlier).cast("long"))
+        events = events.unionByName(far)
     hot = skew.hot_keys(events, ["task_id"], LIMIT, "seq")
     _, rows = skew.split_hot(events, ["task_id"], hot)
     piece = F.expr("(seq - _hot.low) div _hot.width")
     sizes = rows.groupBy("task_id", piece.alias("piece")).count()
     assert sizes.agg(F.max("count")).first()[0] <= 2 * LIMIT
+    same(
+        state.state_history(events, ["status"]), state.state_history(events, ["status"], limit=LIMIT)
+    )
 
 
 def test_documents_in_parts(events):
