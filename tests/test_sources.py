@@ -10,7 +10,10 @@ from reelstate.sources import event_log, landing, replies
 from reelstate.sources.state_table import write_state_table
 
 ID = "123e4567-e89b-42d3-a456-42661417400"
-FILES = {f"{ID}0_a_b.mp4": 3, f"{ID}1_clip.MOV": 7, f"{ID}3_empty.mp4": 0, f"{ID}2_notes.txt": 5, "stray.avi": 1}
+FILES = {
+    f"{ID}0_a_b.mp4": 3, f"{ID}1_clip.MOV": 7, f"{ID}3_empty.mp4": 0, f"{ID}2_notes.txt": 5,
+    "stray.avi": 1,
+}
 
 
 @pytest.fixture
