@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import line_rules
+from reelstate.llm import decontaminate, line_rules
 from reelstate.llm.common import table
 
 QUERIES = {}
@@ -77,3 +77,11 @@ FROM base
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of all documents, boilerplate lines counted across documents."""
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in a window of a benchmark item."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+    return found.drop("hit_words")
