@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import decontaminate, line_rules
+from reelstate.llm import bpe, decontaminate, line_rules
 from reelstate.llm.common import table
 
 QUERIES = {}
@@ -85,3 +85,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"))
     return found.drop("hit_words")
+
+
+@query()
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded through the table of their distinct words."""
+    return bpe.encoded(table(spark, sf_dir, "documents"), with_text=False)
