@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import bpe, decontaminate, line_rules
+from reelstate.llm import bpe, decontaminate, line_rules, substrings
 from reelstate.llm.common import table
 
 QUERIES = {}
@@ -91,3 +91,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded through the table of their distinct words."""
     return bpe.encoded(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query()
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in a window seen earlier."""
+    return substrings.removals(table(spark, sf_dir, "documents"))
