@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import bpe, decontaminate, line_rules, substrings
+from reelstate.llm import bpe, decontaminate, line_rules, ngram_join, substrings
 from reelstate.llm.common import table
 
 QUERIES = {}
@@ -97,3 +97,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that stand in a window seen earlier."""
     return substrings.removals(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents that share four fifths of their word 5-grams."""
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
