@@ -1,8 +1,12 @@
-"""A corpus prepared for training: stages over the documents, each written and read again."""
+"""A corpus prepared for training: stages over the documents, each written and read again.
+
+Every stage takes the rows that the one before it kept and returns the columns of ``documents``; the
+last one returns token ids.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import line_rules
+from reelstate.llm import bpe, decontaminate, line_rules, ngram_join, substrings
 from reelstate.llm.common import saved, table
 
 
@@ -11,8 +15,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_rules.cleaned(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each class of near copies."""
+    return ngram_join.first_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages seen in an earlier document; documents without any word left go."""
+    return substrings.cleaned(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a window of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the text they decode to."""
+    return bpe.encoded(docs).drop("text")
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", decontaminated),
+    ("BPE encoding and decoding", token_ids),
 ]
 
 #: The similarity join, the automata and the tokenizer have no SQL form.
@@ -22,6 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

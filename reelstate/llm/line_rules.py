@@ -179,10 +179,13 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     """
     held = docs.select(*keyed(docs, key, text, host), F.col(text).alias("_whole"),
                        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    base = base_columns(held, "_whole", ["_id", "_host", "_hash", "_row"]).where(~F.col("_base_failed"))
-    base = base.select("_id", "_host", "_hash", "_row", "_n_words")
+    base = base_columns(held, "_whole", ["_id", "_host", "_hash", "_row"])
+    base = base.select("_id", "_host", "_hash", "_row", "_n_words", "_base_failed")
     gone = removed_lines(docs, key, text, host, least, share)
-    both = base.join(gone, same(base, gone, _JOINED), "left").where(~_depleted(least_left))
+    # one condition on both sides: a condition on the counts alone would be pushed below the
+    # projections that make them, which repeats their expressions many times over
+    kept = F.when(F.col("_base_failed"), F.lit(False)).otherwise(~_depleted(least_left))
+    both = base.join(gone, same(base, gone, _JOINED), "left").where(kept)
     row = F.col("_row")
     left = F.array_join(F.filter(F.split(row[text], "\n"),
                                  lambda _, i: ~F.array_contains("_removed", i)), "\n")
