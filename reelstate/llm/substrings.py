@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelstate.llm import wordgrams
-from reelstate.llm.common import whole
 
 WINDOW = 20
 PHRASE = 6
@@ -53,12 +52,12 @@ def picks(words: wordgrams.Words, window: int, phrase: int):
     return places, hashes, places + views[places].argmin(axis=1)
 
 
-def _phrases(window: int, phrase: int):
+def _phrases(text: str, window: int, phrase: int):
     """The phrases that the windows of a block pick, with the number of their places."""
 
     def run(docs: pa.Table) -> pa.Table:
         counts: dict[bytes, int] = {}
-        for words in wordgrams.words(docs.column("_text")):
+        for words in wordgrams.words(docs.column(text)):
             _, _, picked = picks(words, window, phrase)
             data = words.data.tobytes()
             picked = np.unique(picked)
@@ -90,7 +89,7 @@ def _located(words: wordgrams.Words, automaton, phrase: int) -> np.ndarray:
     return found
 
 
-def _runs(window: int, phrase: int):
+def _runs(text: str, window: int, phrase: int):
     """Runs of windows of a block that pick located phrases; one row for equal runs."""
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
@@ -100,7 +99,7 @@ def _runs(window: int, phrase: int):
         parts = []
         if len(automaton) and docs.num_rows:
             automaton.make_automaton()
-            for words in wordgrams.words(docs.column("_text")):
+            for words in wordgrams.words(docs.column(text)):
                 places, hashes, picked = picks(words, window, phrase)
                 held = _located(words, automaton, phrase)[picked]
                 if held.any():
@@ -200,19 +199,19 @@ def _removed(runs: DataFrame) -> DataFrame:
     return runs.select("_block", gone.alias("_gone")).select("_block", "_gone.*")
 
 
-def _cut(schema: pa.Schema, window: int):
+def _cut(text: str, schema: pa.Schema, window: int):
     """The documents of a block with what is removed from them."""
 
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for doc, text, start, n in zip(*(gone.column(c).to_pylist()
+        for doc, own, start, n in zip(*(gone.column(c).to_pylist()
                                          for c in ("doc", "hash", "start", "n")), strict=True):
-            spans.setdefault((doc, text), []).append((start, start + n + window - 1))
+            spans.setdefault((doc, own), []).append((start, start + n + window - 1))
         counts, removed, digests, texts = [], [], [], []
         names = zip(docs.column("_id").to_pylist(), docs.column("_hash").to_pylist(), strict=True)
-        old = docs.column("_text").to_pylist()
-        for name, text in zip(names, old, strict=True):
-            raw = text.encode()
+        old = docs.column(text).to_pylist()
+        for name, own in zip(names, old, strict=True):
+            raw = (own or "").encode()
             words = raw.split()
             left = np.ones(len(words), dtype=bool)
             for a, b in spans.get(name, ()):
@@ -221,7 +220,7 @@ def _cut(schema: pa.Schema, window: int):
             removed.append(len(words) - int(left.sum()))
             kept = words if left.all() else [words[i] for i in np.flatnonzero(left)]
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            texts.append(_without(raw, left).decode() if removed[-1] else text)
+            texts.append(_without(raw, left).decode() if removed[-1] else own)
         found = {"_n_words": pa.array(counts, pa.int64()), "_n_removed": pa.array(removed, pa.int64()),
                  "_kept_sha256": pa.array(digests, pa.string()), "_left": pa.array(texts, pa.string())}
         columns = [found[f.name] if f.name in found else docs.column(f.name).combine_chunks()
@@ -255,16 +254,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         "*",
         F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("_id"),
         F.xxhash64(text).alias("_hash"),
-        whole(text).alias("_text"),
         F.pmod(row, F.lit(blocks)).alias("_block"),
     )
-    counted = named.groupBy("_block").applyInArrow(_phrases(window, phrase),
+    counted = named.groupBy("_block").applyInArrow(_phrases(text, window, phrase),
                                                    "_block long, phrase binary, n long")
     total_n = F.sum("n").over(Window.partitionBy("phrase"))
     recurring = counted.withColumn("total", total_n).where(F.col("total") > 1)
     recurring = recurring.select("_block", "phrase")
     runs = named.groupBy("_block").cogroup(recurring.groupBy("_block")).applyInArrow(
-        _runs(window, phrase), _RUNS)
+        _runs(text, window, phrase), _RUNS)
     gone = _removed(runs)
     added = T.StructType([T.StructField("_n_words", T.LongType()),
                           T.StructField("_n_removed", T.LongType()),
@@ -274,7 +272,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return named.groupBy("_block").cogroup(gone.groupBy("_block")).applyInArrow(
-        _cut(to_arrow_schema(schema), window), schema)
+        _cut(text, to_arrow_schema(schema), window), schema)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
