@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import bpe, decontaminate, line_rules, ngram_join, substrings
+from reelstate.llm import bpe, decontaminate, line_rules, ngram_join, quotes, substrings
 from reelstate.llm.common import table
 
 QUERIES = {}
@@ -103,3 +103,93 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents that share four fifths of their word 5-grams."""
     return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+QUOTE_SQL = r"""
+WITH RECURSIVE msg AS (
+    SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text
+    FROM conversations
+), raw AS (
+    SELECT rid, p, ls[p] AS line,
+           length(regexp_replace(regexp_extract(ls[p], '^[ \t]*((?:>[ \t]*)+)', 1), '[^>]', '', 'g'))
+               AS level,
+           regexp_replace(ls[p], '^[ \t]*((?:>[ \t]*)+)', '') AS body
+    FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS p
+          FROM (SELECT rid, string_split(translate(text, chr(1), ' '), chr(10)) AS ls FROM msg))
+), line AS (
+    SELECT rid, p, body,
+           CASE WHEN level = 0 AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) > 0
+                     AND regexp_matches(body, '(?i)^[ \t]*(?:on [^\n]* wrote|[^\n]* wrote|-+ *original message *-+)[ \t]*:?[ \t]*$')
+                THEN -1 ELSE level END AS level
+    FROM raw
+), run AS (
+    SELECT *, p - row_number() OVER (PARTITION BY rid, level ORDER BY p) AS island FROM line
+), passage AS (
+    SELECT rid, level, row_number() OVER (PARTITION BY rid, level ORDER BY min(p)) AS no,
+           min(p) AS spot, string_agg(body, chr(10) ORDER BY p) AS text
+    FROM run WHERE level >= 0 GROUP BY rid, level, island
+    HAVING trim(regexp_replace(string_agg(body, ' '), '[\x20\x09-\x0D]+', ' ', 'g')) <> ''
+), piece AS (
+    SELECT rid, level, no, 0 AS part, text FROM passage
+    UNION ALL
+    SELECT rid, level, no, p, ls[p]
+    FROM (SELECT rid, level, no, ls, unnest(range(1, len(ls) + 1)) AS p
+          FROM (SELECT *, string_split(text, chr(10)) AS ls FROM passage))
+    UNION ALL
+    SELECT rid, 0, 0, -1, string_agg(text, chr(10) ORDER BY spot) FROM passage WHERE level = 0
+    GROUP BY rid
+    UNION ALL
+    SELECT rid, 0, no, -2, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n'))
+    FROM passage WHERE level = 0
+), norm AS (
+    SELECT DISTINCT conv_id, turn, level, no, part,
+           lower(trim(regexp_replace(p.text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS text
+    FROM piece p JOIN msg m ON m.rid = p.rid
+), said AS (
+    SELECT conv_id, text, min(turn) AS original FROM norm
+    WHERE level = 0 AND text <> '' AND turn IS NOT NULL GROUP BY conv_id, text
+), hit AS (
+    SELECT n.conv_id, n.turn, level, no, part, length(n.text) AS chars, original
+    FROM norm n JOIN said s ON s.conv_id = n.conv_id AND s.text = n.text AND s.original < n.turn
+    WHERE level > 0
+), link AS (
+    SELECT * FROM hit h WHERE part = 0 OR NOT EXISTS (
+        SELECT 1 FROM hit w WHERE w.conv_id = h.conv_id AND w.turn = h.turn AND w.level = h.level
+        AND w.no = h.no AND w.part = 0)
+), vote AS (
+    SELECT conv_id, turn, level, original, sum(chars) AS chars, count(*) AS n FROM link
+    GROUP BY conv_id, turn, level, original
+), answer AS (
+    SELECT conv_id, turn, sum(n) AS n_linked,
+           arg_max(original, {'level': -level, 'chars': chars, 'original': original}) AS reply_to
+    FROM vote GROUP BY conv_id, turn
+), thread AS (
+    SELECT conv_id, turn, reply_to AS up, 1 AS depth FROM answer
+    UNION ALL
+    SELECT t.conv_id, t.turn, a.reply_to, t.depth + 1
+    FROM thread t JOIN answer a ON a.conv_id = t.conv_id AND a.turn = t.up
+), top AS (
+    SELECT conv_id, turn, min(up) AS thread, max(depth) AS depth FROM thread GROUP BY conv_id, turn
+), own AS (
+    SELECT rid, greatest(max(level), 0) AS max_level,
+           count(*) FILTER (WHERE level > 0) AS n_quoted_lines,
+           string_agg(body, chr(10) ORDER BY p) FILTER (WHERE level = 0) AS text
+    FROM line GROUP BY rid
+)
+SELECT m.conv_id, m.turn, m.role,
+       CASE WHEN o.max_level > 0 THEN regexp_replace(regexp_replace(coalesce(o.text, ''),
+            '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')
+            ELSE m.text END AS own_text,
+       CAST(o.max_level AS BIGINT) AS max_level, o.n_quoted_lines,
+       CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to,
+       coalesce(thread, m.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth
+FROM msg m JOIN own o USING (rid)
+LEFT JOIN answer a ON a.conv_id = m.conv_id AND a.turn = m.turn
+LEFT JOIN top t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
+
+
+@query(QUOTE_SQL)
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own text, answered message and thread of all messages, in reply order."""
+    return quotes.reply_ordered(quotes.linked(table(spark, sf_dir, "conversations")))
