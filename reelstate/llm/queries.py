@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelstate.llm import bpe, decontaminate, line_rules, ngram_join, quotes, substrings
+from reelstate.llm import (
+    bpe, decontaminate, licenses, line_rules, ngram_join, quotes, substrings,
+)
 from reelstate.llm.common import table
 
 QUERIES = {}
@@ -193,3 +195,57 @@ LEFT JOIN top t ON t.conv_id = m.conv_id AND t.turn = m.turn
 def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own text, answered message and thread of all messages, in reply order."""
     return quotes.reply_ordered(quotes.linked(table(spark, sf_dir, "conversations")))
+
+
+_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{text}')"
+                           for i, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASE_ROWS = ", ".join(f"(['{phrase.replace(' ', chr(39) + ', ' + chr(39))}'], '{label}')"
+                         for phrase, label in licenses.PHRASES.items())
+LICENSE_SQL = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '{_NOT_WORD}'), lambda x: x <> '') AS ws
+    FROM documents
+), phrase(pw, label) AS (VALUES {_PHRASE_ROWS}),
+place AS (
+    SELECT rid, label, i - 1 AS start
+    FROM (SELECT rid, ws, pw, label, unnest(range(1, len(ws) + 1)) AS i FROM doc, phrase)
+    WHERE ws[i:i + len(pw) - 1] = pw
+), base AS (
+    SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+           list(DISTINCT label) AS ls
+    FROM place GROUP BY rid
+), template AS (
+    SELECT id, label, list_distinct(list_filter(
+        regexp_split_to_array(lower(text), '{_NOT_WORD}'), lambda x: x <> '')) AS tw
+    FROM (VALUES {_TEMPLATE_ROWS}) AS t(id, label, text)
+), part AS (
+    SELECT rid, unnest(string_split(text, chr(10))) AS part FROM doc
+    UNION ALL
+    SELECT rid, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) FROM doc
+), held AS (
+    SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS contained
+    FROM (SELECT rid, list_filter(regexp_split_to_array(translate(part,
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '{_NOT_WORD}'), lambda x: x <> '') AS bw FROM part), template
+    WHERE len(list_intersect(bw, tw)) >= 0.8 * len(tw) - 1e-9
+), best AS (
+    SELECT rid, list(DISTINCT label) AS ls, max(contained) AS score FROM held GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+       first_word, last_word,
+       array_to_string(list_sort(coalesce(b.ls, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(h.ls, [])))), ',')
+           AS labels,
+       coalesce(score, 0.0) AS score
+FROM doc LEFT JOIN base b USING (rid) LEFT JOIN best h USING (rid)
+"""
+
+
+@query(LICENSE_SQL)
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
