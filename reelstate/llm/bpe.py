@@ -6,8 +6,9 @@ words and its documents as lists of places among them. The distinct words of all
 shuffled by word, each is encoded once, and the ids go back to their block, where they are put
 together by position. Decoding looks every id up in the table of pieces.
 
-The splitting is done in Spark: documents and words move as rows, in blocks of about
-``BLOCK_BYTES``, so that neither a frequent word nor a long document weighs on one task.
+Words travel packed: those of one block that fall to the same share of the vocabulary are one row.
+The number of shares grows with the input, so that a task holds a bounded part of the vocabulary; a
+frequent word is one entry of each block, and a long document is only a long list of places.
 
 Defined cases: null text is encoded as empty text. Repeated rows come out as often as they came in.
 An empty table gives an empty table.
@@ -18,6 +19,7 @@ import hashlib
 import json
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -27,10 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelstate.llm.common import saved
 from reelstate.llm.wordgrams import buffers
 
 BLOCK_BYTES = 32 << 20
+#: Bytes of text for which there is one share of the vocabulary.
+SHARE_BYTES = 16 << 20
 #: White space of Unicode, as the tokenizers' patterns know it.
 BLANK = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -80,105 +83,156 @@ _PACK = zstandard.ZstdCompressor(level=3)
 
 
 def packed(values) -> bytes:
-    return _PACK.compress(np.asarray(values, dtype="<u4").tobytes())
+    """Numbers as planes of their bytes, compressed: the planes of small numbers are nearly empty."""
+    planes = np.ascontiguousarray(np.asarray(values, dtype="<u4")).view(np.uint8).reshape(-1, 4).T
+    return _PACK.compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<u4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def packed_words(words: list[str]) -> bytes:
+    joined = "".join(words).encode("utf-8")
+    lengths = packed([len(w) for w in words])
+    return len(lengths).to_bytes(4, "little") + lengths + _PACK.compress(joined)
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    size = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(unpacked(data[4 : 4 + size])).tolist()
+    text = zstandard.ZstdDecompressor().decompress(data[4 + size :]).decode("utf-8")
+    return [text[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+
+class _Block:
+    """Documents of a block as lists of places among its distinct words."""
+
+    def __init__(self):
+        self.keys: list = []
+        self.lengths, self.places = array("I"), array("I")
+        self.words: dict[str, int] = {}
+        self.digest = hashlib.blake2b(digest_size=8)
+        self.size = 0
+
+    def add(self, key, raw: bytes) -> None:
+        self.digest.update(b"%r %d " % (repr(key).encode(), len(raw)))
+        self.digest.update(raw)
+        found = WORD.findall(raw.decode("utf-8"))
+        number = self.words.setdefault
+        self.keys.append(key)
+        self.lengths.append(len(found))
+        self.places.extend([number(w, len(self.words)) for w in found])
+        self.size += len(raw) + 64
+
+    def row(self, shares: int) -> pa.RecordBatch:
+        places = np.frombuffer(self.places, dtype=np.uint32) if self.places else np.zeros(0, np.uint32)
+        counts = np.bincount(places, minlength=len(self.words))
+        order = np.argsort(-counts, kind="stable")  # frequent words first: small numbers pack well
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        listed = list(self.words)
+        listed = [listed[i] for i in order.tolist()]
+        share = np.array([zlib.crc32(w.encode()) % shares for w in listed], dtype=np.uint32)
+        parts = [{"share": s, "words": packed_words([listed[i] for i in np.flatnonzero(share == s)])}
+                 for s in np.unique(share).tolist()]
+        kind = pa.list_(pa.struct([("share", pa.int64()), ("words", pa.binary())]))
+        return pa.RecordBatch.from_arrays([
+            pa.array([int.from_bytes(self.digest.digest(), "little", signed=True)], pa.int64()),
+            pa.array([self.keys], pa.list_(pa.int64())),
+            pa.array([packed(self.lengths)], pa.binary()),
+            pa.array([packed(rank[places])], pa.binary()),
+            pa.array([packed(share)], pa.binary()),
+            pa.array([parts], kind),
+        ], names=["block", "keys", "lengths", "codes", "shares", "parts"])
 
 
-def _blocks(key: str, text: str, size: int):
-    """Blocks of documents: what stays in the block, and its distinct words."""
+_BLOCKS = ("block long, keys array<long>, lengths binary, codes binary, shares binary, "
+           "parts array<struct<share: long, words: binary>>")
 
-    def close(keys, lengths, places, words, bytes_of):
-        name = int.from_bytes(bytes_of.digest()[:8], "little", signed=True)
-        # frequent words first: small numbers pack well
-        counts = np.bincount(places, minlength=len(words)) if words else np.zeros(0, np.int64)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(words), dtype=np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        listed = list(words)
-        codes = rank[np.frombuffer(places, dtype=np.uint32)] if words else []
-        return pa.RecordBatch.from_arrays([
-            pa.array([name], pa.int64()),
-            pa.array([keys], pa.list_(pa.int64())),
-            pa.array([packed(lengths)], pa.binary()),
-            pa.array([packed(codes)], pa.binary()),
-            pa.array([[listed[i] for i in order]], pa.list_(pa.string())),
-        ], names=["block", "keys", "lengths", "codes", "words"])
 
+def _blocks(key: str, text: str, size: int, shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh():
-            return [], array("I"), array("I"), {}, hashlib.blake2b(digest_size=16)
-
-        held, state = 0, fresh()
+        block = _Block()
         for batch in batches:
             data, offsets = buffers(batch.column(text))
-            raw, ids = data.tobytes(), batch.column(key).to_pylist()
-            for i, doc in enumerate(ids):
-                keys, lengths, places, words, bytes_of = state
-                own = raw[offsets[i] : offsets[i + 1]]
-                bytes_of.update(b"%r %d " % (repr(doc).encode(), len(own)))
-                bytes_of.update(own)
-                found = WORD.findall(own.decode("utf-8", "replace"))
-                keys.append(doc)
-                lengths.append(len(found))
-                places.extend([words.setdefault(w, len(words)) for w in found])
-                held += len(own) + 64
-                if held >= size:
-                    yield close(*state)
-                    held, state = 0, fresh()
-        if state[0]:
-            yield close(*state)
+            raw = data.tobytes()
+            for i, doc in enumerate(batch.column(key).to_pylist()):
+                block.add(doc, raw[offsets[i] : offsets[i + 1]])
+                if block.size >= size:
+                    yield block.row(shares)
+                    block = _Block()
+        if block.keys:
+            yield block.row(shares)
 
     return run
 
 
 def _encoded(path: str):
-    """Ids of each word; rows come sorted by word, and each distinct word is encoded once."""
+    """Ids of the words of each part; parts come sorted by share, whose words are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, b""
+        share, known = None, {}
+        fast = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
         for batch in batches:
-            words = batch.column("word").dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            fast = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
-            fresh = [w for w in distinct if w != last]
-            ids = {w: np.asarray(e.ids, dtype="<u4").tobytes()
-                   for w, e in zip(fresh, fast(fresh, add_special_tokens=False), strict=True)}
-            if last in distinct:
-                ids[last] = last_ids
-            if distinct:
-                last = batch.column("word")[-1].as_py()
-                last_ids = ids[last]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("block"), batch.column("place"),
-                pa.array([ids[w] for w in distinct], pa.binary()).take(words.indices),
-            ], names=["block", "place", "ids"])
+            out = []
+            for own, data in zip(batch.column("share").to_pylist(), batch.column("words").to_pylist(),
+                                 strict=True):
+                if own != share:
+                    share, known = own, {}
+                words = unpacked_words(data)
+                fresh = [w for w in words if w not in known]
+                for low in range(0, len(fresh), 10_000):
+                    part = fresh[low : low + 10_000]
+                    for w, e in zip(part, fast(part, add_special_tokens=False), strict=True):
+                        known[w] = array("I", e.ids)
+                ids = [known[w] for w in words]
+                sizes = packed([len(x) for x in ids])
+                flat = array("I")
+                for x in ids:
+                    flat.extend(x)
+                out.append(len(sizes).to_bytes(4, "little") + sizes + packed(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("share"), pa.array(out, pa.binary())],
+                names=["block", "share", "ids"])
 
     return run
 
 
+def _word_ids(shares: np.ndarray, parts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's words one after the other, and the number and the place of each word's."""
+    sizes = np.zeros(len(shares), dtype=np.int64)
+    heads = np.zeros(len(shares), dtype=np.int64)
+    flat, at = [], 0
+    for share, data in parts.items():
+        cut = 4 + int.from_bytes(data[:4], "little")
+        own, ids = unpacked(data[4:cut]).astype(np.int64), unpacked(data[cut:])
+        where = np.flatnonzero(shares == share)
+        sizes[where] = own
+        heads[where] = at + np.cumsum(own) - own
+        flat.append(ids)
+        at += len(ids)
+    return np.concatenate(flat) if flat else np.zeros(0, dtype="<u4"), sizes, heads
+
+
 def _joined(path: str, key: str, with_text: bool):
     """Documents of a block from its words' ids, by position."""
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("place").to_numpy())
-        ids = [np.frombuffer(x, dtype="<u4") for x in words.column("ids").to_pylist()]
-        ids = [ids[i] for i in order]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        heads = np.cumsum(sizes) - sizes
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
         out = {name: [] for name in (key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "text")}
-        for row in block.to_pylist():
-            codes, lengths, at = unpacked(row["codes"]), unpacked(row["lengths"]), 0
-            for doc, length in zip(row["keys"], lengths.tolist(), strict=True):
+        parts = dict(zip(words.column("share").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        names = ("keys", "lengths", "codes", "shares")
+        for keys, lengths, codes, shares in zip(*(block.column(c).to_pylist() for c in names), strict=True):
+            flat, sizes, heads = _word_ids(unpacked(shares), parts)
+            codes, at = unpacked(codes), 0
+            for doc, length in zip(keys, unpacked(lengths).tolist(), strict=True):
                 own = codes[at : at + length]
                 at += length
-                n, h = sizes[own], heads[own]
+                n = sizes[own]
                 total = int(n.sum())
                 inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                tokens = flat[np.repeat(h, n) + inner]
+                tokens = flat[np.repeat(heads[own], n) + inner]
                 text = decode(tokens, path)
                 out[key].append(doc)
                 out["n_tokens"].append(total)
@@ -193,21 +247,23 @@ def _joined(path: str, key: str, with_text: bool):
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
-            block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
+            block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES,
+            with_text: bool = True) -> DataFrame:
     """One row for each document: number of tokens, digests, and (``with_text``) ids and text.
 
     ``text`` is decoded from the ids through the table of pieces.
     """
     path = path or vocabulary()
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shares = max(1, -(-total // share_bytes))
     blocks = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
-        _blocks(key, text, block_bytes),
-        "block long, keys array<long>, lengths binary, codes binary, words array<string>")
-    blocks = saved(blocks, "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    words = words.repartition("word").sortWithinPartitions("word")
-    ids = words.mapInArrow(_encoded(path), "block long, place int, ids binary")
-    whole = blocks.select("block", "keys", "lengths", "codes")
-    out = whole.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+        _blocks(key, text, block_bytes, shares), _BLOCKS)
+    # one shuffle of the blocks, which both the words and the join below read
+    blocks = blocks.repartition("block")
+    words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
+    words = words.repartition("share").sortWithinPartitions("share")
+    ids = words.mapInArrow(_encoded(path), "block long, share long, ids binary")
+    out = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
         _joined(path, key, with_text),
         f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string, "
         "ids array<int>, text string")
