@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from reelstate.llm import (
-    bpe, decontaminate, licenses, line_rules, ngram_join, quotes, substrings,
+    bpe, decontaminate, importance, licenses, line_rules, ngram_join, quotes, substrings,
 )
 from reelstate.llm.common import table
 
@@ -249,3 +249,9 @@ FROM doc LEFT JOIN base b USING (rid) LEFT JOIN best h USING (rid)
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in all documents."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted by the models of good and of all text, and the sample drawn."""
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
