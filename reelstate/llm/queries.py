@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelstate.llm import (
     bpe, decontaminate, importance, licenses, line_rules, ngram_join, quotes, substrings,
+    token_counts,
 )
 from reelstate.llm.common import table
 
@@ -255,3 +256,9 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents weighted by the models of good and of all text, and the sample drawn."""
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all lines of all documents, the documents encoded as a whole."""
+    return token_counts.counted(table(spark, sf_dir, "documents"))
