@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from reelstate.llm import (
-    bpe, decontaminate, importance, licenses, line_rules, ngram_join, quotes, substrings,
+    bpe, decontaminate, html_text, importance, licenses, line_rules, ngram_join, quotes, substrings,
     token_counts,
 )
 from reelstate.llm.common import table
@@ -262,3 +262,9 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all lines of all documents, the documents encoded as a whole."""
     return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
