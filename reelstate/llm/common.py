@@ -38,6 +38,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one, so that none of them clashes with what an operator adds."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns that ``packed`` took, some of them replaced."""
+    return df.select(*[replaced.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in columns])
+
+
 def same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
     """Join condition: the named columns are equal, null to null."""
     found = None

@@ -23,11 +23,12 @@ from collections import defaultdict
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelstate.llm.common import saved, whole, with_arrow_columns
+from reelstate.llm.common import packed, saved, unpacked, whole, with_arrow_columns
 from reelstate.llm.wordgrams import PLAIN_TABLE, buffers
 
 WINDOW = 10
@@ -124,9 +125,9 @@ def _scanner(items, window, block, text, before: bool):
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         if not built:
             built.append(Items(items, window, block))
-        data, offsets = buffers(batch.column(text))
+        data, offsets = buffers(pc.struct_field(batch.column("row"), text))
         raw = data.tobytes()
-        old = batch.column("_found").to_pylist() if before else None
+        old = batch.column("found").to_pylist() if before else None
         spans, hits, counts = [], [], []
         for i in range(len(batch)):
             words = normalised(raw[offsets[i] : offsets[i + 1]])
@@ -139,7 +140,7 @@ def _scanner(items, window, block, text, before: bool):
             hits.append(sorted(ids, key=str))
             counts.append(len(words))
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        return {"_found": pa.StructArray.from_arrays(
+        return {"found": pa.StructArray.from_arrays(
             [pa.array(spans, kind), pa.array(hits, pa.list_(pa.int64())), pa.array(counts, pa.int64())],
             names=["hit_words", "hit_items", "n_words"])}
 
@@ -149,13 +150,15 @@ def _scanner(items, window, block, text, before: bool):
 def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
             item_text: str = "text", window: int = WINDOW, block: int = BLOCK,
             shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with ``_found``: spans of hit words, ids of occurring items, number of words."""
+    """``row`` with the columns of ``docs``, and ``found``: spans of hit words, ids of occurring
+    items, number of words."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), whole(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // shard_bytes) or 1
-    added = T.StructType([T.StructField("_found", FOUND)])
+    added = T.StructType([T.StructField("found", FOUND)])
+    docs = docs.select(packed(docs).alias("row"))
     for shard in range(shards):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
         rows = [tuple(row) for row in part.collect()]
@@ -169,18 +172,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
                   text: str = "text", **options) -> DataFrame:
     """One row for each document: its words, hit words and occurring items."""
     found = scanned(docs.select(key, text), benchmark, text, **options)
-    ids = F.col("_found.hit_items")
-    hit = F.aggregate("_found.hit_words", F.lit(0).cast("long"),
+    ids = F.col("found.hit_items")
+    hit = F.aggregate("found.hit_words", F.lit(0).cast("long"),
                       lambda a, s: a + s["last"] - s["first"])
     listed = F.concat_ws(",", F.sort_array(F.transform(ids, lambda x: x.cast("string"))))
     return found.select(
-        key,
-        F.col("_found.n_words").alias("n_words"),
+        F.col(f"row.`{key}`").alias(key),
+        F.col("found.n_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.col("_found.hit_words").alias("hit_words"),
+        F.col("found.hit_words").alias("hit_words"),
     )
 
 
@@ -197,7 +200,7 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no window of a test item, with the columns they came with."""
     found = scanned(docs, benchmark, text, **options)
-    return found.where(F.size("_found.hit_words") == 0).drop("_found")
+    return unpacked(found.where(F.size("found.hit_words") == 0), "row", docs.columns)
 
 
 def listed_sha256(ids) -> str:

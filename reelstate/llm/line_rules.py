@@ -15,7 +15,7 @@ null ``doc_id`` sorts first. Repeated rows get the same verdict each.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelstate.llm.common import SPACE, same, whole
+from reelstate.llm.common import SPACE, packed, same, unpacked, whole
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -178,7 +178,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     A column ``n_chars``, where there is one, is counted anew for texts that lose lines.
     """
     held = docs.select(*keyed(docs, key, text, host), F.col(text).alias("_whole"),
-                       F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+                       packed(docs).alias("_row"))
     base = base_columns(held, "_whole", ["_id", "_host", "_hash", "_row"])
     base = base.select("_id", "_host", "_hash", "_row", "_n_words", "_base_failed")
     gone = removed_lines(docs, key, text, host, least, share)
@@ -190,14 +190,9 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     left = F.array_join(F.filter(F.split(row[text], "\n"),
                                  lambda _, i: ~F.array_contains("_removed", i)), "\n")
     new = F.when(F.col("_removed").isNull(), row[text]).otherwise(left)
-    out = []
-    for name in docs.columns:
-        if name == text:
-            out.append(new.alias(name))
-        elif name == "n_chars":
-            kind = docs.schema[name].dataType
-            out.append(F.when(F.col("_removed").isNull(), row[name])
-                       .otherwise(F.length(left).cast(kind)).alias(name))
-        else:
-            out.append(row[name].alias(name))
-    return both.select(*out)
+    replaced = {text: new}
+    if "n_chars" in docs.columns and text != "n_chars":
+        kind = docs.schema["n_chars"].dataType
+        replaced["n_chars"] = F.when(F.col("_removed").isNull(), row["n_chars"]).otherwise(
+            F.length(left).cast(kind))
+    return unpacked(both, "_row", docs.columns, **replaced)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelstate.llm import wordgrams
-from reelstate.llm.common import same, saved, whole
+from reelstate.llm.common import packed, same, saved, unpacked, whole
 from reelstate.llm.components import components
 
 GRAM = 5
@@ -276,10 +276,11 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     first = found.select("_id", "_hash", "_set").where(
         F.struct("_id", "_hash").eqNullSafe(F.col("first"))).select(
         F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), "_set").distinct()
-    named = docs.select("*", F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
+    named = docs.select(packed(docs).alias("row"), F.col(key).cast("long").alias("_id"),
+                        F.xxhash64(text).alias("_hash"))
     kept = named.join(first, same(named, first, {"_id": "_rid", "_hash": "_rhash"}))
     # repeated rows of a first document; without words every row is a class
     copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
     kept = kept.withColumn("_copy", copy)
     kept = kept.where((F.col("_copy") == 1) | F.col("_set").isNull())
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return unpacked(kept, "row", docs.columns)

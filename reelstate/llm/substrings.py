@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelstate.llm import wordgrams
+from reelstate.llm.common import packed, unpacked
 
 WINDOW = 20
 PHRASE = 6
@@ -52,12 +53,16 @@ def picks(words: wordgrams.Words, window: int, phrase: int):
     return places, hashes, places + views[places].argmin(axis=1)
 
 
+def _texts(docs: pa.Table, text: str):
+    return pc.struct_field(docs.column("row").combine_chunks(), text)
+
+
 def _phrases(text: str, window: int, phrase: int):
     """The phrases that the windows of a block pick, with the number of their places."""
 
     def run(docs: pa.Table) -> pa.Table:
         counts: dict[bytes, int] = {}
-        for words in wordgrams.words(docs.column(text)):
+        for words in wordgrams.words(_texts(docs, text)):
             _, _, picked = picks(words, window, phrase)
             data = words.data.tobytes()
             picked = np.unique(picked)
@@ -99,7 +104,7 @@ def _runs(text: str, window: int, phrase: int):
         parts = []
         if len(automaton) and docs.num_rows:
             automaton.make_automaton()
-            for words in wordgrams.words(docs.column(text)):
+            for words in wordgrams.words(_texts(docs, text)):
                 places, hashes, picked = picks(words, window, phrase)
                 held = _located(words, automaton, phrase)[picked]
                 if held.any():
@@ -199,7 +204,7 @@ def _removed(runs: DataFrame) -> DataFrame:
     return runs.select("_block", gone.alias("_gone")).select("_block", "_gone.*")
 
 
-def _cut(text: str, schema: pa.Schema, window: int):
+def _cut(text: str, window: int):
     """The documents of a block with what is removed from them."""
 
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
@@ -209,7 +214,7 @@ def _cut(text: str, schema: pa.Schema, window: int):
             spans.setdefault((doc, own), []).append((start, start + n + window - 1))
         counts, removed, digests, texts = [], [], [], []
         names = zip(docs.column("_id").to_pylist(), docs.column("_hash").to_pylist(), strict=True)
-        old = docs.column(text).to_pylist()
+        old = _texts(docs, text).to_pylist()
         for name, own in zip(names, old, strict=True):
             raw = (own or "").encode()
             words = raw.split()
@@ -221,11 +226,10 @@ def _cut(text: str, schema: pa.Schema, window: int):
             kept = words if left.all() else [words[i] for i in np.flatnonzero(left)]
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             texts.append(_without(raw, left).decode() if removed[-1] else own)
-        found = {"_n_words": pa.array(counts, pa.int64()), "_n_removed": pa.array(removed, pa.int64()),
-                 "_kept_sha256": pa.array(digests, pa.string()), "_left": pa.array(texts, pa.string())}
-        columns = [found[f.name] if f.name in found else docs.column(f.name).combine_chunks()
-                   for f in schema]
-        return pa.Table.from_arrays(columns, names=schema.names)
+        return pa.table({
+            "row": docs.column("row"), "n_words": pa.array(counts, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
+            "left": pa.array(texts, pa.string())})
 
     return run
 
@@ -245,13 +249,13 @@ def _without(raw: bytes, left: np.ndarray) -> bytes:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                  phrase: int = PHRASE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_n_removed``, ``_kept_sha256`` (kept words, one blank between)
-    and ``_left``, the text that is left with the white space it had."""
+    """``row`` with the columns of ``docs``, ``n_words``, ``n_removed``, ``kept_sha256`` (kept words,
+    one blank between) and ``left``, the text that is left with the white space it had."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     row = F.xxhash64(key, text)
     named = docs.select(
-        "*",
+        packed(docs).alias("row"),
         F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("_id"),
         F.xxhash64(text).alias("_hash"),
         F.pmod(row, F.lit(blocks)).alias("_block"),
@@ -264,22 +268,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     runs = named.groupBy("_block").cogroup(recurring.groupBy("_block")).applyInArrow(
         _runs(text, window, phrase), _RUNS)
     gone = _removed(runs)
-    added = T.StructType([T.StructField("_n_words", T.LongType()),
-                          T.StructField("_n_removed", T.LongType()),
-                          T.StructField("_kept_sha256", T.StringType()),
-                          T.StructField("_left", T.StringType())])
-    schema = T.StructType(docs.schema.fields + added.fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    added = T.StructType([T.StructField("n_words", T.LongType()),
+                          T.StructField("n_removed", T.LongType()),
+                          T.StructField("kept_sha256", T.StringType()),
+                          T.StructField("left", T.StringType())])
+    schema = T.StructType([named.schema["row"], *added.fields])
     return named.groupBy("_block").cogroup(gone.groupBy("_block")).applyInArrow(
-        _cut(text, to_arrow_schema(schema), window), schema)
+        _cut(text, window), schema)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row for each document: its words, how many are removed, and the digest of the rest."""
     found = deduplicated(docs.select(key, text), key, text, **options)
-    return found.select(key, F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
-                        F.col("_kept_sha256").alias("kept_sha256"))
+    return found.select(F.col(f"row.`{key}`").alias(key), "n_words", "n_removed", "kept_sha256")
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -288,10 +289,10 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     A column ``n_chars``, where there is one, is counted anew for texts that lose words.
     """
     found = deduplicated(docs, key, text, **options)
-    found = found.where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
-    cut = F.col("_n_removed") > 0
-    new = {text: F.when(cut, F.col("_left")).otherwise(F.col(text))}
+    found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    cut = F.col("n_removed") > 0
+    new = {text: F.when(cut, F.col("left")).otherwise(F.col(f"row.`{text}`"))}
     if "n_chars" in docs.columns and text != "n_chars":
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(cut, F.length("_left").cast(kind)).otherwise(F.col("n_chars"))
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.length("left").cast(kind)).otherwise(F.col("row.n_chars"))
+    return unpacked(found, "row", docs.columns, **new)

@@ -1,0 +1,88 @@
+import random
+
+import pytest
+
+import brute
+from reelstate.llm import decontaminate, queries
+
+
+def tables(seed):
+    r = random.Random(seed)
+
+    def words(n):
+        return [r.choice(["a", "B", "c1", "é", "d", "E-f"]) for _ in range(n)]
+
+    items = [(i, " ".join(words(r.choice([0, 1, 4, 9, 10, 11, 14, 30, 60])))) for i in range(30)]
+    items += [(3, "extra words of a repeated id, ten words in it or so"), (None, " ".join(words(12))),
+              (99, None), (100, "?!"), (101, "lonely")]
+    docs = []
+    for i in range(120):
+        parts = [words(r.randint(0, 30))]
+        for _ in range(r.randint(0, 2)):
+            own = (r.choice(items)[1] or "").split()
+            a = r.randint(0, max(0, len(own) - 10))
+            parts += [own[a : a + r.randint(8, 25)], words(r.randint(0, 5))]
+        docs.append((i, r.choice([" ", ", ", "\n"]).join(w for p in parts for w in p)))
+    return [*docs, (200, None), (201, ""), (202, "Lonely!"), (203, "lonelyness")], items
+
+
+def found(df, items, **options):
+    return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+            for r in decontaminate.contamination(df, items, **options).collect()}
+
+
+@pytest.mark.parametrize("seed, shard", [(1, 1 << 20), (2, 600)])
+def test_against_brute_force(spark, seed, shard):
+    docs, items = tables(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert found(df, bench, shard_bytes=shard) == brute.contamination(docs, items)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+           for r in queries.QUERIES["op8_decontaminate"](spark, sf_dir).collect()}
+    want = brute.contamination(docs, items)
+    assert got == want
+    assert any(x[-1] for x in want.values())
+
+
+def test_spans_lead_back_to_the_text(spark):
+    item = "One two, three four five six seven eight nine TEN"
+    text = "É日 before: ONE two three - four five six seven (eight) nine ten! after"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    row = decontaminate.contamination(df, bench).first()
+    spans = decontaminate.original_spans(text, [(s["first"], s["last"]) for s in row.hit_words])
+    assert [text[a:b] for a, b in spans] == ["ONE two three - four five six seven (eight) nine ten"]
+
+
+def test_clean_keeps_columns_and_clean_rows(spark):
+    docs, items = tables(4)
+    df = spark.createDataFrame([(*d, 1, "z") for d in docs],
+                               "doc_id long, text string, n_words int, item_id string")
+    out = decontaminate.clean(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == df.columns
+    want = {k for k, v in brute.contamination(docs, items).items() if not v[-1]}
+    assert {r.doc_id for r in out.collect()} == want
+
+
+def test_empty_tables(spark):
+    docs, items = tables(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert not any(v[-1] for v in found(df, bench.limit(0)).values())
+    assert found(df.limit(0), bench) == {}
+
+
+def test_a_block_must_fit_every_window(spark):
+    with pytest.raises(ValueError, match="block"):
+        decontaminate.scanned(None, None, window=10, block=6)
+
+
+def test_long_copy_of_a_long_item():
+    words = [f"w{i}".encode() for i in range(50_000)]
+    items = decontaminate.Items([(1, b" ".join(words).decode())], 10, 5)
+    assert items.scan(words) == ([(0, 50_000)], {0})
