@@ -10,6 +10,10 @@ Words travel packed: those of one block that fall to the same share of the vocab
 The number of shares grows with the input, so that a task holds a bounded part of the vocabulary; a
 frequent word is one entry of each block, and a long document is only a long list of places.
 
+The documents are read twice, once for the words and once for the lists of places, because writing
+both down would take more disk than the text. ``docs`` must give its rows in the same order each time, as a
+table in files does; if it does not, the blocks differ and the job fails.
+
 Defined cases: null text is encoded as empty text. Repeated rows come out as often as they came in.
 An empty table gives an empty table.
 """
@@ -224,7 +228,10 @@ def _joined(path: str, key: str, with_text: bool):
         parts = dict(zip(words.column("share").to_pylist(), words.column("ids").to_pylist(), strict=True))
         names = ("keys", "lengths", "codes", "shares")
         for keys, lengths, codes, shares in zip(*(block.column(c).to_pylist() for c in names), strict=True):
-            flat, sizes, heads = _word_ids(unpacked(shares), parts)
+            shares = unpacked(shares)
+            if set(np.unique(shares).tolist()) - parts.keys():
+                raise ValueError("the documents came in another order when they were read again")
+            flat, sizes, heads = _word_ids(shares, parts)
             codes, at = unpacked(codes), 0
             for doc, length in zip(keys, unpacked(lengths).tolist(), strict=True):
                 own = codes[at : at + length]
@@ -258,12 +265,11 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     shares = max(1, -(-total // share_bytes))
     blocks = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
         _blocks(key, text, block_bytes, shares), _BLOCKS)
-    # one shuffle of the blocks, which both the words and the join below read
-    blocks = blocks.repartition("block")
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
     words = words.repartition("share").sortWithinPartitions("share")
     ids = words.mapInArrow(_encoded(path), "block long, share long, ids binary")
-    out = blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+    lists = blocks.select("block", "keys", "lengths", "codes", "shares")
+    out = lists.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
         _joined(path, key, with_text),
         f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string, "
         "ids array<int>, text string")
