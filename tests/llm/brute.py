@@ -97,8 +97,9 @@ def contamination(docs, items, window=10):
     return out
 
 
-def line_verdicts(rows, least=10, share=0.05, least_left=0.2):
-    """A list, in the order of the rows ``(doc_id, text, source)``, of verdicts."""
+def line_verdicts(rows, least=10, share=0.05, least_left=0.2, texts=None):
+    """A list, in the order of the rows ``(doc_id, text, source)``, of verdicts; ``texts`` gets the
+    texts that are left."""
     def normal(line):
         return re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
 
@@ -119,11 +120,14 @@ def line_verdicts(rows, least=10, share=0.05, least_left=0.2):
         grams = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
         twice = {p for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1
                  for p in range(i, i + 8)}
-        gone = sum(len(spaced_words(x)) for x in lines
-                   if len(holders[host, normal(x)]) > max(least, share * len(hosts[host]))
-                   and first[host, normal(x)] != ((key is not None, key or 0), text))
+        often = {x for x in lines
+                 if len(holders[host, normal(x)]) > max(least, share * len(hosts[host]))
+                 and first[host, normal(x)] != ((key is not None, key or 0), text)}
+        gone = sum(len(spaced_words(x)) for x in lines if x in often)
         failed = len(words) < 20 or 100 * len(twice) > 30 * len(words)
         out.append((key, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
                     len(lines) - len(set(lines)), len(twice), failed, gone,
                     not failed and len(words) - gone >= least_left * len(words)))
+        if texts is not None:
+            texts.append("\n".join(x for x in text.split("\n") if x not in often))
     return out
