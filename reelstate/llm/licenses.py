@@ -1,7 +1,6 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Method: a block (a line, or a run of lines between blank ones) and a template are sets of words. A
-template is found in a block if the block holds at least ``CONTAINMENT`` of the template's words. The
+Method: a block (a line of the text) and a template are sets of words. A template is found in a block if the block holds at least ``CONTAINMENT`` of the template's words. The
 join is exact and filtered in three ways. Words are ordered by the number of blocks that hold them, rarest
 first. Prefix: a block with enough of a template's words holds one of the template's first
 ``size - needed + 1`` ones. Length: the block has as many words as are needed. Position: from the places
@@ -22,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelstate.llm.common import NOT_WORD, ascii_lower, same, whole
+from reelstate.llm.common import NOT_WORD, ascii_lower, same, saved, whole
 
 CONTAINMENT = 0.8
 PHRASES = {
@@ -81,16 +80,10 @@ def _vocabulary(given, containment) -> tuple[list[str], int]:
 
 def blocks(docs: DataFrame, key: str, text: str, given=TEMPLATES,
            containment: float = CONTAINMENT) -> DataFrame:
-    """``_id, _hash, _block, held``: blocks with enough words of the templates, and these words.
-
-    Lines and paragraphs are blocks; a paragraph of one line is that line.
-    """
+    """``_id, _hash, _block, held``: blocks with enough words of the templates, and these words."""
     vocabulary, least = _vocabulary(given, containment)
-    lines = F.split(whole(text), "\n")
-    parts = F.concat(lines, F.filter(F.split(whole(text), r"\n[\x20\x09-\x0D]*\n"),
-                                     lambda t: F.instr(t, "\n") > 0))
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(text)).alias("_hash"),
-                       F.posexplode(parts).alias("_block", "_part"))
+                       F.posexplode(F.split(whole(text), "\n")).alias("_block", "_part"))
     known = F.array(*[F.lit(w) for w in vocabulary])
     rows = rows.select("_id", "_hash", "_block",
                        F.array_intersect(words_of(F.col("_part")), known).alias("held"))
@@ -101,7 +94,8 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLA
           containment: float = CONTAINMENT) -> DataFrame:
     """``_id, _hash, _block, label, contained``: blocks with a template at the threshold."""
     spark = docs.sparkSession
-    held = blocks(docs, key, text, given, containment)
+    # read twice, to count the words and to join
+    held = saved(blocks(docs, key, text, given, containment), "blocks")
     each = held.select("_id", "_hash", "_block", F.size("held").alias("n"), F.explode("held").alias("word"))
     counted = each.groupBy("word").agg(F.count("*").alias("count"))
     sets = templates(spark, given, containment)

@@ -225,8 +225,6 @@ place AS (
     FROM (VALUES {_TEMPLATE_ROWS}) AS t(id, label, text)
 ), part AS (
     SELECT rid, unnest(string_split(text, chr(10))) AS part FROM doc
-    UNION ALL
-    SELECT rid, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) FROM doc
 ), held AS (
     SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS contained
     FROM (SELECT rid, list_filter(regexp_split_to_array(translate(part,
