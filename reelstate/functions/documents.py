@@ -15,10 +15,15 @@ def detection(timestamp: Column, horse_id: Column, person_name: Column,
 
 
 def result(filename: Column, duration: Column, resolution: Column, processed_at: Column,
-           detections: Column) -> Column:
+           detections: Column, part: Column | None = None,
+           first_pos: Column | None = None) -> Column:
+    """A result, or a part of one; the first part goes without its numbers."""
+    numbers = {"part": part, "first_pos": first_pos}
     return F.struct(
         filename.alias("filename"), duration.alias("duration"), resolution.alias("resolution"),
         processed_at.alias("processed_at"), detections.alias("detections"),
+        *[F.nullif(F.lit(0) if value is None else value, F.lit(0)).cast("long").alias(name)
+          for name, value in numbers.items()],
     )
 
 

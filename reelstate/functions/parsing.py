@@ -8,6 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Days that a day-time interval of microseconds holds.
+MOST_DAYS = 106_751_991
+# Wide enough for any digits that a confidence may have.
+CONFIDENCE = "decimal(38,20)"
+
+
 def _part(text: Column, separator: str, index: int, kind: str) -> Column:
     parts = F.split(text, separator)
     return F.when(F.size(parts) == 2, F.get(parts, F.lit(index)).try_cast(kind))
@@ -16,8 +22,8 @@ def _part(text: Column, separator: str, index: int, kind: str) -> Column:
 def confidence_parts(confidence: Column) -> tuple[Column, Column]:
     """``0.98_0.95`` as two decimals."""
     return (
-        _part(confidence, "_", 0, "decimal(4,2)"),
-        _part(confidence, "_", 1, "decimal(4,2)"),
+        _part(confidence, "_", 0, CONFIDENCE),
+        _part(confidence, "_", 1, CONFIDENCE),
     )
 
 
@@ -28,23 +34,27 @@ def resolution_parts(resolution: Column) -> tuple[Column, Column]:
 
 def media_seconds(offset: Column) -> Column:
     """``mm:ss`` as whole seconds. This is an offset in the media, not a wall clock."""
-    minutes = _part(offset, ":", 0, "int")
-    seconds = _part(offset, ":", 1, "int")
-    valid = (minutes >= 0) & (minutes < 1_000_000) & seconds.between(0, 59)
-    return F.when(valid, minutes * 60 + seconds)
+    minutes = _part(offset, ":", 0, "bigint")
+    seconds = _part(offset, ":", 1, "bigint")
+    valid = (minutes >= 0) & seconds.between(0, 59)
+    return F.when(valid, F.try_add(F.try_multiply(minutes, F.lit(60)), seconds))
 
 
 def media_interval(offset: Column) -> Column:
-    """``mm:ss`` as a day-time interval."""
+    """``mm:ss`` as a day-time interval; NULL beyond the days that an interval can hold."""
     whole = media_seconds(offset)
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), whole.cast("decimal(18,6)"))
+    days = F.when(whole < MOST_DAYS * 86_400, F.floor(whole / 86_400).cast("int"))
+    rest = (whole % 86_400).cast("decimal(18,6)")
+    return F.when(days.isNotNull(), F.make_dt_interval(days, F.lit(0), F.lit(0), rest))
 
 
 def media_offset(seconds: Column) -> Column:
-    """Whole seconds as ``mm:ss``."""
-    whole = seconds.cast("int")
-    return F.concat(
-        F.lpad(F.floor(whole / 60).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((whole % 60).cast("string"), 2, "0"),
-    )
+    """Whole seconds as ``mm:ss``; minutes take as many digits as they need."""
+    whole = seconds.cast("bigint")
+    return F.concat(padded(F.floor(whole / 60), 2), F.lit(":"), padded(whole % 60, 2))
+
+
+def padded(number: Column, digits: int) -> Column:
+    """A whole number with zeros before it, never cut."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))

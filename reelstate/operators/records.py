@@ -19,6 +19,22 @@ def initial_records(uploads: DataFrame, upload_folder: str) -> DataFrame:
     )
 
 
+def creation_events(manifest: DataFrame) -> DataFrame:
+    """The first log event of each landed upload, as rows of ``TASK_EVENTS``.
+
+    Files whose names hold no task id are no uploads.
+    """
+    known = {
+        "task_id": F.col("task_id"), "seq": F.lit(0), "event_time": F.col("modificationTime"),
+        "status": F.lit(S.UPLOADING), "progress": F.lit(0), "message": F.lit(S.RECEIVED_MESSAGE),
+        "file_path": F.col("path"),
+    }
+    return manifest.filter("task_id IS NOT NULL").select(*[
+        known.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
+        for field in S.TASK_EVENTS
+    ])
+
+
 def accepted_replies(uploads: DataFrame) -> DataFrame:
     """The reply to each accepted upload."""
     reply = documents.envelope(
@@ -51,18 +67,21 @@ def completions(tasks: DataFrame, public_base: str, finished_at: Column) -> Data
     """Completion events: URL and result in one row, so no reader sees half of them.
 
     ``tasks`` carries ``task_id``, ``filename``, ``duration``, ``resolution`` and
-    ``detections``. The message is left untouched.
+    ``detections``, with ``part`` and ``first_pos`` where results come in parts. The first
+    part completes the task; the others add to its result alone. The message is left untouched.
     """
+    numbers = [F.col(name) if name in tasks.columns else F.lit(0) for name in ("part", "first_pos")]
+    completes = numbers[0] == 0
     name = text.processed_name(F.col("task_id"), F.col("filename"))
     result = documents.result(
         F.col("filename"), F.col("duration"), F.col("resolution"),
-        text.completion_text(finished_at), F.col("detections"),
+        text.completion_text(finished_at), F.col("detections"), *numbers,
     )
     return tasks.select(
         "task_id",
-        F.lit(S.COMPLETED).alias("status"),
-        F.lit(S.PROGRESS_LAST).alias("progress"),
-        text.public_url(public_base, name).alias("processed_video_url"),
+        F.when(completes, F.lit(S.COMPLETED)).alias("status"),
+        F.when(completes, F.lit(S.PROGRESS_LAST)).alias("progress"),
+        F.when(completes, text.public_url(public_base, name)).alias("processed_video_url"),
         result.alias("result"),
     )
 

@@ -26,30 +26,36 @@ def with_positions(detections: DataFrame, order: list[str], split_on: str,
 
 def assemble_results(detections: DataFrame, key: str = "task_id",
                      part_size: int = PART_SIZE) -> DataFrame:
-    """Flat detections to ``(task, part, detections)`` with the array in ``pos`` order.
+    """Flat detections to ``(task, part, first_pos, detections)``, the array in ``pos`` order.
 
-    ``pos`` is dense from 0; part ``p`` holds the positions from ``p * part_size``.
+    ``pos`` is dense from 0; a part says where it starts, so readers need no part size.
     """
     record = documents.detection(*[F.col(name) for name in DETECTION_FIELDS])
     ordered = F.sort_array(F.collect_list(F.struct("pos", record.alias("detection"))))
     return (
         detections.withColumn("part", F.expr(f"pos div {part_size}"))
         .groupBy(key, "part")
-        .agg(ordered.alias("_ordered"))
-        .select(key, "part", F.col("_ordered.detection").alias("detections"))
+        .agg(F.min("pos").alias("first_pos"), ordered.alias("_ordered"))
+        .select(key, "part", "first_pos", F.col("_ordered.detection").alias("detections"))
     )
 
 
-def flatten_results(results: DataFrame, keep: list[str], keep_empty: bool = False,
-                    part_size: int = PART_SIZE) -> DataFrame:
-    """One row per detection of the ``detections`` array, with its position.
+def flatten_results(results: DataFrame, keep: list[str], keep_empty: bool = False) -> DataFrame:
+    """One row per detection, with its position in the whole result.
 
-    The plain form drops documents without detections; ``keep_empty`` keeps them as one
+    ``results`` has assembled documents, or a column ``result`` as states and replies have
+    it; without ``first_pos`` every document is a whole result. The plain form drops documents without detections; ``keep_empty`` keeps them as one
     row of NULLs.
     """
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    flat = results.select(*keep, "part", explode("detections").alias("_pos", "_detection"))
-    position = F.coalesce(F.col("part"), F.lit(0)) * part_size + F.col("_pos")
+    inside = "result." if "result" in results.columns else ""
+    whole = not inside and "first_pos" not in results.columns
+    first = F.lit(0) if whole else F.col(f"{inside}first_pos")
+    flat = results.select(
+        *keep, first.alias("_first"),
+        explode(f"{inside}detections").alias("_pos", "_detection"),
+    )
+    position = F.coalesce(F.col("_first"), F.lit(0)) + F.col("_pos")
     return flat.select(
         *keep,
         position.cast("long").alias("pos"),

@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelstate.operators.skew import running_last, running_sum, with_running
-from reelstate.schemas import PROCESSING, UPLOADING
 
+RESULT_FIELD = "result"
 # Allowed values of text fields, by field name.
 Enums = dict[str, Sequence[str]] | None
 
@@ -44,49 +44,80 @@ def merged_state(events: DataFrame, fields: list[str], keys: Sequence[str] = ("t
 
 
 def _latest_set(field: str, order: str) -> Column:
-    return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order)))
+    rank = F.col(order)
+    if field == RESULT_FIELD:  # parts share the order value of their completion
+        rank = F.struct(rank, -F.coalesce(F.col(f"{field}.part"), F.lit(0)))
+    return F.max_by(field, F.when(F.col(field).isNotNull(), rank))
+
+
+def result_parts(events: DataFrame, key: str = "task_id", order: str = "seq") -> DataFrame:
+    """All parts of the last result of each task: ``key, part, result``.
+
+    ``merged_state`` holds the first part, which most results have alone.
+    """
+    done = events.filter(F.col(RESULT_FIELD).isNotNull())
+    part = F.coalesce(F.col(f"{RESULT_FIELD}.part"), F.lit(0)).alias("part")
+    last = done.groupBy(key, part).agg(F.max(order).alias("_at"), F.max_by(RESULT_FIELD, order).alias("result"))
+    newest = done.groupBy(F.col(key).alias("_of")).agg(F.max(order).alias("_newest"))
+    joined = last.join(newest, (last[key] == newest["_of"]) & (last["_at"] == newest["_newest"]))
+    return joined.select(key, "part", "result")
 
 
 def _aggregate(events: DataFrame, fields: list[str], keys: Sequence[str], order: str,
                enums: Enums, latest: Callable[[str, str], Column]) -> DataFrame:
     """One aggregate per field, combined map-side.
 
-    ``enums`` lists the allowed values of text fields. They travel as numbers, and with
-    only numbers in its buffer the aggregate hashes where text would make it sort. A
-    value outside the list stops the query.
+    ``enums`` lists the usual values of text fields. They travel as numbers, and with
+    only numbers in its buffer the aggregate hashes where text would make it sort. Other
+    values are rare: they are merged on their own, as text, and join the result.
     """
     enums = {name: values for name, values in (enums or {}).items() if name in fields}
     coded = events.withColumns({name: _code(name, values) for name, values in enums.items()})
+    set_at = [F.max(F.when(F.col(name).isNotNull(), F.col(order))).alias(f"_{name}_at") for name in enums]
     found = coded.groupBy(*keys).agg(
         F.max(order).alias(f"last_{order}"),
         *[latest(field, order).alias(field) for field in fields],
+        *set_at,
     )
-    return found.withColumns({
-        name: F.get(F.array(*[F.lit(v) for v in values]), F.col(name))
-        for name, values in enums.items()
-    })
+    for name, values in enums.items():
+        text = F.get(F.array(*[F.lit(v) for v in values]), F.col(name))
+        other = events.filter(~F.col(name).isin(*values)).groupBy(
+            *[F.col(key).alias(f"_of_{key}") for key in keys]
+        ).agg(F.max(order).alias("_other_at"), F.max_by(name, order).alias("_other"))
+        matches = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+        last = F.col(f"last_{order}") if latest is F.max_by else F.col(f"_{name}_at")
+        later = F.col("_other_at") >= F.coalesce(last, F.col("_other_at"))
+        found = found.join(other, matches, "left").withColumn(
+            name, F.when(later, F.col("_other")).otherwise(text)
+        ).drop("_other", "_other_at", *[f"_of_{key}" for key in keys])
+    return found.select(*keys, f"last_{order}", *fields)
 
 
 def _code(name: str, values: Sequence[str]) -> Column:
-    value = F.col(name)
-    refused = F.concat(F.lit(f"{name} outside its allowed values: "), value)
-    code = F.when(value.isNotNull(), F.raise_error(refused).cast("int"))
+    code = F.lit(None).cast("int")
     for number, text in reversed(list(enumerate(values))):
-        code = F.when(value == text, F.lit(number)).otherwise(code)
+        code = F.when(F.col(name) == text, F.lit(number)).otherwise(code)
     return code
 
 
-def phase_progress(events: DataFrame, key: str = "task_id", order: str = "seq") -> DataFrame:
-    """Latest upload percent and latest processing percent, side by side."""
+def phase_progress(transfers: DataFrame, events: DataFrame, key: str = "task_id",
+                   order: str = "seq") -> DataFrame:
+    """Latest upload percent and latest processing percent, side by side.
 
-    def latest(phase: str) -> Column:
-        counts = (F.col("status") == phase) & F.col("progress").isNotNull()
-        return F.max_by("progress", F.when(counts, F.col(order)))
+    ``transfers`` has the ``percent`` of the upload's callbacks; processing reports through
+    the log, in rows of any status.
+    """
+    upload = transfers.select(key, order, F.col("percent").alias("upload_percent"),
+                              F.lit(None).cast("int").alias("processing_percent"))
+    processing = events.select(key, order, F.lit(None).cast("int").alias("upload_percent"),
+                               F.col("progress").alias("processing_percent"))
+    both = upload.unionByName(processing)
 
-    return events.groupBy(key).agg(
-        latest(UPLOADING).alias("upload_percent"),
-        latest(PROCESSING).alias("processing_percent"),
-    )
+    def latest(name: str) -> Column:
+        # equal order values: the higher percent
+        return F.max(F.when(F.col(name).isNotNull(), F.struct(order, name)))[name].alias(name)
+
+    return both.groupBy(key).agg(latest("upload_percent"), latest("processing_percent"))
 
 
 def state_history(events: DataFrame, fields: list[str], keys: Sequence[str] = ("task_id",),
@@ -101,8 +132,19 @@ def number_attempts(events: DataFrame, is_reset: Column, key: str = "task_id",
                     order: str = "seq", limit: int | None = None) -> DataFrame:
     """Number the attempts of a task: each reset starts the next one.
 
-    State merged by ``(task_id, attempt)`` keeps late results on the attempt they
-    belong to.
+    An event that names its ``attempt`` keeps it, so that a late result stays with the
+    attempt it belongs to; all others take the number of resets so far. A reset that was
+    written twice, under one ``seq``, counts once.
     """
-    resets = F.coalesce(is_reset, F.lit(False)).cast("long")
-    return with_running(events, [key], [order], [running_sum("attempt", resets)], limit=limit)
+    first = W.partitionBy(key, order).orderBy(F.lit(0))
+    resets = F.coalesce(is_reset, F.lit(False))
+    once = resets & (F.row_number().over(first) == 1)
+    named = "attempt" in events.columns
+    given = events.withColumnRenamed("attempt", "_given") if named else events
+    running = with_running(
+        given.withColumn("_reset", once.cast("long")), [key], [order],
+        [running_sum("attempt", F.col("_reset"))], limit=limit,
+    ).drop("_reset")
+    if not named:
+        return running
+    return running.withColumn("attempt", F.coalesce("_given", "attempt")).drop("_given")

@@ -1,6 +1,6 @@
 """Sources and sinks, written to the shared scratch folder and read back."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelstate import schemas as S
@@ -14,11 +14,63 @@ from reelstate.session import scratch_path
 from reelstate.sources import event_log, landing, replies
 
 
-@query()
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLE_FILES = f"""
+SELECT CAST(NULL AS VARCHAR) AS task_id, name || '.parquet' AS filename, 'parquet' AS extension,
+  TRUE AS has_bytes
+FROM (VALUES {", ".join(f"('{name}')" for name in TABLES)}) AS tables(name)"""
+
+
+def file_facts(manifest: DataFrame) -> DataFrame:
+    return manifest.select(
+        "task_id", "filename", text.extension(F.col("filename")).alias("extension"),
+        (F.col("length") > 0).alias("has_bytes"),
+    )
+
+
+@query(TABLE_FILES)
 def io1_landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all table files, as if the folder were the landing folder."""
-    files = landing.read_landing(spark, sf_dir, glob="*.parquet", recursive=True)
-    return files.select("task_id", "filename", "path", "length")
+    return file_facts(landing.read_landing(spark, sf_dir, glob="*.parquet", recursive=True))
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's upload in an inventory of the landing folder; some have no bytes."""
+    uploads = standins.uploads(spark, sf_dir)
+    name = text.storage_name(F.col("task_id"), F.col("filename"))
+    return uploads.select(
+        F.concat(F.lit(f"{standins.UPLOAD_FOLDER}/"), name).alias("path"),
+        (F.col("n_chars") % 7).alias("length"),
+        F.timestamp_seconds(F.col("n_chars") + 1_772_805_600).alias("modificationTime"),
+    )
+
+
+@query(sql.with_tables(
+    "SELECT task_id, basename AS filename, n_chars % 7 AS length FROM uploads", sql.UPLOADS,
+))
+def io1_inventory_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest from an inventory table: empty files stay, and no folder is listed."""
+    return landing.to_manifest(_landed(spark, sf_dir)).select("task_id", "filename", "length")
+
+
+@query(sql.with_tables(
+    f"""SELECT task_id, CAST(0 AS BIGINT) AS seq, '{S.UPLOADING}' AS status,
+          CAST(0 AS INTEGER) AS progress, '{S.RECEIVED_MESSAGE}' AS message,
+          '/videos/upload/' || task_id || '_' || basename AS file_path,
+          strftime(to_timestamp(n_chars + 1772805600) AT TIME ZONE 'UTC', '%Y-%m-%d') AS event_date
+        FROM uploads""",
+    sql.UPLOADS,
+))
+def io3_uploads_to_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed uploads as creation events in the log, written twice as one batch."""
+    created = records.creation_events(landing.to_manifest(_landed(spark, sf_dir)))
+    path = scratch_path(spark, "upload-log")
+    for _ in range(2):
+        event_log.append_events(created, path, batch="0")
+    log = event_log.read_events(spark, path)
+    return log.select("task_id", "seq", "status", "progress", "message", "file_path",
+                      F.col("event_date").cast("string").alias("event_date"))
 
 
 @query(sql.with_tables(
@@ -61,19 +113,42 @@ def io4_reply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = documents.result(
         F.concat(F.lit("clip_"), F.col("task_id").cast("string"), F.lit(".mp4")),
         F.lit("00:30"), F.lit("1920x1080"), F.lit("2026-03-06 14:00:00"), F.col("detections"),
+        F.col("part"), F.col("first_pos"),
     )
+    path = _sent(answers, result)
+    read = replies.read_replies(spark, path).select("code", "data.task_id", "data.result")
+    return results.flatten_results(read, ["task_id", "code"], keep_empty=True)
+
+
+def _sent(answers: DataFrame, result: Column) -> str:
+    """The path of the answers' replies, one JSON line each."""
     full = answers.select(
-        F.col("task_id").cast("string"), "code", "reply_message", "part",
+        F.col("task_id").cast("string"), "code", "reply_message",
         F.lit(S.COMPLETED).alias("status"), result.alias("result"),
     )
     sent = records.reply_documents(
-        full.withColumn("key", F.col("task_id")), ["task_id", "status", "part", "result"]
+        full.withColumn("key", F.col("task_id")), ["task_id", "status", "result"]
     )
-    path = scratch_path(spark, "replies")
+    path = scratch_path(answers.sparkSession, "replies")
     replies.write_replies(sent, path, "key")
-    read = replies.read_replies(spark, path, sent.schema["reply"].dataType)
-    flat = read.select("code", "data.task_id", "data.part", "data.result.detections")
-    return results.flatten_results(flat, ["task_id", "code"], keep_empty=True)
+    return path
+
+
+@query(sql.with_tables(
+    """SELECT CAST(task_id AS VARCHAR) AS task_id, pos, "timestamp", horse_id, person_name,
+         confidence FROM detections""",
+    sql.DETECTIONS,
+))
+def io4_declared_reply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in parts of two through JSON replies and the declared reply schema."""
+    parts = results.assemble_results(standins.detections(spark, sf_dir), part_size=2)
+    answers = parts.withColumns({"code": F.lit(S.OK_CODE), "reply_message": F.lit(None).cast("string")})
+    result = documents.result(
+        F.lit("clip.mp4"), F.lit("00:30"), F.lit("1920x1080"), F.lit("2026-03-06 14:00:00"),
+        F.col("detections"), F.col("part"), F.col("first_pos"),
+    )
+    read = replies.read_replies(spark, _sent(answers, result)).select("data.task_id", "data.result")
+    return results.detection_table(results.flatten_results(read, ["task_id"]))
 
 
 @query(f"SELECT value FROM ({REPLY_LINES_SQL})")

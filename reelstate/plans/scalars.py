@@ -74,8 +74,8 @@ def s_s5_request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.with_tables(
     """SELECT task_id, pos, confidence, CAST(split_part(confidence, '_', 1) AS DOUBLE) AS conf_1,
          CAST(split_part(confidence, '_', 2) AS DOUBLE) AS conf_2,
-         CAST(CAST(split_part("timestamp", ':', 1) AS INTEGER) * 60
-           + CAST(split_part("timestamp", ':', 2) AS INTEGER) AS INTEGER) AS offset_seconds
+         CAST(split_part("timestamp", ':', 1) AS BIGINT) * 60
+           + CAST(split_part("timestamp", ':', 2) AS BIGINT) AS offset_seconds
        FROM detections""",
     sql.DETECTIONS,
 ))

@@ -1,12 +1,18 @@
 """SQL for the stand-ins, shared by the checks."""
 
-BASE = "http://localhost:8000/videos"
+from reelstate.schemas import PUBLIC_BASE as BASE
+
+
+def padded(number: str, digits: int) -> str:
+    text = f"CAST({number} AS VARCHAR)"
+    return f"lpad({text}, CAST(greatest(length({text}), {digits}) AS INTEGER), '0')"
+
 
 TASK_EVENTS = f"""
 task_events AS (
   SELECT user_id AS task_id, event_id AS seq, ts AS event_time,
     CASE event_type WHEN 'signup' THEN 'uploading' WHEN 'view' THEN 'processing'
-      WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed'
+      WHEN 'purchase' THEN 'completed'
       WHEN 'error' THEN 'error' END AS status,
     CASE WHEN event_type IN ('signup', 'view', 'click')
       THEN CAST(json_extract_string(props, '$.k') AS INTEGER)
@@ -18,15 +24,15 @@ task_events AS (
   FROM events
 )"""
 
-DETECTIONS = """
+DETECTIONS = f"""
 detections AS (
   SELECT l_orderkey AS task_id,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
       l_shipdate, l_extendedprice) - 1 AS pos,
-    lpad(CAST((CAST(l_quantity AS INTEGER) * 3) // 60 AS VARCHAR), 2, '0') || ':'
-      || lpad(CAST((CAST(l_quantity AS INTEGER) * 3) % 60 AS VARCHAR), 2, '0') AS "timestamp",
-    'H' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') AS horse_id,
-    'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS person_name,
+    {padded("CAST(floor(l_extendedprice) AS BIGINT) // 60", 2)} || ':'
+      || {padded("CAST(floor(l_extendedprice) AS BIGINT) % 60", 2)} AS "timestamp",
+    'H' || {padded("l_suppkey % 1000", 3)} AS horse_id,
+    'Supplier#' || {padded("l_suppkey", 9)} AS person_name,
     CAST(CAST(1 - l_discount AS DECIMAL(4,2)) AS VARCHAR) || '_'
       || CAST(CAST(1 - l_tax AS DECIMAL(4,2)) AS VARCHAR) AS confidence
   FROM lineitem

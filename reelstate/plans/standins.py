@@ -10,7 +10,7 @@ from reelstate import schemas as S
 from reelstate.functions import parsing, text
 from reelstate.operators.results import with_positions
 
-PUBLIC_BASE = "http://localhost:8000/videos"
+PUBLIC_BASE = S.PUBLIC_BASE
 UPLOAD_FOLDER = "/videos/upload"
 DETECTION_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
@@ -31,14 +31,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_task_events(events: DataFrame) -> DataFrame:
-    """``events`` rows as task events of their user."""
+    """``events`` rows as task events of their user; clicks report progress and no status."""
     kind = F.col("event_type")
     moving = kind.isin("signup", "view", "click")
     done = kind == "purchase"
     percent = F.get_json_object("props", "$.k").cast("int")
     status = (
         F.when(kind == "signup", S.UPLOADING)
-        .when(kind.isin("view", "click"), S.PROCESSING)
+        .when(kind == "view", S.PROCESSING)
         .when(done, S.COMPLETED)
         .when(kind == "error", S.ERROR)
     )
@@ -77,17 +77,17 @@ def customer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detections(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """``lineitem`` rows as numbered detections of their order's task."""
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("task_id"), *DETECTION_ORDER, "l_quantity", "l_discount", "l_tax"
+        F.col("l_orderkey").alias("task_id"), *DETECTION_ORDER, "l_discount", "l_tax"
     )
     numbered = with_positions(rows, DETECTION_ORDER, split_on="l_partkey", limit=limit)
     return numbered.select("task_id", "pos", *detection_fields())
 
 
 def detection_fields() -> list[Column]:
-    supplier = F.lpad(F.col("l_suppkey").cast("string"), 9, "0")
-    number = F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0")
+    supplier = parsing.padded(F.col("l_suppkey"), 9)
+    number = parsing.padded(F.col("l_suppkey") % 1000, 3)
     return [
-        parsing.media_offset(F.col("l_quantity").cast("int") * 3).alias("timestamp"),
+        parsing.media_offset(F.floor("l_extendedprice")).alias("timestamp"),
         F.concat(F.lit("H"), number).alias("horse_id"),
         F.concat(F.lit("Supplier#"), supplier).alias("person_name"),
         F.concat_ws("_", _share("l_discount"), _share("l_tax")).alias("confidence"),

@@ -7,6 +7,7 @@ from reelstate.operators import records, results, selection, state
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import query
 from reelstate.schemas import STATUSES, UPLOADING
+from reelstate.streaming import progress
 
 FIELDS = ["status", "progress", "message", "processed_video_url"]
 ENUMS = {"status": STATUSES}
@@ -65,16 +66,39 @@ def a3_result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql.with_tables(
-    """SELECT task_id,
-         max_by(progress, seq) FILTER (WHERE status = 'uploading' AND progress IS NOT NULL)
+    """SELECT task_id, max_by(upload, (seq, upload)) FILTER (WHERE upload IS NOT NULL)
            AS upload_percent,
-         max_by(progress, seq) FILTER (WHERE status = 'processing' AND progress IS NOT NULL)
-           AS processing_percent
-       FROM task_events GROUP BY task_id""",
+         max_by(progress, seq) FILTER (WHERE progress IS NOT NULL) AS processing_percent
+       FROM (
+         SELECT task_id, seq, NULL AS upload, progress FROM task_events
+         UNION ALL
+         SELECT l_orderkey, l_partkey, CAST(floor(l_linenumber * 100.0 / CASE
+             WHEN round(l_tax * 100) = 0 THEN 1 ELSE round(l_tax * 100) END + 0.5) AS BIGINT), NULL
+         FROM lineitem)
+       GROUP BY task_id""",
     sql.TASK_EVENTS,
 ))
 def a4_two_phase_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.phase_progress(standins.task_events(spark, sf_dir))
+    """Upload percent from transfers, processing percent from the log."""
+    moves = progress.percent_stream(standins.transfers(standins.table(spark, sf_dir, "lineitem")))
+    moves = moves.withColumnRenamed("part_id", "seq")
+    return state.phase_progress(moves, standins.task_events(spark, sf_dir))
+
+
+@query(sql.with_tables(
+    'SELECT task_id, pos, "timestamp", horse_id, person_name, confidence FROM detections',
+    sql.DETECTIONS,
+))
+def a3_result_through_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections assembled in parts of two, completed, merged into state, flattened again."""
+    parts = results.assemble_results(standins.detections(spark, sf_dir), part_size=2)
+    tasks = parts.withColumns({
+        "filename": F.concat(F.lit("clip_"), F.col("task_id").cast("string"), F.lit(".mp4")),
+        "duration": F.lit("00:30"), "resolution": F.lit("1920x1080"),
+    })
+    finished = F.lit("2026-03-06 14:00:00").cast("timestamp")
+    done = records.completions(tasks, standins.PUBLIC_BASE, finished).withColumn("seq", F.lit(1))
+    return results.detection_table(results.flatten_results(state.result_parts(done), ["task_id"]))
 
 
 def _carried(field: str) -> str:
@@ -122,6 +146,24 @@ def w2_attempt_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LATE_ATTEMPTS = """
+late AS (
+  SELECT task_id, seq, status, progress,
+    coalesce(CASE WHEN status = 'error' THEN 1 END, CAST(sum(CASE WHEN status = 'uploading'
+      THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)) AS attempt
+  FROM task_events
+)"""
+
+
+@query(sql.with_tables("SELECT * FROM late", sql.TASK_EVENTS, _LATE_ATTEMPTS))
+def w2_late_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are stamped with the first attempt and stay there, whenever they arrive."""
+    events = standins.task_events(spark, sf_dir).select("task_id", "seq", "status", "progress")
+    stamped = events.withColumn("attempt", F.when(F.col("status") == "error", F.lit(1).cast("long")))
+    return state.number_attempts(stamped, F.col("status") == UPLOADING)
+
+
 @query("SELECT conv_id, turn, role FROM conversations "
        "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")
 def l1_first_of_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reelstate.functions import text
 from reelstate.operators import state
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import ORACLES, query
 from reelstate.plans.lookups import NOT_FOUND
+from reelstate.plans.reads_writes import TABLE_FILES, file_facts
 from reelstate.plans.scalars import s_m1_transfer_percent
 from reelstate.plans.states import FIELDS
 from reelstate.session import scratch_path
@@ -30,14 +30,11 @@ def _appended(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query()
+@query(TABLE_FILES)
 def t1_upload_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All table files arriving as uploads."""
     arrivals = landing.stream_landing(spark, f"{sf_dir}/*", glob="*.parquet")
-    found = arrivals.select(
-        "filename", text.extension(F.col("filename")).alias("extension"), "length"
-    )
-    return _appended(found, "arrivals")
+    return _appended(file_facts(arrivals), "arrivals")
 
 
 @query(ORACLES[s_m1_transfer_percent.__name__])
@@ -63,7 +60,7 @@ def t3_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql.with_tables(
-    """SELECT task_id, seq, status FROM task_events
+    """SELECT task_id, seq, status FROM task_events WHERE status IS NOT NULL
        QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1
          AND status IN ('processing', 'uploading')""",
     sql.TASK_EVENTS,
@@ -71,31 +68,49 @@ def t3_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4_followed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks still followed once the stream has been read to its end."""
     table = scratch_path(spark, "followed")
-    changes = eviction.follow_tasks(_event_stream(spark, sf_dir))
-    _drain(latest.publish_state(changes, table, scratch_path(spark, "follow-checkpoint"), DRAIN))
+    changes = eviction.follow_tasks(_event_stream(spark, sf_dir), late_milliseconds=None)
+    checkpoint = scratch_path(spark, "follow-checkpoint")
+    with eviction.rocksdb_store(spark):
+        _drain(latest.publish_state(changes, table, checkpoint, DRAIN))
     newest = state.latest_row(spark.read.schema(changes.schema).parquet(table))
     return newest.filter("followed").select("task_id", "seq", "status")
 
 
+STEPS = 3
+
+
 @query(sql.with_tables(
     f"""SELECT r.o_orderkey AS request_id, r.o_custkey AS task_id,
           CAST(CASE WHEN s.task_id IS NULL THEN 404 ELSE 200 END AS INTEGER) AS code,
           CASE WHEN s.task_id IS NULL THEN {NOT_FOUND} END AS reply_message,
           s.status, s.progress
         FROM orders r
-        LEFT JOIN ({sql.merged_state(fields=("status", "progress"))}) s
-          ON s.task_id = r.o_custkey""",
+        LEFT JOIN (
+          SELECT step, task_id, max_by(status, seq) FILTER (WHERE status IS NOT NULL) AS status,
+            max_by(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress
+          FROM task_events, range({STEPS}) AS steps(step) WHERE seq % {STEPS} <= step
+          GROUP BY step, task_id
+        ) s ON s.task_id = r.o_custkey AND s.step = r.o_orderkey % {STEPS}""",
     sql.TASK_EVENTS,
 ))
 def t5_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of requests answered from the state table."""
-    requests = standins.table_stream(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("task_id")
+    """Requests in three batches; the state table grows before each of them."""
+    fields = ["status", "progress"]
+    events = standins.task_events(spark, sf_dir)
+    asked = standins.customer_requests(spark, sf_dir)
+    folder, table, answers, checkpoint = (
+        scratch_path(spark, name) for name in ("requests", "state", "answers", "answer-checkpoint")
     )
-    merged = state.merged_state(standins.task_events(spark, sf_dir), ["status", "progress"])
-    table = scratch_path(spark, "state")
-    merged.drop("last_seq").write.parquet(table)
-    return _appended(progress.answer_stream(requests, spark.read.parquet(table)), "answers")
+    for step in range(STEPS):
+        part = events.filter(F.col("seq") % STEPS == step)
+        latest.write_part(latest.merge_events(part, fields), table, step)
+        asked.filter(F.col("request_id") % STEPS == step).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(asked.schema).parquet(folder)
+        _drain(progress.answer_stream(
+            stream, lambda: latest.read_state(spark, table, fields).select("task_id", *fields),
+            answers, checkpoint,
+        ))
+    return progress.read_answers(spark, answers)
 
 
 @query(_STATE)

@@ -40,6 +40,7 @@ LOADING_ANALYSIS = "后端正在分析..."
 
 PROGRESS_FIRST, PROGRESS_LAST, PROGRESS_STEP = 0, 100, 10
 MEDIA_EXTENSIONS = ("mp4", "avi", "mov")
+PUBLIC_BASE = "http://localhost:8000/videos"
 STATUS_ENDPOINT = "/api/status"
 TASK_ID_LENGTH = 36
 # End of fixed values.
@@ -52,8 +53,10 @@ def _struct(**fields):
 _S, _I, _L, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampType()
 
 DETECTION = _struct(timestamp=_S, horse_id=_S, person_name=_S, confidence=_S)
+# A result of many detections comes in parts; the first one has neither number.
 RESULT = _struct(
-    filename=_S, duration=_S, resolution=_S, processed_at=_S, detections=T.ArrayType(DETECTION)
+    filename=_S, duration=_S, resolution=_S, processed_at=_S, detections=T.ArrayType(DETECTION),
+    part=_L, first_pos=_L,
 )
 UPLOAD_MANIFEST = _struct(task_id=_S, filename=_S, path=_S, length=_L, modificationTime=_TS)
 TASK_EVENTS = _struct(

@@ -1,5 +1,7 @@
 """Session settings and the shared scratch folder."""
 
+import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -50,5 +52,17 @@ def _temporary_root() -> str:
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new path below the shared folder, never used before."""
-    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, never used before.
+
+    What is written there goes when this process ends.
+    """
+    path = f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        context = spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)

@@ -1,17 +1,23 @@
 """The append-only task event log: parquet, one folder per day."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructType
+from pyspark.sql.types import DateType, StringType, StructType
 
 from reelstate.schemas import STATUSES, TASK_EVENTS
 
 DAY = "event_date"
+BATCH = "event_batch"
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
     """Append event rows, placed by the day of ``event_time``.
 
+    A batch that is written again under its own id replaces what it wrote before; without
+    an id every call is a batch of its own.
+
     The rebalance hint makes files of even size: a busy day is split over tasks, quiet
     days are merged. A status outside the allowed set stops the write, for the log is
     what all state is derived from.
@@ -23,15 +29,17 @@ def append_events(events: DataFrame, path: str) -> None:
     (
         events.withColumn("status", checked)
         .withColumn(DAY, F.to_date("event_time"))
+        .withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
         .hint("rebalance", DAY)
-        .write.mode("append").partitionBy(DAY).parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(DAY, BATCH).parquet(path)
     )
 
 
 def read_events(spark: SparkSession, path: str, days: tuple[str, str] | None = None,
                 schema=TASK_EVENTS) -> DataFrame:
     """The log, or the folders of an inclusive range of days."""
-    events = spark.read.schema(_with_day(schema)).parquet(path)
+    events = spark.read.schema(_with_day(schema)).parquet(path).drop(BATCH)
     if days is None:
         return events
     first, last = (F.lit(day).cast("date") for day in days)
@@ -43,9 +51,9 @@ def stream_events(spark: SparkSession, path: str, schema=TASK_EVENTS,
     return (
         spark.readStream.schema(_with_day(schema))
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
+        .parquet(path).drop(BATCH)
     )
 
 
 def _with_day(schema: StructType) -> StructType:
-    return StructType(schema.fields).add(DAY, DateType())
+    return StructType(schema.fields).add(DAY, DateType()).add(BATCH, StringType())

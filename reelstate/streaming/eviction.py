@@ -1,12 +1,12 @@
 """Following tasks until they end."""
 
+import contextlib
 import sys
 from typing import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from reelstate.schemas import ACTIVE_STATUSES
@@ -14,7 +14,21 @@ from reelstate.schemas import ACTIVE_STATUSES
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# How long an event may be late without bringing a finished task back.
+DAY_MILLISECONDS = 86_400_000
+
+
+@contextlib.contextmanager
+def rocksdb_store(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which following tasks needs."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
 def newest_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,44 +65,37 @@ class FollowUntilDone(StatefulProcessor):
             )
             self.states.append(self.ended)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest, status = None, None
-        for frame in rows:
-            at = frame["seq"].idxmax()
-            if newest is None or frame["seq"][at] > newest:
-                newest, status = int(frame["seq"][at]), frame["status"][at]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda row: row.seq, default=None)
         known = [state.get()[0] for state in self.states if state.exists()]
-        if newest is None or any(newest <= seq for seq in known):
+        if newest is None or any(newest.seq <= seq for seq in known):
             return
-        followed = status in self.active
+        followed = newest.status in self.active
         for state in self.states:
             state.clear()
         if followed:
-            self.open.update((newest,))
+            self.open.update((newest.seq,))
         elif self.late_milliseconds:
-            self.ended.update((newest,))
-        yield pd.DataFrame({
-            "key": [key[0]], "seq": [newest], "status": [status], "followed": [followed],
-        })
+            self.ended.update((newest.seq,))
+        yield Row(key=key[0], seq=newest.seq, status=newest.status, followed=followed)
 
     def close(self) -> None:
         pass
 
 
 def follow_tasks(events: DataFrame, key: str = "task_id", order: str = "seq",
-                 late_milliseconds: int | None = None) -> DataFrame:
+                 late_milliseconds: int | None = DAY_MILLISECONDS) -> DataFrame:
     """A stream of ``task, seq, status, followed``: one row per task a batch changed.
 
-    ``events`` rows must carry a status. Set ``late_milliseconds`` on streams that always
-    run and whose log may be late; a draining trigger would never end, for Spark then
-    goes on to wait for tombstones to expire. Sets the session's state store to RocksDB,
-    the one that keeps several states per key.
+    Events without a status leave a task as it is. The last event of a finished task is
+    remembered for ``late_milliseconds``, so that late ones do not bring it back. Give None
+    for a stream that is drained once: Spark would go on to wait for the memories to expire.
+    Start the stream inside ``rocksdb_store``.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    slim = events.selectExpr(f"{key} AS key", f"{order} AS seq", "status")
+    slim = events.filter("status IS NOT NULL").selectExpr(f"{key} AS key", f"{order} AS seq", "status")
     kind = slim.schema["key"].dataType.simpleString()
     combined = slim.mapInArrow(newest_per_batch, f"key {kind}, seq BIGINT, status STRING")
-    return combined.groupBy("key").transformWithStateInPandas(
+    return combined.groupBy("key").transformWithState(
         FollowUntilDone(ACTIVE_STATUSES, late_milliseconds),
         outputStructType=f"key {kind}, seq BIGINT, status STRING, followed BOOLEAN",
         outputMode="Update",

@@ -1,11 +1,14 @@
 """Stateless and lookup streams."""
 
-from pyspark.sql import DataFrame
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelstate.functions.progress import transfer_percent
-from reelstate.operators.lookup import with_reply_code
+from reelstate.operators.lookup import answer
+from reelstate.streaming.latest import BATCH
 
 
 def percent_stream(transfers: DataFrame) -> DataFrame:
@@ -13,15 +16,30 @@ def percent_stream(transfers: DataFrame) -> DataFrame:
     return transfers.withColumn("percent", transfer_percent(F.col("loaded"), F.col("total")))
 
 
-def answer_stream(requests: DataFrame, state: DataFrame, key: str = "task_id") -> DataFrame:
-    """Requests of a stream joined to the state table, as of each micro-batch.
+def answer_stream(requests: DataFrame, state_now: Callable[[], DataFrame], path: str,
+                  checkpoint: str, key: str = "task_id", limit: int | None = None,
+                  trigger: dict | None = None) -> StreamingQuery:
+    """Answer the requests of a stream from the state at the time of each micro-batch.
 
-    ``state`` should be a stored table, for every batch reads it anew. Spark broadcasts it
-    when its size allows and else shuffles both sides; such a stream keeps no state, so
-    adaptive execution serves it too and splits a hot request key.
+    ``state_now`` is called for every batch and opens the state anew; a stream-static join
+    would keep the files that were there when the stream started. Hot request keys are
+    split as in batch lookups. A batch that is run again replaces its own answers.
     """
-    known = state.withColumn("_known", F.lit(True))
-    return with_reply_code(requests.join(known, key, "left"))
+
+    def answer_batch(batch: DataFrame, batch_id: int) -> None:
+        answers = answer(batch, state_now(), key, limit=limit)
+        answers.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    return (
+        requests.writeStream.foreachBatch(answer_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BATCH)
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str,

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ def test_transfer_percent(evaluate, loaded, total, percent):
 
 
 @pytest.mark.parametrize("raw, parts", [
-    ("0.98_0.95", ("0.98", "0.95")), ("0.98", (None, None)), ("a_0.5", (None, "0.50")),
+    ("0.98_0.95", ("0.98", "0.95")), ("0.98", (None, None)), ("a_0.5", (None, "0.5")),
+    ("0.985_100.0", ("0.985", "100.0")), ("1.123456789_12345", ("1.123456789", "12345")),
     ("", (None, None)), (None, (None, None)), ("1_2_3", (None, None)),
 ])
 def test_confidence_parts(evaluate, raw, parts):
     found = evaluate(*parsing.confidence_parts(F.lit(raw).cast("string")))
-    assert tuple(None if v is None else str(v) for v in found) == parts
+    assert found == tuple(None if v is None else Decimal(v) for v in parts)
 
 
 @pytest.mark.parametrize("raw, size", [
@@ -39,12 +42,24 @@ def test_resolution_parts(evaluate, raw, size):
 
 @pytest.mark.parametrize("raw, seconds", [
     ("00:05", 5), ("75:10", 4510), ("1:60", None), ("-1:05", None), ("00:00:05", None),
-    ("five", None), (None, None),
+    ("five", None), (None, None), ("1000000:00", 60_000_000), ("9000000000:01", 540_000_000_001),
+    ("9223372036854775807:00", None),
 ])
 def test_media_seconds(evaluate, raw, seconds):
     assert evaluate(parsing.media_seconds(F.lit(raw).cast("string"))) == (seconds,)
 
 
+@pytest.mark.parametrize("seconds, raw", [
+    (0, "00:00"), (65, "01:05"), (6000, "100:00"), (600_000_000_001, "10000000000:01"), (None, None),
+])
+def test_media_offset_is_never_cut(evaluate, seconds, raw):
+    assert evaluate(parsing.media_offset(F.lit(seconds).cast("long"))) == (raw,)
+
+
+def test_media_interval_beyond_its_type(evaluate):
+    assert evaluate(parsing.media_interval(F.lit("9000000000000000:00"))) == (None,)
+
+
 def test_media_interval(evaluate):
     assert evaluate(parsing.media_interval(F.lit("01:30")))[0].total_seconds() == 90
 

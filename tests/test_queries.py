@@ -5,9 +5,11 @@ import pytest
 import __spark_entry__ as entries
 from compare import SAME_TYPE, oracle_connection, oracle_rows, oracle_types, spark_rows
 from reelstate.operators import skew
+from reelstate.plans import catalog
 
-QUERIES, ORACLES = entries.queries(), entries.oracle_sql()
-FILES_ONLY = {"io1_landing_scan", "t1_upload_arrivals"}
+catalog.load()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
+FILE_LISTS = ("io1_landing_scan", "t1_upload_arrivals")
 WITH_HOT_KEYS = (
     "flagship_request_detections", "j1_status_lookup", "j3_state_as_of", "w1_state_history",
     "w2_attempt_state", "a3_result_assembly", "io4_reply_scan",
@@ -41,11 +43,12 @@ def test_matches_sql_when_most_keys_are_hot(spark, oracle, sf_dir, name, monkeyp
     check(spark, oracle, sf_dir, name)
 
 
-def test_only_file_listings_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == FILES_ONLY
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entries.queries()) and set(ORACLES) <= set(entries.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(FILES_ONLY))
+@pytest.mark.parametrize("name", FILE_LISTS)
 def test_lists_every_table_file(spark, sf_dir, name):
     found = {row.filename for row in QUERIES[name](spark, sf_dir).select("filename").collect()}
     assert {"events.parquet", "lineitem.parquet"} <= found

@@ -132,7 +132,7 @@ def test_documents_in_parts(events):
         F.lit("0.9_0.8").alias("confidence"))
     parts = results.assemble_results(flat, part_size=7)
     assert parts.agg(F.max(F.size("detections"))).first()[0] == 7
-    same(results.flatten_results(parts, ["task_id"], part_size=7), flat)
+    same(results.flatten_results(parts, ["task_id"]), flat)
 
 
 def test_document_lookup_with_hot_tasks_and_requests(events):
@@ -144,7 +144,7 @@ def test_document_lookup_with_hot_tasks_and_requests(events):
     requests = events.filter("seq % 20 = 0").select("seq", "task_id")
     for limit in (None, 5):
         answers = lookup.answer_documents(requests, parts, known, limit=limit)
-        found = results.flatten_results(answers, ["seq", "task_id", "code"], True, part_size=40)
+        found = results.flatten_results(answers, ["seq", "task_id", "code"], True)
         expected = requests.join(known, "task_id", "left").select(
             "seq", "task_id", F.when(F.col("pos").isNull(), 404).otherwise(200).alias("code"),
             "pos", *results.DETECTION_FIELDS)

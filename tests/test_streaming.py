@@ -78,8 +78,9 @@ def test_compaction_keeps_the_state_and_the_stream_goes_on(spark, log):
 
 def follow(spark, path):
     table = scratch_path(spark, "followed")
-    changes = eviction.follow_tasks(stream(spark, path))
-    latest.publish_state(changes, table, scratch_path(spark, "c"), DRAIN).awaitTermination()
+    changes = eviction.follow_tasks(stream(spark, path), late_milliseconds=None)
+    with eviction.rocksdb_store(spark):
+        latest.publish_state(changes, table, scratch_path(spark, "c"), DRAIN).awaitTermination()
     return spark.read.schema(changes.schema).parquet(table)
 
 
@@ -91,7 +92,8 @@ def test_finished_tasks_leave(spark, sf_dir):
         part = events.filter(F.col("seq").between(low, low + 399))
         part.coalesce(1).write.mode("append").parquet(path)
     last = state.latest_row(follow(spark, path))
-    expected = state.latest_row(events).filter("status IN ('processing', 'uploading')")
+    known = events.filter("status IS NOT NULL")
+    expected = state.latest_row(known).filter("status IN ('processing', 'uploading')")
     same(last.filter("followed").select("task_id", "seq", "status"), expected)
 
 
@@ -118,13 +120,24 @@ def test_arrivals_come_once(spark, tmp_path):
 def test_answers_see_the_state_table(spark, tmp_path):
     path = str(tmp_path / "requests")
     spark.createDataFrame([(1, 5), (2, 6)], "request_id INT, task_id INT").write.parquet(path)
-    known = spark.createDataFrame([(5, "completed")], "task_id INT, status STRING")
-    answers = progress.answer_stream(stream(spark, path), known)
-    out = str(tmp_path / "out")
-    progress.append_stream(answers, out, str(tmp_path / "c")).awaitTermination()
-    found = {(r.request_id, r.code, r.status, r.reply_message)
-             for r in spark.read.parquet(out).collect()}
-    assert found == {(1, 200, "completed", None), (2, 404, None, "任务不存在")}
+    table, out = str(tmp_path / "state"), str(tmp_path / "out")
+
+    def known(*rows):
+        spark.createDataFrame(rows, "task_id INT, status STRING").write.mode("append").parquet(table)
+
+    def found():
+        progress.answer_stream(
+            stream(spark, path), lambda: spark.read.parquet(table), out, str(tmp_path / "c"), limit=1
+        ).awaitTermination()
+        return {(r.request_id, r.code, r.status, r.reply_message)
+                for r in progress.read_answers(spark, out).collect()}
+
+    known((5, "completed"))
+    first = {(1, 200, "completed", None), (2, 404, None, "任务不存在")}
+    assert found() == first
+    known((6, "uploading"))
+    spark.createDataFrame([(3, 6)], "request_id INT, task_id INT").write.mode("append").parquet(path)
+    assert found() == first | {(3, 200, "uploading", None)}
 
 
 def test_event_log_as_a_stream(spark, sf_dir, tmp_path):
@@ -145,8 +158,9 @@ def test_tombstone_stops_a_late_event(spark):
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)  # the file source goes by modification time
     changes = eviction.follow_tasks(stream(spark, path), late_milliseconds=600_000)
-    query = latest.publish_state(
-        changes, table, scratch_path(spark, "c"), {"processingTime": "1 second"})
+    with eviction.rocksdb_store(spark):
+        query = latest.publish_state(
+            changes, table, scratch_path(spark, "c"), {"processingTime": "1 second"})
     try:
         give_up = time.time() + 60
         while query.isActive and time.time() < give_up:
