@@ -32,7 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text they decode to."""
-    return bpe.encoded(docs).drop("text")
+    return bpe.encoded(docs, with_text=False)
 
 
 STAGES = [

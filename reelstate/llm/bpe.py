@@ -33,9 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelstate.llm.common import releasing
 from reelstate.llm.wordgrams import buffers
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of text for which there is one share of the vocabulary.
 SHARE_BYTES = 16 << 20
 #: White space of Unicode, as the tokenizers' patterns know it.
@@ -157,13 +158,13 @@ _BLOCKS = ("block long, keys array<long>, lengths binary, codes binary, shares b
 
 
 def _blocks(key: str, text: str, size: int, shares: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
         for batch in batches:
             data, offsets = buffers(batch.column(text))
-            raw = data.tobytes()
             for i, doc in enumerate(batch.column(key).to_pylist()):
-                block.add(doc, raw[offsets[i] : offsets[i + 1]])
+                block.add(doc, data[offsets[i] : offsets[i + 1]].tobytes())
                 if block.size >= size:
                     yield block.row(shares)
                     block = _Block()
@@ -176,6 +177,7 @@ def _blocks(key: str, text: str, size: int, shares: int):
 def _encoded(path: str):
     """Ids of the words of each part; parts come sorted by share, whose words are encoded once."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, known = None, {}
         fast = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
@@ -220,9 +222,10 @@ def _word_ids(shares: np.ndarray, parts: dict[int, bytes]) -> tuple[np.ndarray,
     return np.concatenate(flat) if flat else np.zeros(0, dtype="<u4"), sizes, heads
 
 
-def _joined(path: str, key: str, with_text: bool):
+def _joined(path: str, key: str, with_ids: bool, with_text: bool):
     """Documents of a block from its words' ids, by position."""
 
+    @releasing
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         out = {name: [] for name in (key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "text")}
         parts = dict(zip(words.column("share").to_pylist(), words.column("ids").to_pylist(), strict=True))
@@ -245,7 +248,7 @@ def _joined(path: str, key: str, with_text: bool):
                 out["n_tokens"].append(total)
                 out["ids_sha256"].append(hashlib.sha256(tokens.astype("<u4").tobytes()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-                out["ids"].append(tokens.astype(np.int32) if with_text else None)
+                out["ids"].append(tokens.astype(np.int32) if with_ids else None)
                 out["text"].append(text if with_text else None)
         kinds = {key: pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         return pa.table({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
@@ -255,8 +258,8 @@ def _joined(path: str, key: str, with_text: bool):
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
             block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES,
-            with_text: bool = True) -> DataFrame:
-    """One row for each document: number of tokens, digests, and (``with_text``) ids and text.
+            with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """One row for each document: number of tokens, digests, and where wanted ids and text.
 
     ``text`` is decoded from the ids through the table of pieces.
     """
@@ -270,10 +273,11 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     ids = words.mapInArrow(_encoded(path), "block long, share long, ids binary")
     lists = blocks.select("block", "keys", "lengths", "codes", "shares")
     out = lists.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
-        _joined(path, key, with_text),
+        _joined(path, key, with_ids, with_text),
         f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string, "
         "ids array<int>, text string")
-    return out if with_text else out.drop("ids", "text")
+    unwanted = [name for name, wanted in (("ids", with_ids), ("text", with_text)) if not wanted]
+    return out.drop(*unwanted)
 
 
 def decoded(tokens: DataFrame, key: str = "doc_id", ids: str = "ids",
@@ -281,6 +285,7 @@ def decoded(tokens: DataFrame, key: str = "doc_id", ids: str = "ids",
     """Texts of lists of ids; null counts as an empty list, an id beyond the table as an error."""
     path = path or vocabulary()
 
+    @releasing
     def run(batches):
         for batch in batches:
             texts = [decode(np.asarray(x or [], dtype=np.int64), path)

@@ -1,5 +1,8 @@
 """Helpers that the operators of this package share."""
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +41,34 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the machine.
+
+    Python workers live on between tasks, beside the executor's own memory.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(work):
+    """``work`` on Arrow batches or tables, with ``release`` at its end."""
+    if inspect.isgeneratorfunction(work):
+        @functools.wraps(work)
+        def run(batches):
+            yield from work(batches)
+            release()
+    else:
+        @functools.wraps(work)
+        def run(*tables):
+            out = work(*tables)
+            release()
+            return out
+        run.__signature__ = inspect.signature(work)
+    return run
+
+
 def packed(df: DataFrame) -> Column:
     """All columns as one, so that none of them clashes with what an operator adds."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
@@ -70,6 +101,7 @@ def with_arrow_columns(
     kept = [field for field in df.schema.fields if field.name.lower() not in new]
     names = [field.name for field in kept]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = work(batch)

@@ -126,11 +126,10 @@ def _scanner(items, window, block, text, before: bool):
         if not built:
             built.append(Items(items, window, block))
         data, offsets = buffers(pc.struct_field(batch.column("row"), text))
-        raw = data.tobytes()
         old = batch.column("found").to_pylist() if before else None
         spans, hits, counts = [], [], []
         for i in range(len(batch)):
-            words = normalised(raw[offsets[i] : offsets[i + 1]])
+            words = normalised(data[offsets[i] : offsets[i + 1]].tobytes())
             found, where = built[0].scan(words)
             ids = {built[0].ids[at] for at in where} - {None}
             if old:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelstate.llm import wordgrams
-from reelstate.llm.common import packed, same, saved, unpacked, whole
+from reelstate.llm.common import packed, releasing, same, saved, unpacked, whole
 from reelstate.llm.components import components
 
 GRAM = 5
@@ -80,6 +80,7 @@ def _signatures(key: str, text: str, n: int, bands: int, rows: int):
     flips = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
     factors = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @releasing
     def run(batches):
         for batch in batches:
             sets = [None] * len(batch)
@@ -119,6 +120,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
 def _verified(text: str, n: int, threshold: float):
     """Links within the clusters, or between two blocks of one, of a group of sets."""
 
+    @releasing
     def run(group: pa.Table) -> pa.Table:
         names, sides = group.column("_set").to_pylist(), group.column("right").to_pylist()
         parts = group.column("cluster").to_pylist()

@@ -93,7 +93,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded through the table of their distinct words."""
-    return bpe.encoded(table(spark, sf_dir, "documents"), with_text=False)
+    return bpe.encoded(table(spark, sf_dir, "documents"), with_ids=False, with_text=False)
 
 
 @query()

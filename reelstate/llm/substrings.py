@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelstate.llm import wordgrams
-from reelstate.llm.common import packed, unpacked
+from reelstate.llm.common import packed, releasing, unpacked
 
 WINDOW = 20
 PHRASE = 6
@@ -60,6 +60,7 @@ def _texts(docs: pa.Table, text: str):
 def _phrases(text: str, window: int, phrase: int):
     """The phrases that the windows of a block pick, with the number of their places."""
 
+    @releasing
     def run(docs: pa.Table) -> pa.Table:
         counts: dict[bytes, int] = {}
         for words in wordgrams.words(_texts(docs, text)):
@@ -97,6 +98,7 @@ def _located(words: wordgrams.Words, automaton, phrase: int) -> np.ndarray:
 def _runs(text: str, window: int, phrase: int):
     """Runs of windows of a block that pick located phrases; one row for equal runs."""
 
+    @releasing
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         automaton = ahocorasick.Automaton()
         for found in phrases.column("phrase").to_pylist():
@@ -207,6 +209,7 @@ def _removed(runs: DataFrame) -> DataFrame:
 def _cut(text: str, window: int):
     """The documents of a block with what is removed from them."""
 
+    @releasing
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for doc, own, start, n in zip(*(gone.column(c).to_pylist()
