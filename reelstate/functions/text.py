@@ -75,7 +75,13 @@ def random_task_id() -> Column:
 
 
 def derived_task_id(*parts: Column) -> Column:
-    """UUID-shaped id from a SHA-256 of the parts: the same after every replay."""
-    digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    """UUID-shaped id from a SHA-256 of the parts: the same after every replay.
+
+    Parts go in with their lengths, and NULL as a mark of its own, so that different parts
+    never make one text.
+    """
+    texts = [p.cast("string") for p in parts]
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.sha2(F.concat_ws("|", *marked), 256)
     bounds = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in bounds])

@@ -47,7 +47,7 @@ def _derived_id(text: str) -> str:
 
 UPLOADS = f"""
 uploads AS (
-  SELECT doc_id, {_derived_id("'upload|' || doc_id")} AS task_id,
+  SELECT doc_id, {_derived_id("'6:upload|' || length(CAST(doc_id AS VARCHAR)) || ':' || doc_id")} AS task_id,
     source || '/clip_' || doc_id || '.' || CASE lang WHEN 'en' THEN 'mp4' WHEN 'de' THEN 'MOV'
       WHEN 'fr' THEN 'avi' ELSE 'txt' END AS filename,
     'clip_' || doc_id || '.' || CASE lang WHEN 'en' THEN 'mp4' WHEN 'de' THEN 'MOV'

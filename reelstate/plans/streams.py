@@ -55,7 +55,7 @@ def t3_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running state from the state store, published in update mode."""
     table = scratch_path(spark, "latest-state")
     running = latest.latest_state_stream(_event_stream(spark, sf_dir), FIELDS)
-    _drain(latest.publish_state(running, table, scratch_path(spark, "latest-checkpoint"), DRAIN))
+    _drain(latest.publish_state(running, table, scratch_path(spark, "latest-checkpoint"), DRAIN, FIELDS))
     return latest.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
 
 

@@ -3,6 +3,11 @@
 The table is a folder of parquet parts, one per micro-batch. A batch writes only the keys
 it saw, already merged, each field with the ``seq`` that set it; the merge of merges is
 again a merge, so readers fold the parts. A replayed batch overwrites its own part.
+
+Every ``FOLD_EVERY`` batches the stream folds all parts into one, under a negative id, and drops
+those that the fold before had taken in. A merge takes the same row twice without harm, so
+that a reader may find a part and the fold that holds it; and it has as many batches of time to
+read on before its files go. The number of parts is bounded.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 BATCH = "batch_id"
+FOLD_EVERY = 100
 EVERY_SECOND = {"processingTime": "1 second"}
 
 
@@ -18,8 +24,8 @@ def latest_state_stream(events: DataFrame, fields: list[str], key: str = "task_i
     """Running field-level merge per key, for update mode.
 
     Each micro-batch combines map-side before it touches the state store, so a hot key
-    sends one row per input partition. State is kept per key until evicted by
-    ``reelstate.streaming.eviction``.
+    sends one row per input partition. State is kept for every key; ``upsert_stream`` needs
+    none, and ``eviction.follow_tasks`` keeps that of active tasks alone.
     """
     return events.groupBy(key).agg(*_merge_from_events(fields, order))
 
@@ -50,6 +56,32 @@ def write_part(rows: DataFrame, table: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
 
 
+def fold_parts(spark: SparkSession, table: str, batch_id: int, fields: list[str],
+               key: str = "task_id", order: str = "seq", every: int = FOLD_EVERY) -> None:
+    """Fold the parts up to ``batch_id`` into one, and drop those folded ``every`` batches ago."""
+    own = -batch_id - 2
+    parts = spark.read.parquet(table).filter(F.col(BATCH) != own)
+    write_part(parts.groupBy(key).agg(*_merge_from_parts(fields, order)), table, own)
+    before = batch_id - every
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(table)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(f"{BATCH}="):
+            part = int(name.removeprefix(f"{BATCH}="))
+            if 0 <= part <= before or -1 > part > -before - 2 or part == -1 and before >= 0:
+                files.delete(status.getPath(), True)
+
+
+def store_batch(rows: DataFrame, table: str, batch_id: int, fields: list[str],
+                key: str = "task_id", order: str = "seq", every: int = FOLD_EVERY) -> None:
+    """Write a batch's part, and fold the parts when it is time."""
+    write_part(rows, table, batch_id)
+    if batch_id % every == every - 1:
+        fold_parts(rows.sparkSession, table, batch_id, fields, key, order, every)
+
+
 def read_state(spark: SparkSession, table: str, fields: list[str],
                key: str = "task_id", order: str = "seq") -> DataFrame:
     """The table with all parts folded."""
@@ -69,21 +101,29 @@ def compact(spark: SparkSession, table: str, target: str, fields: list[str],
 
 def upsert_stream(events: DataFrame, table: str, checkpoint: str, fields: list[str],
                   key: str = "task_id", order: str = "seq",
-                  trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Merge an event stream into the table, without a state store."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_part(merge_events(batch, fields, key, order), table, batch_id)
+        rows = merge_events(batch, fields, key, order)
+        store_batch(rows, table, batch_id, fields, key, order, fold_every)
 
     return _start(events.writeStream.foreachBatch(upsert), checkpoint, trigger)
 
 
 def publish_state(state: DataFrame, table: str, checkpoint: str,
-                  trigger: dict | None = None) -> StreamingQuery:
-    """Write the updated rows of ``latest_state_stream`` to the table each second."""
+                  trigger: dict | None = None, fields: list[str] | None = None,
+                  fold_every: int = FOLD_EVERY) -> StreamingQuery:
+    """Write the updated rows of ``latest_state_stream`` to the table each second.
+
+    With its ``fields`` the parts are folded as the stream goes on.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        write_part(batch, table, batch_id)
+        if fields:
+            store_batch(batch, table, batch_id, fields, every=fold_every)
+        else:
+            write_part(batch, table, batch_id)
 
     return _start(state.writeStream.outputMode("update").foreachBatch(publish), checkpoint, trigger)
 

@@ -88,6 +88,14 @@ def test_query_parameter(evaluate, url, task):
     assert evaluate(text.query_parameter(F.lit(url).cast("string"))) == (task,)
 
 
+def test_derived_ids_tell_parts_apart(evaluate):
+    none = F.lit(None).cast("string")
+    many = [("a", none, "b"), ("a", "b"), ("a|b",), ("a|1:b",), ("a", "-", "b"), (none,), ("",)]
+    ids = evaluate(*[text.derived_task_id(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+                     for parts in many])
+    assert len(set(ids)) == len(many)
+
+
 def test_derived_id_is_stable(evaluate):
     first, second, other = evaluate(*[
         text.derived_task_id(F.lit("p"), F.lit(n)) for n in (1, 1, 2)

@@ -66,6 +66,18 @@ def test_replayed_batch_changes_nothing(spark, log):
     same(folded(spark, table), merged(spark, log))
 
 
+def test_many_batches_leave_few_parts(spark, log, tmp_path):
+    """Parts are folded every three batches, one of them replayed after its fold."""
+    events, table, expected = spark.read.parquet(log), str(tmp_path / "state"), merged(spark, log)
+    most = 0
+    for batch in [*range(12), 11, *range(12, 25)]:
+        rows = latest.merge_events(events.filter(F.col("seq") % 25 == batch), FIELDS)
+        latest.store_batch(rows, table, batch, FIELDS, every=3)
+        most = max(most, len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]))
+    assert most <= 2 * 3 + 2
+    same(folded(spark, table), expected)
+
+
 def test_compaction_keeps_the_state_and_the_stream_goes_on(spark, log):
     table, target = scratch_path(spark, "parts"), scratch_path(spark, "compacted")
     events = spark.read.parquet(log)
