@@ -1,8 +1,8 @@
 """Importance resampling: documents drawn by how much more a target's n-gram model likes them.
 
 Method: words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. Two bag-of-n-grams
-models are counted: the target's over the labelled good documents, the raw one over all documents. A
-document's log weight is the sum over its n-grams of the logarithm of the models' ratio (with
+models are counted: the target's over labelled good documents, of which at most ``LABELLED`` are
+taken, the raw one over all documents. A document's log weight is the sum over its n-grams of the logarithm of the models' ratio (with
 ``normalise`` their mean). Gumbel noise is added and the ``share`` of the largest keys is drawn, which
 samples without replacement in proportion to the weights.
 
@@ -30,6 +30,8 @@ from reelstate.llm.common import saved, with_arrow_columns
 BUCKETS = 1 << 16
 #: Share of the documents that are drawn.
 KEEP = 0.85
+#: Labelled good documents that the target's model is counted over, at most: a sample by hashed id.
+LABELLED = 20_000
 #: Added to each bucket's count, so that an unseen n-gram does not decide alone.
 SMOOTH = 1.0
 #: Scale of the noise; 1 draws in proportion to the weights.
@@ -73,10 +75,13 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = SMOOTH) -> np
     return np.log((target + smooth * len(raw) * prior) / (target.sum() + smooth * len(raw))) - np.log(prior)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
+                   most: int = LABELLED) -> DataFrame:
+    """The documents of at most ``most`` good labels, those of the smallest hashes of their ids."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
-    good = good.select(F.col(key).alias("_good")).distinct()
-    return docs.join(good, docs[key] == good["_good"], "left_semi")
+    good = good.select(F.col(key).alias("_good")).where("_good is not null").distinct()
+    good = good.orderBy(F.xxhash64("_good"), "_good").limit(most)
+    return docs.join(F.broadcast(good), docs[key] == good["_good"], "left_semi")
 
 
 def _scores(text: str, ratio: np.ndarray, normalise: bool):
