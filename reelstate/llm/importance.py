@@ -1,6 +1,6 @@
 """Importance resampling: documents drawn by how much more a target's n-gram model likes them.
 
-Method: words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. Two bag-of-n-grams
+Method: words, runs of punctuation marks, and pairs of such neighbours are hashed into ``BUCKETS`` buckets. Two bag-of-n-grams
 models are counted: the target's over labelled good documents, of which at most ``LABELLED`` are
 taken, the raw one over all documents. A document's log weight is the sum over its n-grams of the logarithm of the models' ratio (with
 ``normalise`` their mean). Gumbel noise is added and the ``share`` of the largest keys is drawn, which
@@ -53,7 +53,7 @@ def model(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.nda
     def run(batches):
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for words in wordgrams.words(batch.column(text), wordgrams.PLAIN, lower=True):
+            for words in wordgrams.words(batch.column(text), wordgrams.MARKED, lower=True):
                 found, _ = gram_buckets(words, buckets)
                 total += np.bincount(found, minlength=buckets)
         held = np.flatnonzero(total)
@@ -87,7 +87,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
 def _scores(text: str, ratio: np.ndarray, normalise: bool):
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         weights, counts = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
-        for words in wordgrams.words(batch.column(text), wordgrams.PLAIN, lower=True):
+        for words in wordgrams.words(batch.column(text), wordgrams.MARKED, lower=True):
             found, docs = gram_buckets(words, len(ratio))
             n = words.last - words.first
             weights[words.first : words.last] = np.bincount(docs, ratio[found], minlength=n)

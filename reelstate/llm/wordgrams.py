@@ -28,6 +28,9 @@ SPACED = _word_table(SPACES)
 #: Bytes of words of lower-cased text: digits, letters, and all beyond ASCII.
 PLAIN = _word_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
                            *range(0x7B, 0x80)]))
+#: Words as in ``PLAIN``, and runs of ASCII punctuation as words of a kind of their own.
+MARKED = PLAIN.astype(np.uint8)
+MARKED[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
 LOWERED = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 #: For ``bytes.translate``: what is no word becomes a blank, A to Z become a to z.
 PLAIN_TABLE = bytes(LOWERED[i] if PLAIN[i] else 0x20 for i in range(256))
@@ -115,7 +118,10 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
 
 def words(texts: pa.Array, table: np.ndarray = SPACED, lower: bool = False,
           size: int = PIECE) -> Iterator[Words]:
-    """The words of a text column, piece by piece, in the order of its rows."""
+    """The words of a text column, piece by piece, in the order of its rows.
+
+    ``table`` has the kind of each byte: 0 parts words, and so does a change of the kind.
+    """
     data, offsets = buffers(texts)
     for first, last in pieces(offsets, size):
         yield _words(data, offsets, first, last, table, lower)
@@ -126,17 +132,13 @@ def _words(data, offsets, first, last, table, lower) -> Words:
     data, bounds = data[low : offsets[last]], offsets[first : last + 1] - low
     if lower:
         data = LOWERED[data]
-    inside = table[data]
-    before = np.empty_like(inside)
-    before[1:] = inside[:-1]
-    before[:1] = False
-    before[bounds[:-1][bounds[:-1] < len(data)]] = False
-    after = np.empty_like(inside)
-    after[:-1] = inside[1:]
-    after[-1:] = False
-    after[bounds[1:][bounds[1:] > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    kind = table[data]
+    inside = kind != 0
+    new = np.ones(len(data) + 1, dtype=bool)  # whether a run of one kind starts at this byte
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[bounds] = True
+    starts = np.flatnonzero(inside & new[:-1])
+    ends = np.flatnonzero(inside & new[1:]) + 1
     lengths = ends - starts
     if len(starts):
         with np.errstate(over="ignore"):
