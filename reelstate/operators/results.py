@@ -15,11 +15,11 @@ PART_SIZE = 10_000
 DETECTION_FIELDS = ("timestamp", "horse_id", "person_name", "confidence")
 
 
-def with_positions(detections: DataFrame, order: list[str], split_on: str,
-                   key: str = "task_id", limit: int | None = None) -> DataFrame:
+def with_positions(detections: DataFrame, order: list[str], key: str = "task_id",
+                   limit: int | None = None) -> DataFrame:
     """Number the detections of each task from 0 in ``order``, as ``pos``."""
     numbered = with_running(
-        detections, [key], order, [running_position("_row")], split_on, limit
+        detections, [key], order, [running_position("_row")], limit
     )
     return numbered.withColumn("pos", F.col("_row") - 1).drop("_row")
 

@@ -1,13 +1,14 @@
 """Exact ways around hot keys.
 
-A key is hot when it has more than ``limit`` rows. Key counts combine map-side and
-move one slim row per key. At most ``rows / limit`` keys can be hot, so the hot set
-has a known bound and is broadcast. With no hot key, adaptive execution finds the
-broadcast empty and drops the hot branch: the plain plan is what runs.
+A key is hot when it has more than ``limit`` rows. Key counts combine map-side and move one slim row
+per key; whether any key is hot is known before the plan is made, so that without one the plain plan
+is the whole plan. The set of hot keys is written down where there is one: Spark then knows its size and
+broadcasts it only if it is small.
 
 The split only chooses a plan. Results are the same for every limit.
 """
 
+import math
 from dataclasses import dataclass
 from typing import Callable
 
@@ -15,33 +16,29 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelstate.session import scratch_path
+
 # Rows of one key that a single task may take.
 HOT_ROWS = 1_000_000
-# Pieces of one key, whose totals a single task folds.
-MAX_PIECES = 10_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None,
-             split_on: str | None = None) -> DataFrame:
-    """Keys with more than ``limit`` rows, each with a struct ``_hot``.
+def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Keys with more than ``limit`` rows, with the number of their rows as ``_hot``."""
+    counted = df.filter(_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot"))
+    return counted.filter(F.col("_hot") > (limit or HOT_ROWS))
 
-    ``_hot.pieces`` says into how many pieces to cut the key. With ``split_on`` (an
-    integral column) it is ``_hot.low`` and ``_hot.width``: cut from the lowest value on,
-    every ``width`` values. The width shares the range out evenly but stays within
-    ``limit``, so that distinct values bound the rows of a piece even where they crowd;
-    beyond ``MAX_PIECES`` pieces it grows again.
-    """
-    limit = limit or HOT_ROWS
-    rows = F.count(F.lit(1)).alias("_rows")
-    bounds = [F.min(split_on).alias("_low"), F.max(split_on).alias("_high")] if split_on else []
-    counted = df.filter(_not_null(keys)).groupBy(*keys).agg(rows, *bounds)
-    cut = counted.filter(F.col("_rows") > limit).withColumn("_pieces", F.ceil(F.col("_rows") / limit))
-    if not split_on:
-        return cut.select(*keys, F.struct(F.col("_pieces").alias("pieces")).alias("_hot"))
-    even = F.expr("(_high - _low) div _pieces + 1")
-    crowded = F.greatest(F.lit(limit).cast("long"), F.expr(f"(_high - _low) div {MAX_PIECES}"))
-    low, width = F.col("_low").alias("low"), F.least(even, crowded).alias("width")
-    return cut.select(*keys, F.struct(low, width).alias("_hot"))
+
+def found_hot(df: DataFrame, keys: list[str], limit: int | None) -> tuple[DataFrame | None, int]:
+    """The hot keys of ``df``, written down, and their rows together; None without any."""
+    hot = hot_keys(df, keys, limit)
+    rows = hot.agg(F.sum("_hot")).first()[0]
+    return (_written(hot, "hot-keys"), rows) if rows else (None, 0)
+
+
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _not_null(keys: list[str]) -> Column:
@@ -52,12 +49,22 @@ def _not_null(keys: list[str]) -> Column:
 
 
 def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)`` rows of ``df``; hot rows carry ``_hot``.
+    """``(cold, hot)`` rows of ``df``; hot rows carry ``_hot``."""
+    marked = df.join(hot, keys, "left").select(*df.columns, "_hot")
+    return marked.filter("_hot IS NULL").drop("_hot"), marked.filter("_hot IS NOT NULL")
 
-    Both sides probe the same broadcast, so the keys are counted once.
+
+def in_pieces(hot: DataFrame, keys: list[str], order: list[str], rows: int,
+              limit: int | None = None) -> DataFrame:
+    """Hot rows cut into ``_piece``s of about ``limit`` rows, in the order of keys and ``order``.
+
+    The cuts are quantiles of the rows themselves over all of ``order``: values that crowd, or
+    that are equal in its first columns, are cut all the same. The cut rows are written down, so
+    that every reader sees the same pieces.
     """
-    marked = df.join(F.broadcast(hot), keys, "left").select(*df.columns, "_hot")
-    return marked.filter("_hot IS NULL").drop("_hot"), marked.filter("_hot IS NOT NULL")
+    pieces = math.ceil(rows / (limit or HOT_ROWS)) + 1
+    ranged = hot.drop("_hot").repartitionByRange(pieces, *keys, *order)
+    return _written(ranged.withColumn("_piece", F.spark_partition_id()), "hot-rows")
 
 
 # --- running columns -----------------------------------------------------------------
@@ -107,41 +114,34 @@ def running_position(name: str) -> Running:
 
 
 def with_running(df: DataFrame, keys: list[str], order: list[str], columns: list[Running],
-                 split_on: str | None = None, limit: int | None = None) -> DataFrame:
-    """Add running columns over ``keys`` in ``order``.
+                 limit: int | None = None) -> DataFrame:
+    """Add running columns over ``keys`` in ``order``, which should be unique within a key.
 
-    ``split_on`` is the column of ``order`` (the first by default) along which a hot key
-    is cut into blocks; columns before it cut blocks too. The rows of a block are sorted
-    in one task, the totals of the blocks of a key in another, so no task sees a hot key
-    whole. ``order`` should be unique within a key.
+    The rows of a piece of a hot key are sorted in one task, and the totals of its pieces, of
+    which there are ``rows / limit``, in another, so no task sees a hot key whole. Rows with a NULL
+    key are one group and are not split: leave them out first where there may be many.
     """
-    split_on = split_on or order[0]
-    cold, hot = split_hot(df, keys, hot_keys(df, keys, limit, split_on))
-
     rows = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found, many = found_hot(df, keys, limit)
+    if found is None:
+        return df.withColumns({c.name: c.local(rows) for c in columns})
+    cold, hot = split_hot(df, keys, found)
     cold = cold.withColumns({c.name: c.local(rows) for c in columns})
-
-    piece = F.expr(f"coalesce((`{split_on}` - _hot.low) div _hot.width, -1)")
-    hot = hot.withColumn("_piece", piece).drop("_hot")
-    block = order[: order.index(split_on)] + ["_piece"]
-    before = W.partitionBy(*keys).orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    hot = in_pieces(hot, keys, order, many, limit)
+    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        hot.groupBy(*keys, *block)
+        hot.groupBy(*keys, "_piece")
         .agg(*[c.total.alias(f"_total_{c.name}") for c in columns])
-        .select(*[F.col(name).alias(f"_of_{name}") for name in (*keys, *block)], *[
-            c.carry(before, F.col(f"_total_{c.name}")).alias(f"_carried_{c.name}")
-            for c in columns
+        .select(*keys, "_piece", *[
+            c.carry(before, F.col(f"_total_{c.name}")).alias(f"_carried_{c.name}") for c in columns
         ])
     )
-    # An order column may be NULL, hence the null-safe match.
-    same_block = [F.col(key) == F.col(f"_of_{key}") for key in keys]
-    same_block += [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in block]
-    inside = W.partitionBy(*keys, *block).orderBy(*order).rowsBetween(
+    inside = W.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     hot = (
         hot.withColumns({f"_local_{c.name}": c.local(inside) for c in columns})
-        .join(carried, same_block)
+        .join(carried, [*keys, "_piece"])
         .withColumns({
             c.name: c.merge(F.col(f"_carried_{c.name}"), F.col(f"_local_{c.name}"))
             for c in columns
@@ -165,15 +165,16 @@ def lookup_join(requests: DataFrame, table: DataFrame, key: str, how: str,
     as the key has pieces. The salt is a hash of the whole request, so a replay repeats
     it; a request id among the columns tells requests of one key apart.
     """
-    if unique:
+    found = None if unique else found_hot(requests, [key], limit)[0]
+    if found is None:
         return requests.join(table, key, how)
-    pieces = hot_keys(requests, [key], limit)
+    pieces = found.withColumn("_hot", F.ceil(F.col("_hot") / (limit or HOT_ROWS)))
     cold, hot = split_hot(requests, [key], pieces)
-    salt = F.pmod(F.xxhash64(*requests.columns), F.col("_hot.pieces"))
+    salt = F.pmod(F.xxhash64(*requests.columns), F.col("_hot"))
     salted = hot.withColumn("_salt", salt).drop("_hot")
     copies = (
-        table.join(F.broadcast(pieces), key)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hot.pieces") - 1)))
+        table.join(pieces, key)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hot") - 1)))
         .drop("_hot")
     )
     plain = cold.join(table, key, how)

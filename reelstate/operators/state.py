@@ -133,18 +133,15 @@ def number_attempts(events: DataFrame, is_reset: Column, key: str = "task_id",
     """Number the attempts of a task: each reset starts the next one.
 
     An event that names its ``attempt`` keeps it, so that a late result stays with the
-    attempt it belongs to; all others take the number of resets so far. A reset that was
-    written twice, under one ``seq``, counts once.
+    attempt it belongs to; all others take the number of resets so far. Events should be
+    in the log once, which batch ids of ``append_events`` see to.
     """
-    first = W.partitionBy(key, order).orderBy(F.lit(0))
-    resets = F.coalesce(is_reset, F.lit(False))
-    once = resets & (F.row_number().over(first) == 1)
+    resets = F.coalesce(is_reset, F.lit(False)).cast("long")
     named = "attempt" in events.columns
     given = events.withColumnRenamed("attempt", "_given") if named else events
     running = with_running(
-        given.withColumn("_reset", once.cast("long")), [key], [order],
-        [running_sum("attempt", F.col("_reset"))], limit=limit,
-    ).drop("_reset")
+        given, [key], [order], [running_sum("attempt", resets)], limit=limit
+    )
     if not named:
         return running
     return running.withColumn("attempt", F.coalesce("_given", "attempt")).drop("_given")

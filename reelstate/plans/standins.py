@@ -79,7 +79,7 @@ def detections(spark: SparkSession, sf_dir: str, limit: int | None = None) -> Da
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("task_id"), *DETECTION_ORDER, "l_discount", "l_tax"
     )
-    numbered = with_positions(rows, DETECTION_ORDER, split_on="l_partkey", limit=limit)
+    numbered = with_positions(rows, DETECTION_ORDER, limit=limit)
     return numbered.select("task_id", "pos", *detection_fields())
 
 

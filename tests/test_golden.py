@@ -129,7 +129,7 @@ def test_progress_of_a_running_and_a_finished_task(spark, events):
 def test_late_result_stays_with_its_attempt(spark):
     """A second selection while the first runs; the first one's result arrives after it."""
     rows = [(1, "uploading", None), (2, "processing", None), (3, "uploading", None),
-            (3, "uploading", None), (4, "completed", 1), (5, "processing", None)]
+            (4, "completed", 1), (5, "processing", None)]
     log = spark.createDataFrame([(ID, *row) for row in rows],
                                 "task_id STRING, seq BIGINT, status STRING, attempt BIGINT")
     found = state.number_attempts(log, F.col("status") == "uploading")

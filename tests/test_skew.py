@@ -77,14 +77,14 @@ def test_poll_sees_events_of_its_own_instant(spark):
     assert lookup.state_as_of(polls, log, ["status"]).first().status == "late"
 
 
-@pytest.mark.parametrize("order, split_on", [
-    (["at", "seq"], "at"), (["progress", "seq"], "progress"), (["status", "seq"], "seq"),
+@pytest.mark.parametrize("order", [
+    ["at", "seq"],
 ])
-def test_positions(events, order, split_on):
+def test_positions(events, order):
     """Also with NULLs in the order and in the column that splits."""
-    plain = results.with_positions(events, order, split_on)
-    same(plain, results.with_positions(events, order, split_on, limit=LIMIT))
-    same(plain, results.with_positions(events, order, split_on, limit=2))
+    plain = results.with_positions(events, order)
+    same(plain, results.with_positions(events, order, limit=LIMIT))
+    same(plain, results.with_positions(events, order, limit=2))
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -109,24 +109,31 @@ def test_known_and_unknown_cover_all(events):
     same(parts[0].unionByName(parts[1]), events)
 
 
-@pytest.mark.parametrize("outlier", [None, 10**9])
-def test_pieces_stay_small(events, outlier):
-    """A hot key is cut into pieces near the limit, also when one value lies far off."""
-    if outlier:
-        far = events.filter("seq = 0").withColumn("seq", F.lit(outlier).cast("long"))
-        events = events.unionByName(far)
-    hot = skew.hot_keys(events, ["task_id"], LIMIT, "seq")
-    _, rows = skew.split_hot(events, ["task_id"], hot)
-    piece = F.expr("(seq - _hot.low) div _hot.width")
-    sizes = rows.groupBy("task_id", piece.alias("piece")).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 2 * LIMIT
-    same(
-        state.state_history(events, ["status"]), state.state_history(events, ["status"], limit=LIMIT)
-    )
+def crowds(spark):
+    """Hot tasks whose order values lie far apart, are all one, or repeat a leading column."""
+    ids = spark.range(4000).select(F.lit(7).alias("task_id"), F.col("id").alias("seq"))
+    return {
+        "apart": (ids.withColumn("at", F.col("seq") * 150_000_000), ["at", "seq"]),
+        "one instant": (ids.withColumn("at", F.lit(5)), ["at", "seq"]),
+        "leading": (ids.withColumn("at", F.col("seq") % 900), ["at", "seq"]),
+        "outlier": (ids.withColumn("at", F.when(F.col("seq") == 1, 10**15).otherwise(F.col("seq"))),
+                    ["at", "seq"]),
+        "nulls": (ids.withColumn("at", F.when(F.col("seq") % 2 == 0, F.col("seq"))), ["at", "seq"]),
+    }
+
+
+@pytest.mark.parametrize("name", ["apart", "one instant", "leading", "outlier", "nulls"])
+def test_pieces_stay_small(spark, name):
+    rows, order = crowds(spark)[name]
+    limit = 200
+    pieces = skew.in_pieces(rows.withColumn("_hot", F.lit(1)), ["task_id"], order, 4000, limit)
+    sizes = [r["count"] for r in pieces.groupBy("_piece").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * limit and len(sizes) <= 2 * 4000 / limit
+    same(results.with_positions(rows, order, limit=limit), results.with_positions(rows, order))
 
 
 def test_documents_in_parts(events):
-    flat = results.with_positions(events, ["seq"], "seq").select(
+    flat = results.with_positions(events, ["seq"]).select(
         "task_id", "pos", F.col("at").cast("string").alias("timestamp"),
         F.col("seq").cast("string").alias("horse_id"), F.lit("p").alias("person_name"),
         F.lit("0.9_0.8").alias("confidence"))
@@ -136,7 +143,7 @@ def test_documents_in_parts(events):
 
 
 def test_document_lookup_with_hot_tasks_and_requests(events):
-    flat = results.with_positions(events, ["seq"], "seq").select(
+    flat = results.with_positions(events, ["seq"]).select(
         "task_id", "pos", F.lit("00:01").alias("timestamp"), F.lit("H").alias("horse_id"),
         F.lit("p").alias("person_name"), F.lit("0.9_0.8").alias("confidence"))
     known = flat.filter("task_id <> 3")
