@@ -38,7 +38,7 @@ from reelstate.llm import wordgrams
 from reelstate.llm.common import packed, releasing, unpacked
 
 WINDOW = 20
-PHRASE = 6
+PHRASE = 5
 BLOCK_BYTES = 2 << 20
 _FIRST = -(1 << 63)
 
