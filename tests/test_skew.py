@@ -77,11 +77,9 @@ def test_poll_sees_events_of_its_own_instant(spark):
     assert lookup.state_as_of(polls, log, ["status"]).first().status == "late"
 
 
-@pytest.mark.parametrize("order", [
-    ["at", "seq"],
-])
+@pytest.mark.parametrize("order", [["at", "seq"], ["progress", "seq"], ["status", "seq"]])
 def test_positions(events, order):
-    """Also with NULLs in the order and in the column that splits."""
+    """Also with NULLs in the order."""
     plain = results.with_positions(events, order)
     same(plain, results.with_positions(events, order, limit=LIMIT))
     same(plain, results.with_positions(events, order, limit=2))
