@@ -30,20 +30,18 @@ def with_reply_code(joined: DataFrame) -> DataFrame:
     }).drop("_known")
 
 
-def answer_documents(requests: DataFrame, documents: DataFrame, tasks: DataFrame,
-                     key: str = "task_id", unique: bool = False,
-                     limit: int | None = None) -> DataFrame:
+def answer_documents(requests: DataFrame, documents: DataFrame, key: str = "task_id",
+                     unique: bool = False, limit: int | None = None) -> DataFrame:
     """Every request with its task's result documents, one row per document.
 
-    Only a not-found request has no document. Known and unknown requests are joined
-    apart: an inner join lets adaptive execution split a skewed side, whichever it is,
-    where an outer join could split the requests only. ``tasks`` lists the known keys, as
-    slim as it can be had; it may repeat them.
+    Only a not-found request has no document. A task has its first document (``part`` 0) once,
+    so that the outer join, which finds the unknown requests, meets no skew on its side; further
+    documents come by an inner join, which adaptive execution can split on either side.
     """
     known = documents.withColumn("_known", F.lit(True))
-    found = lookup_join(requests, known, key, "inner", unique, limit)
-    missing = unknown_requests(requests, tasks, key, unique, limit)
-    return with_reply_code(found.unionByName(missing, allowMissingColumns=True))
+    first = lookup_join(requests, known.filter("part = 0"), key, "left", unique, limit)
+    more = lookup_join(requests, known.filter("part > 0"), key, "inner", unique, limit)
+    return with_reply_code(first.unionByName(more))
 
 
 def known_requests(requests: DataFrame, tasks: DataFrame, key: str = "task_id",

@@ -33,7 +33,6 @@ def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.answer_documents(
         standins.requests(spark, sf_dir),
         results.assemble_results(standins.detections(spark, sf_dir)),
-        _line_tasks(spark, sf_dir),
         unique=True,
     )
 

@@ -148,7 +148,7 @@ def test_document_lookup_with_hot_tasks_and_requests(events):
     parts = results.assemble_results(known, part_size=40)
     requests = events.filter("seq % 20 = 0").select("seq", "task_id")
     for limit in (None, 5):
-        answers = lookup.answer_documents(requests, parts, known, limit=limit)
+        answers = lookup.answer_documents(requests, parts, limit=limit)
         found = results.flatten_results(answers, ["seq", "task_id", "code"], True)
         expected = requests.join(known, "task_id", "left").select(
             "seq", "task_id", F.when(F.col("pos").isNull(), 404).otherwise(200).alias("code"),
