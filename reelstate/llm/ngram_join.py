@@ -15,6 +15,7 @@ Defined cases: null text and text without words match nothing: each such documen
 links. A null id comes before all others. Repeated rows are copies.
 """
 
+import hashlib
 import math
 
 import numpy as np
@@ -70,8 +71,6 @@ def document_grams(words: wordgrams.Words, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _digest(grams: np.ndarray) -> bytes:
-    import hashlib
-
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
