@@ -1,6 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Method: a block (a line of the text) and a template are sets of words. A template is found in a block if the block holds at least ``CONTAINMENT`` of the template's words. The
+Method: a block and a template are sets of words. A block is a line of the text; with ``paragraphs``
+also a paragraph, a run of several lines between blank ones, which finds notices wrapped over lines. A
+template is found in a block if the block holds at least ``CONTAINMENT`` of the template's words. The
 join is exact and filtered in three ways. Words are ordered by the number of blocks that hold them, rarest
 first. Prefix: a block with enough of a template's words holds one of the template's first
 ``size - needed + 1`` ones. Length: the block has as many words as are needed. Position: from the places
@@ -78,9 +80,49 @@ def _vocabulary(given, containment) -> tuple[list[str], int]:
     return sorted(found), least or 1
 
 
+def _may_hold(held: Column, given, containment: float) -> Column:
+    """Whether a set of words is enough for one of the templates."""
+    found = F.lit(False)
+    for _, text in given:
+        own, needed = _vocabulary([("", text)], containment)
+        if own:
+            shared = F.array_intersect(held, F.array(*[F.lit(w) for w in own]))
+            found = found | (F.size(shared) >= needed)
+    return found
+
+
+def _wrapped_blocks(docs: DataFrame, key: str, text: str, given, containment: float) -> DataFrame:
+    """Lines and paragraphs as ``blocks`` gives them; a paragraph of one line is that line.
+
+    A text that as a whole has too few words for every template has no block with enough. A
+    paragraph's words are those of its lines, so that text is cut into words once more only.
+    """
+    vocabulary, least = _vocabulary(given, containment)
+    known = F.array(*[F.lit(w) for w in vocabulary])
+
+    def held(part: Column) -> Column:
+        return F.array_intersect(words_of(part), known)
+
+    # what goes through an explode is computed once: filters are not pushed below it
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(text)).alias("_hash"),
+                       whole(text).alias("_text"), F.explode(F.array(held(whole(text)))).alias("_all"))
+    rows = rows.where(F.size("_all") >= least).where(_may_hold(F.col("_all"), given, containment))
+    paragraph = F.split("_text", r"\n[\x20\x09-\x0D]*\n")
+    rows = rows.select("_id", "_hash", F.posexplode(paragraph).alias("_no", "_part"))
+    rows = rows.select("_id", "_hash", "_no", F.explode(F.array(
+        F.transform(F.split("_part", "\n"), held))).alias("_lines"))
+    several = F.when(F.size("_lines") > 1, F.array(F.array_distinct(F.flatten("_lines"))))
+    rows = rows.select("_id", "_hash", "_no", F.posexplode(
+        F.concat("_lines", F.coalesce(several, F.array().cast("array<array<string>>")))).alias("_at", "held"))
+    return rows.where(F.size("held") >= least).select(
+        "_id", "_hash", F.struct("_no", "_at").alias("_block"), "held")
+
+
 def blocks(docs: DataFrame, key: str, text: str, given=TEMPLATES,
-           containment: float = CONTAINMENT) -> DataFrame:
+           containment: float = CONTAINMENT, paragraphs: bool = False) -> DataFrame:
     """``_id, _hash, _block, held``: blocks with enough words of the templates, and these words."""
+    if paragraphs:
+        return _wrapped_blocks(docs, key, text, given, containment)
     vocabulary, least = _vocabulary(given, containment)
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(text)).alias("_hash"),
                        F.posexplode(F.split(whole(text), "\n")).alias("_block", "_part"))
@@ -91,11 +133,11 @@ def blocks(docs: DataFrame, key: str, text: str, given=TEMPLATES,
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLATES,
-          containment: float = CONTAINMENT) -> DataFrame:
+          containment: float = CONTAINMENT, paragraphs: bool = False) -> DataFrame:
     """``_id, _hash, _block, label, contained``: blocks with a template at the threshold."""
     spark = docs.sparkSession
     # read twice, to count the words and to join
-    held = saved(blocks(docs, key, text, given, containment), "blocks")
+    held = saved(blocks(docs, key, text, given, containment, paragraphs), "blocks")
     each = held.select("_id", "_hash", "_block", F.size("held").alias("n"), F.explode("held").alias("word"))
     counted = each.groupBy("word").agg(F.count("*").alias("count"))
     sets = templates(spark, given, containment)
@@ -162,12 +204,12 @@ def phrase_columns(df: DataFrame, carried: list[str], text: str, phrases=PHRASES
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLATES,
-            containment: float = CONTAINMENT) -> DataFrame:
+            containment: float = CONTAINMENT, paragraphs: bool = False) -> DataFrame:
     """One row for each document: places of the phrases, labels, and the best containment found."""
     own = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(text)).alias("_hash"),
                       F.col(text).alias("_text"))
     base = phrase_columns(own, ["_id", "_hash"], "_text")
-    hits = found(docs, key, text, given, containment).groupBy(
+    hits = found(docs, key, text, given, containment, paragraphs).groupBy(
         F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash")).agg(
         F.collect_set("label").alias("_labels"), F.max("contained").alias("_score"))
     both = base.join(hits, same(base, hits, {"_id": "_rid", "_hash": "_rhash"}), "left")

@@ -246,10 +246,22 @@ FROM doc LEFT JOIN base b USING (rid) LEFT JOIN best h USING (rid)
 
 @query(LICENSE_SQL)
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and templates in all documents."""
+    """License phrases and templates in all documents, line by line."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+_LINE_PART = "SELECT rid, unnest(string_split(text, chr(10))) AS part FROM doc\n"
+NOTICE_SQL = LICENSE_SQL.replace(_LINE_PART, _LINE_PART + r"""    UNION ALL
+    SELECT rid, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) FROM doc
+""")
+
+
+@query(NOTICE_SQL)
+def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents, in lines and in notices over several lines."""
+    return licenses.scanned(table(spark, sf_dir, "documents"), paragraphs=True)
+
+
 @query()
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents weighted by the models of good and of all text, and the sample drawn."""
