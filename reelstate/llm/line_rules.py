@@ -6,7 +6,8 @@ boilerplate. Boilerplate lines are removed from all documents but the first that
 document of which too little is left is rejected. All of it is DataFrame functions.
 
 Copies of one text count once, so that a document is not called boilerplate for being copied. The
-limit is a share of the host's distinct texts, with a least count for small hosts.
+limit is a share of the host's distinct texts, with a least count for small hosts. With a share of 0
+the least count alone is the limit, which does not grow with the host.
 
 Defined cases: null text has no words and fails the base rule. A null host is a host of its own. A
 null ``doc_id`` sorts first. Repeated rows get the same verdict each.
@@ -104,14 +105,16 @@ def frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
                    host: str = "source", least: int = LEAST_DOCUMENTS,
                    share: float = DOCUMENT_SHARE) -> DataFrame:
     """Lines above their host's limit: ``_host, _line, n_docs, first`` with the row that keeps it."""
-    texts = docs.select(*keyed(docs, key, text, host))
-    limits = texts.groupBy("_host").agg(F.count_distinct("_hash").alias("n")).select(
-        F.col("_host").alias("_of"), F.greatest(F.lit(float(least)), share * F.col("n")).alias("most"))
     lines = line_rows(docs, key, text, host).groupBy("_host", "_line").agg(
         F.count_distinct("_hash").alias("n_docs"),
         F.min(F.struct("_id", "_hash")).alias("first"),
     )
     lines = lines.where(F.col("n_docs") > least)
+    if not share:
+        return lines
+    texts = docs.select(*keyed(docs, key, text, host))
+    limits = texts.groupBy("_host").agg(F.count_distinct("_hash").alias("n")).select(
+        F.col("_host").alias("_of"), F.greatest(F.lit(float(least)), share * F.col("n")).alias("most"))
     return lines.join(limits, same(lines, limits, {"_host": "_of"})).where(
         F.col("n_docs") > F.col("most")).select("_host", "_line", "n_docs", "first")
 

@@ -82,6 +82,16 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+_SHARE = "0.05 * (SELECT n FROM host h"
+FIXED_LIMIT_SQL = LINE_SQL.replace(_SHARE, _SHARE.replace("0.05", "0"))
+
+
+@query(FIXED_LIMIT_SQL)
+def op3_fixed_limit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of all documents, with a limit of boilerplate that is one for all hosts."""
+    return line_rules.verdicts(table(spark, sf_dir, "documents"), share=0)
+
+
 @query()
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that stand in a window of a benchmark item."""
