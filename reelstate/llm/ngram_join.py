@@ -8,7 +8,7 @@ are brought together in clusters, and within a cluster all pairs are verified on
 
 A bucket gives one edge for each of its sets, never all pairs. A large cluster is verified in blocks
 of at most ``BLOCK`` sets against each other, in tasks of their own, which give the number of links
-of each set and a spanning forest of the links; no list of all pairs is ever made, and no link
+of each set to other sets (each once, however many texts have it) and a spanning forest of the links; no list of all pairs is ever made, and no link
 within a cluster is lost.
 
 Defined cases: null text and text without words match nothing: each such document is a class of its own, without
