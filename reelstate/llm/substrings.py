@@ -18,7 +18,8 @@ words alone, so that equal windows pick equal phrases.
 4. The removed places go back to their block, where the words are cut out.
 
 The documents are shuffled once, by block, and that shuffle serves steps 1, 2 and 4. A phrase
-has one row for each block at most, however many documents hold it.
+has one row at most for each block and distinct run, so that a frequent phrase in ever different
+contexts has rows in proportion to its places, and one task takes all rows of a phrase.
 
 Defined cases: null text has no words; a null id comes before all others. Repeated rows are one
 document at the same place, so that neither removes the other. An empty table gives an empty table.
