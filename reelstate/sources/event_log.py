@@ -56,4 +56,5 @@ def stream_events(spark: SparkSession, path: str, schema=TASK_EVENTS,
 
 
 def _with_day(schema: StructType) -> StructType:
-    return StructType(schema.fields).add(DAY, DateType()).add(BATCH, StringType())
+    # a list of its own: add() would change the fields of the caller's schema
+    return StructType([*schema.fields]).add(DAY, DateType()).add(BATCH, StringType())

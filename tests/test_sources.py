@@ -66,6 +66,18 @@ def test_log_appends_and_prunes_days(spark, tmp_path):
         one_day._jdf.queryExecution().executedPlan().toString())
 
 
+def test_reading_the_log_leaves_the_schema_as_it_is(spark, tmp_path):
+    """The schema is shared by every reader and writer of the process."""
+    import datetime as dt
+
+    path, before = str(tmp_path / "log"), S.TASK_EVENTS.names[:]
+    event_log.append_events(some_events(spark, ("a", 0, dt.datetime(2024, 1, 1), "uploading")), path)
+    for _ in range(2):
+        assert event_log.read_events(spark, path).count() == 1
+        event_log.stream_events(spark, path)
+    assert S.TASK_EVENTS.names == before and len(S.TASK_EVENTS.fields) == len(before)
+
+
 def test_log_refuses_unknown_status(spark, tmp_path):
     import datetime as dt
 
