@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelstate.llm import (
     bpe, decontaminate, html_text, importance, licenses, line_rules, ngram_join, quotes, substrings,
-    token_counts,
+    token_counts, vector_codes,
 )
 from reelstate.llm.common import table
 
@@ -288,3 +288,56 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def _book(of: str, before: str) -> str:
+    """The codebook after a round: floors of means; unused entries stay."""
+    means = ", ".join(f"CAST(floor(sum(x{i}) / count(*)) AS BIGINT) AS x{i}" for i in range(1, 5))
+    kept = ", ".join(f"coalesce(n.x{i}, b.x{i}) AS x{i}" for i in range(1, 5))
+    return f"""(
+    SELECT b.p, b.e, {kept} FROM {before} b
+    LEFT JOIN (SELECT p, e, {means} FROM part JOIN {of} USING (rid, p) GROUP BY p, e) n
+    ON n.p = b.p AND n.e = b.e
+)"""
+
+
+def _codes(book: str) -> str:
+    """Each part's nearest entry, the lowest of equals, and its distance."""
+    far = " + ".join(f"(part.x{i} - b.x{i}) * (part.x{i} - b.x{i})" for i in range(1, 5))
+    return f"""(
+    SELECT rid, p, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d
+    FROM (SELECT rid, part.p AS p, b.e AS e, {far} AS d FROM part JOIN {book} b ON b.p = part.p)
+    GROUP BY rid, p
+)"""
+
+
+CODES_SQL = f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding,
+        lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (
+    SELECT rid, vec_id, p, v[p * 4 + 1] AS x1, v[p * 4 + 2] AS x2, v[p * 4 + 3] AS x3, v[p * 4 + 4] AS x4
+    FROM kept, range(16) AS parts(p)
+), first AS (
+    SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64
+), b0 AS (
+    SELECT p, e, x1, x2, x3, x4 FROM part JOIN first USING (rid)
+), a0 AS {_codes("b0")}, b1 AS {_book("a0", "b0")}, a1 AS {_codes("b1")}, b2 AS {_book("a1", "b1")},
+a2 AS {_codes("b2")}, book AS (
+    SELECT sha256(string_agg(x1 || ',' || x2 || ',' || x3 || ',' || x4, ',' ORDER BY p, e)) AS books FROM b2
+), row AS (
+    SELECT rid, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM a2 GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       books AS codebooks_sha256
+FROM row JOIN kept USING (rid), book
+"""
+
+
+@query(CODES_SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors coded by parts, the codebooks trained on all of them."""
+    return vector_codes.reported(table(spark, sf_dir, "embeddings"))
