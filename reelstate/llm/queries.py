@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from reelstate.llm import (
-    bpe, decontaminate, html_text, importance, licenses, line_rules, ngram_join, quotes, substrings,
-    token_counts, vector_codes,
+    bpe, curriculum, decontaminate, html_text, importance, licenses, line_rules, ngram_join, quotes,
+    substrings, token_counts, vector_codes,
 )
 from reelstate.llm.common import table
 
@@ -341,3 +341,52 @@ FROM row JOIN kept USING (rid), book
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors coded by parts, the codebooks trained on all of them."""
     return vector_codes.reported(table(spark, sf_dir, "embeddings"))
+
+
+MIX_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place
+    FROM documents
+), src AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS total,
+           CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS kind, kind + 1.0::DOUBLE AS weight
+    FROM doc GROUP BY source
+), filled AS (
+    SELECT *, sum(CAST(total AS DOUBLE)) OVER () AS every,
+           coalesce(sum(3.0::DOUBLE * total) OVER (ORDER BY total / weight, source ROWS BETWEEN UNBOUNDED PRECEDING
+               AND 1 PRECEDING), 0) AS fixed,
+           sum(weight) OVER (ORDER BY total / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+    FROM src
+), level AS (
+    SELECT every - fixed AS words, rest AS weights FROM filled
+    WHERE weight * (every - fixed) / rest <= 3.0::DOUBLE * total ORDER BY fixed LIMIT 1
+), target AS (
+    SELECT source, total, kind, weight, least(weight * words / weights, 3.0::DOUBLE * total) AS target
+    FROM src, level
+), laid AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+    FROM doc
+), placed AS (
+    SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS wanted,
+           CASE WHEN size > 0 AND start < wanted
+                THEN weight * CAST(start AS DOUBLE) / CAST(wanted AS DOUBLE) END AS demand,
+           [0.0::DOUBLE, 0, CASE WHEN demand >= 1 THEN 0.5 ELSE 0 END][kind + 1] AS leg,
+           [1.0::DOUBLE, 3, 2][kind + 1] AS high,
+           [0.0::DOUBLE, -2, CASE WHEN demand >= 1 THEN 8 ELSE 0 END][kind + 1] AS slope,
+           demand - CASE WHEN leg > 0 THEN 1 ELSE 0 END AS over
+    FROM laid JOIN target USING (source)
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, total AS source_size, target,
+       CAST(greatest(0, least(size, wanted - start)) + greatest(0, least(size, wanted - start - total))
+            + greatest(0, least(size, wanted - start - 2 * total)) AS BIGINT) AS taken,
+       leg + CASE WHEN over <= 0 THEN 0 ELSE 2 * over / (high + sqrt(high * high + 2 * slope * over)) END AS position
+FROM placed
+"""
+
+
+@query(MIX_SQL)
+def op13_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that a mix of their sources takes, in the order of training."""
+    found = curriculum.placed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "position")
