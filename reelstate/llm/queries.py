@@ -1,10 +1,11 @@
 """The registered queries of this package, and the SQL that must give the same rows."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelstate.llm import (
-    bpe, curriculum, decontaminate, html_text, importance, licenses, line_rules, ngram_join, quotes,
-    substrings, token_counts, vector_codes,
+    bpe, curriculum, decontaminate, hard_negatives, html_text, importance, licenses, line_rules, ngram_join,
+    quotes, substrings, token_counts, vector_codes,
 )
 from reelstate.llm.common import table
 
@@ -390,3 +391,40 @@ def op13_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that a mix of their sources takes, in the order of training."""
     found = curriculum.placed(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+NEGATIVES_SQL = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), kept AS (
+    SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1
+), part AS (
+    SELECT vec_id, label, unnest(v) AS x, unnest(range(len(v))) AS i FROM kept
+), score AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, sum(a.x * b.x) AS score
+    FROM part a JOIN part b ON a.i = b.i AND a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0 GROUP BY ALL
+), positive AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM score WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (
+           PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, CAST(positive_score AS BIGINT) AS positive_score,
+       CAST(score AS BIGINT) AS negative_score
+FROM positive JOIN score USING (anchor_id)
+WHERE NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query(NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, searched for among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors.withColumn("label", moved))

@@ -1,0 +1,128 @@
+import numpy as np
+import pytest
+
+from compare import SAME_TYPE, oracle_connection, oracle_rows, oracle_types, spark_rows
+from reelstate.llm import gnat, hard_negatives, queries
+
+TABLE = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, every, positives=5, negatives=10):
+    """All scores of all anchors, in plain Python."""
+    kept = {}
+    for i, v, label in rows:
+        if i is None or label is None or v is None or not all(x is not None and np.isfinite(x) for x in v):
+            continue
+        one = (label, [int(np.floor(256 * float(x))) for x in v])
+        kept[i] = min(kept.get(i, one), one)
+    out = []
+    for a, (label, v) in kept.items():
+        if a % every:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), i, other) for i, (other, w) in kept.items() if i != a]
+        near = sorted(s for s in scored if s[2] == label)[:positives]
+        for minus, p, _ in near:
+            hard = sorted(s for s in scored if s[2] != label and 30 * -minus <= -100 * s[0] <= 90 * -minus)
+            out += [(a, p, rank + 1, s[1], -minus, -s[0]) for rank, s in enumerate(hard[:negatives])]
+    return sorted(out)
+
+
+def clusters(many=400, dims=6, seed=3):
+    dice = np.random.default_rng(seed)
+    centres = dice.normal(size=(12, dims))
+    rows = [(i, (centres[i % 12] + 0.2 * dice.normal(size=dims)).round(2).tolist(), int(dice.integers(3)))
+            for i in range(many)]
+    rows += [(1000 + i, rows[5][1], i % 3) for i in range(300)]                   # one vector, hundreds of ids
+    rows += [(20, rows[20][1], rows[20][2]), (30, rows[31][1], 0), (40, None, 1)]  # repeated ids
+    rows += [(2000, None, 1), (2010, [float("nan")] * dims, 1), (2020, [1.0, None], 2), (2030, rows[1][1], None)]
+    return rows + [(None, rows[1][1], 1), (2040, [], 1), (2050, [0.5, -0.25], 0), (-10, rows[2][1], 2)]
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("sizes", [{}, {"sample": 60, "cell": 40, "block": 50, "leaf": 8}])
+def test_matches_brute_force(spark, sizes, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BATCH", 7)
+    rows = clusters()
+    df = spark.createDataFrame(rows, TABLE).repartition(5)
+    got = found(hard_negatives.mined(df, every=10, **sizes))
+    assert got == brute(rows, 10) and len(got) > 500
+
+
+@pytest.mark.parametrize("rows", [[], [(0, None, 1)], [(0, [1.0], 1)], [(0, [1.0], 1), (1, [1.0], 1)], [(100, [], 1), (1, [], 1), (2, [], 0)]])
+def test_few_rows(spark, rows):
+    got = found(hard_negatives.mined(spark.createDataFrame(rows, TABLE)))
+    assert got == brute(rows, 100)
+
+
+def test_clashing_columns(spark):
+    rows = clusters(60)
+    names = ["_id", "_label", "_vector", "_low", "_block", "_cell", "rank", "_query"]
+    clash = spark.createDataFrame(rows, TABLE).selectExpr("*", *[f"'x' as {n}" for n in names])
+    assert found(hard_negatives.mined(clash, every=20)) == brute(rows, 20)
+
+
+def windows(dice, vectors, many):
+    """Queries of other vectors with narrow windows of scores."""
+    low = dice.integers(-2000, 4000, size=(many, 3)).astype(float)
+    asked = dice.integers(-60, 60, size=(many, vectors.shape[1]))
+    return asked, low, low + dice.integers(0, 1500, size=(many, 3))
+
+
+@pytest.mark.parametrize("spread", [1, 15, 60])
+def test_search_is_exact(spread):
+    """Tree search against all scores, with the ranges of the tree and of a tree fitted on a sample."""
+    dice = np.random.default_rng(spread)
+    centres = dice.integers(-60, 60, size=(20, 4))
+    vectors = centres[dice.integers(20, size=3000)] + dice.integers(-spread, spread + 1, size=(3000, 4))
+    ids, labels = dice.permutation(3000).astype(np.int64), dice.integers(3, size=3000)
+    tree = gnat.grow(vectors, 40)
+    assert sorted(np.concatenate(tree.leaves)) == list(range(3000))
+    asked, low, high = windows(dice, vectors, 50)
+    own, mine = np.arange(50, dtype=np.int64) + 5000, dice.integers(3, size=50)
+    for same in (True, False):
+        wanted = gnat.Wanted(asked, own, mine, low, high, 7, same)
+        wanted.search(tree, vectors, ids, labels)
+        scores = asked @ vectors.T
+        for q in range(50):
+            for w in range(3):
+                fits = (low[q, w] <= scores[q]) & (scores[q] <= high[q, w]) & ((labels == mine[q]) == same)
+                want = sorted((-scores[q, i], ids[i]) for i in np.flatnonzero(fits))[:7]
+                got = [(-s, i) for s, i in zip(wanted.score[q, w], wanted.found[q, w]) if i != gnat.NO_ID]
+                assert got == want
+
+
+def test_ranges_rule_out_most_subtrees():
+    """On clusters a narrow window reaches few leaves."""
+    dice = np.random.default_rng(9)
+    centres = dice.integers(-2000, 2000, size=(60, 8))
+    vectors = centres[dice.integers(60, size=6000)] + dice.integers(-20, 21, size=(6000, 8))
+    tree = gnat.grow(vectors, 100)
+    asked = vectors[:40]
+    top = (asked ** 2).sum(1).astype(float)[:, None]
+    wanted = gnat.Wanted(asked, np.arange(40) + 9000, np.zeros(40, int), 0.99 * top, np.full((40, 1), np.inf), 5, True)
+    reached = sum(len(own) for _, own in wanted.leaves(tree))
+    assert reached < 0.1 * 40 * len(tree.leaves)
+
+
+def test_ranges_of_all_rows_hold(spark):
+    """The upper tree knows the distances of every row, not of the sample alone."""
+    rows = spark.createDataFrame(clusters(), TABLE)
+    kept = hard_negatives.usable(rows, "vec_id", "embedding", "label")
+    index = hard_negatives.Index(kept, sample=50, cell=40)
+    vectors = np.array([list(r._vector) + [0] * (6 - len(r._vector)) for r in kept.collect()])
+    again = index.tree.without_ranges()
+    again.route(vectors, learn=True)
+    for node, want in zip(index.tree.nodes, again.nodes, strict=True):
+        assert (node.low == want.low).all() and (node.high == want.high).all() and (node.norms == want.norms).all()
+
+
+def test_query_matches_sql(spark, sf_dir):
+    with oracle_connection(sf_dir) as oracle:
+        sql = queries.ORACLES["op11_hard_negatives"]
+        df = queries.QUERIES["op11_hard_negatives"](spark, sf_dir)
+        names, rows = spark_rows(df)
+        assert (names, rows) == oracle_rows(oracle, sql)
+        assert {n: SAME_TYPE[t] for n, t in df.dtypes} == oracle_types(oracle, sql)
