@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reelstate.operators import state
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import ORACLES, query
 from reelstate.plans.lookups import NOT_FOUND
@@ -12,7 +11,7 @@ from reelstate.plans.reads_writes import TABLE_FILES, file_facts
 from reelstate.plans.scalars import s_m1_transfer_percent
 from reelstate.plans.states import FIELDS
 from reelstate.session import scratch_path
-from reelstate.sources import landing
+from reelstate.sources import landing, state_levels
 from reelstate.streaming import eviction, latest, progress
 
 DRAIN = {"availableNow": True}
@@ -55,8 +54,9 @@ def t3_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running state from the state store, published in update mode."""
     table = scratch_path(spark, "latest-state")
     running = latest.latest_state_stream(_event_stream(spark, sf_dir), FIELDS)
-    _drain(latest.publish_state(running, table, scratch_path(spark, "latest-checkpoint"), DRAIN, FIELDS))
-    return latest.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
+    checkpoint = scratch_path(spark, "latest-checkpoint")
+    _drain(latest.publish_state(running, table, checkpoint, FIELDS, trigger=DRAIN))
+    return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
 
 
 @query(sql.with_tables(
@@ -71,9 +71,9 @@ def t4_followed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = eviction.follow_tasks(_event_stream(spark, sf_dir), late_milliseconds=None)
     checkpoint = scratch_path(spark, "follow-checkpoint")
     with eviction.rocksdb_store(spark):
-        _drain(latest.publish_state(changes, table, checkpoint, DRAIN))
-    newest = state.latest_row(spark.read.schema(changes.schema).parquet(table))
-    return newest.filter("followed").select("task_id", "seq", "status")
+        _drain(latest.publish_changes(changes, table, checkpoint, drop="followed = false", trigger=DRAIN))
+    newest = state_levels.read_state(spark, table, ["row"])
+    return newest.filter("row.followed").select("task_id", F.col("last_seq").alias("seq"), "row.status")
 
 
 STEPS = 3
@@ -103,11 +103,11 @@ def t5_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     for step in range(STEPS):
         part = events.filter(F.col("seq") % STEPS == step)
-        latest.write_part(latest.merge_events(part, fields), table, step)
+        state_levels.store_batch(state_levels.merge_events(part, fields), table, step, fields)
         asked.filter(F.col("request_id") % STEPS == step).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(asked.schema).parquet(folder)
         _drain(progress.answer_stream(
-            stream, lambda: latest.read_state(spark, table, fields).select("task_id", *fields),
+            stream, lambda batch: state_levels.read_state(spark, table, fields, asked=batch).select("task_id", *fields),
             answers, checkpoint,
         ))
     return progress.read_answers(spark, answers)
@@ -120,4 +120,4 @@ def t6_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _event_stream(spark, sf_dir)
     checkpoint = scratch_path(spark, "upsert-checkpoint")
     _drain(latest.upsert_stream(events, table, checkpoint, FIELDS, trigger=DRAIN))
-    return latest.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
+    return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)

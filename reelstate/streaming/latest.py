@@ -1,131 +1,61 @@
-"""Latest state of a stream, and a keyed table that streams keep up to date.
+"""Latest state of a stream, and the keyed tables that streams keep up to date (``sources.state_levels``)."""
 
-The table is a folder of parquet parts, one per micro-batch. A batch writes only the keys
-it saw, already merged, each field with the ``seq`` that set it; the merge of merges is
-again a merge, so readers fold the parts. A replayed batch overwrites its own part.
+from collections.abc import Sequence
 
-Every ``FOLD_EVERY`` batches the stream folds all parts into one, under a negative id, and drops
-those that the fold before had taken in. A merge takes the same row twice without harm, so
-that a reader may find a part and the fold that holds it; and it has as many batches of time to
-read on before its files go. The number of parts is bounded.
-"""
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-BATCH = "batch_id"
-FOLD_EVERY = 100
+from reelstate.sources.state_levels import Layout, merge_events, merged_fields, store_batch
+
 EVERY_SECOND = {"processingTime": "1 second"}
 
 
-def latest_state_stream(events: DataFrame, fields: list[str], key: str = "task_id",
+def latest_state_stream(events: DataFrame, fields: Sequence[str], key: str = "task_id",
                         order: str = "seq") -> DataFrame:
     """Running field-level merge per key, for update mode.
 
     Each micro-batch combines map-side before it touches the state store, so a hot key
     sends one row per input partition. State is kept for every key; ``upsert_stream`` needs
-    none, and ``eviction.follow_tasks`` keeps that of active tasks alone.
+    none, ``expiry.expiring_state_stream`` lets finished tasks go.
     """
-    return events.groupBy(key).agg(*_merge_from_events(fields, order))
-
-
-def _merge_from_events(fields: list[str], order: str) -> list[Column]:
-    merged = []
-    for field in fields:
-        set_at = F.when(F.col(field).isNotNull(), F.col(order))
-        merged += [F.max_by(field, set_at).alias(field), F.max(set_at).alias(f"{field}_{order}")]
-    return merged + [F.max(order).alias(f"last_{order}")]
-
-
-def _merge_from_parts(fields: list[str], order: str) -> list[Column]:
-    merged = []
-    for field in fields:
-        set_at = F.col(f"{field}_{order}")
-        merged += [F.max_by(field, set_at).alias(field), F.max(set_at).alias(f"{field}_{order}")]
-    return merged + [F.max(f"last_{order}").alias(f"last_{order}")]
-
-
-def merge_events(events: DataFrame, fields: list[str], key: str = "task_id",
-                 order: str = "seq") -> DataFrame:
-    """The rows a batch of events adds to the table."""
-    return events.groupBy(key).agg(*_merge_from_events(fields, order))
-
-
-def write_part(rows: DataFrame, table: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
-
-
-def fold_parts(spark: SparkSession, table: str, batch_id: int, fields: list[str],
-               key: str = "task_id", order: str = "seq", every: int = FOLD_EVERY) -> None:
-    """Fold the parts up to ``batch_id`` into one, and drop those folded ``every`` batches ago."""
-    own = -batch_id - 2
-    parts = spark.read.parquet(table).filter(F.col(BATCH) != own)
-    write_part(parts.groupBy(key).agg(*_merge_from_parts(fields, order)), table, own)
-    before = batch_id - every
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(table)
-    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith(f"{BATCH}="):
-            part = int(name.removeprefix(f"{BATCH}="))
-            if 0 <= part <= before or -1 > part > -before - 2 or part == -1 and before >= 0:
-                files.delete(status.getPath(), True)
-
+    return events.groupBy(key).agg(*merged_fields(fields, order, events=True))
 
-def store_batch(rows: DataFrame, table: str, batch_id: int, fields: list[str],
-                key: str = "task_id", order: str = "seq", every: int = FOLD_EVERY) -> None:
-    """Write a batch's part, and fold the parts when it is time."""
-    write_part(rows, table, batch_id)
-    if batch_id % every == every - 1:
-        fold_parts(rows.sparkSession, table, batch_id, fields, key, order, every)
 
+def upsert_stream(events: DataFrame, table: str, checkpoint: str, fields: Sequence[str],
+                  key: str = "task_id", order: str = "seq", trigger: dict | None = None,
+                  layout: Layout | None = None) -> StreamingQuery:
+    """Merge an event stream into a table, without a state store."""
 
-def read_state(spark: SparkSession, table: str, fields: list[str],
-               key: str = "task_id", order: str = "seq") -> DataFrame:
-    """The table with all parts folded."""
-    parts = spark.read.parquet(table)
-    return parts.groupBy(key).agg(*_merge_from_parts(fields, order))
-
-
-def compact(spark: SparkSession, table: str, target: str, fields: list[str],
-            key: str = "task_id", order: str = "seq") -> None:
-    """Fold all parts into one part of a new table.
-
-    Run it between two runs of the stream, then point the stream at ``target``. Batch
-    ids go on from the checkpoint, so part ``-1`` is never overwritten.
-    """
-    write_part(read_state(spark, table, fields, key, order), target, -1)
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        store_batch(merge_events(batch, fields, key, order), table, batch_id, fields, key, order, layout)
 
+    return _start(events.writeStream.foreachBatch(upsert), checkpoint, trigger)
 
-def upsert_stream(events: DataFrame, table: str, checkpoint: str, fields: list[str],
-                  key: str = "task_id", order: str = "seq",
-                  trigger: dict | None = None, fold_every: int = FOLD_EVERY) -> StreamingQuery:
-    """Merge an event stream into the table, without a state store."""
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = merge_events(batch, fields, key, order)
-        store_batch(rows, table, batch_id, fields, key, order, fold_every)
+def publish_state(state: DataFrame, table: str, checkpoint: str, fields: Sequence[str], key: str = "task_id",
+                  order: str = "seq", trigger: dict | None = None, layout: Layout | None = None) -> StreamingQuery:
+    """Merge the updated rows of a state stream into a table each second."""
 
-    return _start(events.writeStream.foreachBatch(upsert), checkpoint, trigger)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        store_batch(batch, table, batch_id, fields, key, order, layout)
 
+    return _start(state.writeStream.outputMode("update").foreachBatch(publish), checkpoint, trigger)
 
-def publish_state(state: DataFrame, table: str, checkpoint: str,
-                  trigger: dict | None = None, fields: list[str] | None = None,
-                  fold_every: int = FOLD_EVERY) -> StreamingQuery:
-    """Write the updated rows of ``latest_state_stream`` to the table each second.
 
-    With its ``fields`` the parts are folded as the stream goes on.
-    """
+def publish_changes(changes: DataFrame, table: str, checkpoint: str, key: str = "task_id", order: str = "seq",
+                    drop: str | None = None, trigger: dict | None = None,
+                    layout: Layout | None = None) -> StreamingQuery:
+    """Keep the newest of the rows that a stream emits for a key; rows that ``drop`` holds for go in time."""
+    fields = [name for name in changes.columns if name not in (key, order)]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        if fields:
-            store_batch(batch, table, batch_id, fields, every=fold_every)
-        else:
-            write_part(batch, table, batch_id)
+        # the row as a whole counts, so that a NULL in it replaces a value
+        whole = batch.select(key, F.col(order), F.struct(*fields).alias("row"))
+        rows = merge_events(whole, ["row"], key, order)
+        store_batch(rows, table, batch_id, ["row"], key, order, layout, drop and f"row.{drop}")
 
-    return _start(state.writeStream.outputMode("update").foreachBatch(publish), checkpoint, trigger)
+    return _start(changes.writeStream.outputMode("update").foreachBatch(publish), checkpoint, trigger)
 
 
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reelstate.functions.progress import transfer_percent
 from reelstate.operators.lookup import answer
-from reelstate.streaming.latest import BATCH
+from reelstate.sources.state_levels import IN_PUSHDOWN, POINTS
+
+BATCH = "batch_id"
 
 
 def percent_stream(transfers: DataFrame) -> DataFrame:
@@ -16,19 +18,25 @@ def percent_stream(transfers: DataFrame) -> DataFrame:
     return transfers.withColumn("percent", transfer_percent(F.col("loaded"), F.col("total")))
 
 
-def answer_stream(requests: DataFrame, state_now: Callable[[], DataFrame], path: str,
+def answer_stream(requests: DataFrame, state_now: Callable[[DataFrame], DataFrame], path: str,
                   checkpoint: str, key: str = "task_id", limit: int | None = None,
                   trigger: dict | None = None) -> StreamingQuery:
     """Answer the requests of a stream from the state at the time of each micro-batch.
 
-    ``state_now`` is called for every batch and opens the state anew; a stream-static join
-    would keep the files that were there when the stream started. Hot request keys are
-    split as in batch lookups. A batch that is run again replaces its own answers.
+    ``state_now`` is called with every batch and opens the state anew, what the batch asks for at
+    least; a stream-static join would keep the files that were there when the stream started. Hot
+    request keys are split as in batch lookups. A batch that is run again replaces its own answers.
     """
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
-        answers = answer(batch, state_now(), key, limit=limit)
-        answers.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        spark = batch.sparkSession
+        before = spark.conf.get(IN_PUSHDOWN)
+        spark.conf.set(IN_PUSHDOWN, POINTS)  # so that requested keys reach the pages of the files
+        try:
+            answers = answer(batch, state_now(batch), key, limit=limit)
+            answers.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        finally:
+            spark.conf.set(IN_PUSHDOWN, before)
 
     return (
         requests.writeStream.foreachBatch(answer_batch)

@@ -10,7 +10,7 @@ from reelstate.operators import state
 from reelstate.plans import standins
 from reelstate.plans.states import FIELDS
 from reelstate.session import scratch_path
-from reelstate.sources import event_log, landing
+from reelstate.sources import event_log, landing, state_levels
 from reelstate.streaming import eviction, latest, progress
 
 DRAIN = {"availableNow": True}
@@ -42,13 +42,13 @@ def merged(spark, log):
 
 
 def folded(spark, table):
-    return latest.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
+    return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
 
 
 def test_state_store_and_upsert_agree_with_batch(spark, log):
     stored, upserted = scratch_path(spark, "stored"), scratch_path(spark, "upserted")
     running = latest.latest_state_stream(stream(spark, log), FIELDS)
-    query = latest.publish_state(running, stored, scratch_path(spark, "c"), DRAIN)
+    query = latest.publish_state(running, stored, scratch_path(spark, "c"), FIELDS, trigger=DRAIN)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == BATCHES
     latest.upsert_stream(
@@ -58,42 +58,17 @@ def test_state_store_and_upsert_agree_with_batch(spark, log):
     same(folded(spark, upserted), merged(spark, log))
 
 
-def test_replayed_batch_changes_nothing(spark, log):
-    table = scratch_path(spark, "replayed")
-    rows = latest.merge_events(spark.read.parquet(log), FIELDS)
-    for batch in (0, 1, 1):
-        latest.write_part(rows, table, batch)
-    same(folded(spark, table), merged(spark, log))
-
-
-def test_many_batches_leave_few_parts(spark, log, tmp_path):
-    """Parts are folded every three batches, one of them replayed after its fold."""
-    events, table, expected = spark.read.parquet(log), str(tmp_path / "state"), merged(spark, log)
-    most = 0
-    for batch in [*range(12), 11, *range(12, 25)]:
-        rows = latest.merge_events(events.filter(F.col("seq") % 25 == batch), FIELDS)
-        latest.store_batch(rows, table, batch, FIELDS, every=3)
-        most = max(most, len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]))
-    assert most <= 2 * 3 + 2
-    same(folded(spark, table), expected)
-
-
-def test_compaction_keeps_the_state_and_the_stream_goes_on(spark, log):
-    table, target = scratch_path(spark, "parts"), scratch_path(spark, "compacted")
-    events = spark.read.parquet(log)
-    latest.write_part(latest.merge_events(events.filter("seq < 600"), FIELDS), table, 0)
-    latest.write_part(latest.merge_events(events.filter("seq < 300"), FIELDS), table, 1)
-    latest.compact(spark, table, target, FIELDS)
-    latest.write_part(latest.merge_events(events.filter("seq >= 600"), FIELDS), target, 2)
-    same(folded(spark, target), merged(spark, log))
-
-
 def follow(spark, path):
     table = scratch_path(spark, "followed")
     changes = eviction.follow_tasks(stream(spark, path), late_milliseconds=None)
     with eviction.rocksdb_store(spark):
-        latest.publish_state(changes, table, scratch_path(spark, "c"), DRAIN).awaitTermination()
-    return spark.read.schema(changes.schema).parquet(table)
+        latest.publish_changes(changes, table, scratch_path(spark, "c"), trigger=DRAIN).awaitTermination()
+    return newest_changes(spark, table)
+
+
+def newest_changes(spark, table):
+    rows = state_levels.read_state(spark, table, ["row"])
+    return rows.select("task_id", F.col("last_seq").alias("seq"), "row.status", "row.followed")
 
 
 def test_finished_tasks_leave(spark, sf_dir):
@@ -103,7 +78,7 @@ def test_finished_tasks_leave(spark, sf_dir):
     for low in (0, 400, 800):
         part = events.filter(F.col("seq").between(low, low + 399))
         part.coalesce(1).write.mode("append").parquet(path)
-    last = state.latest_row(follow(spark, path))
+    last = follow(spark, path)
     known = events.filter("status IS NOT NULL")
     expected = state.latest_row(known).filter("status IN ('processing', 'uploading')")
     same(last.filter("followed").select("task_id", "seq", "status"), expected)
@@ -139,7 +114,7 @@ def test_answers_see_the_state_table(spark, tmp_path):
 
     def found():
         progress.answer_stream(
-            stream(spark, path), lambda: spark.read.parquet(table), out, str(tmp_path / "c"), limit=1
+            stream(spark, path), lambda batch: spark.read.parquet(table), out, str(tmp_path / "c"), limit=1
         ).awaitTermination()
         return {(r.request_id, r.code, r.status, r.reply_message)
                 for r in progress.read_answers(spark, out).collect()}
@@ -171,8 +146,8 @@ def test_tombstone_stops_a_late_event(spark):
         time.sleep(1.1)  # the file source goes by modification time
     changes = eviction.follow_tasks(stream(spark, path), late_milliseconds=600_000)
     with eviction.rocksdb_store(spark):
-        query = latest.publish_state(
-            changes, table, scratch_path(spark, "c"), {"processingTime": "1 second"})
+        query = latest.publish_changes(
+            changes, table, scratch_path(spark, "c"), trigger={"processingTime": "1 second"})
     try:
         give_up = time.time() + 60
         while query.isActive and time.time() < give_up:
@@ -181,5 +156,5 @@ def test_tombstone_stops_a_late_event(spark):
             time.sleep(0.5)
     finally:
         query.stop()
-    found = spark.read.schema(changes.schema).parquet(table).collect()
+    found = newest_changes(spark, table).collect()
     assert {(r.task_id, r.seq, r.followed) for r in found} == {("a", 5, False)}
