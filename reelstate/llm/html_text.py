@@ -1,13 +1,17 @@
 """Main text of web pages by two passes of block rules.
 
 Method: a page is cut into blocks at its block-level tags; each block knows its text, how much of it is
-link text, and the containers it stands in. Blocks in containers that hold no article text (menus,
-forms, adverts, comments ...) are left out. The first pass decides the others one by one: those in an
+link text, and the containers it stands in. Blocks in elements that hold no article text (menus, footers,
+scripts ...) are left out. The first pass decides the others one by one: those in an
 article or main element are good unless they are a list of links; the rest is judged by length, link
 density and the density of stop words, which leaves short and middling blocks undecided. The second
 pass gives undecided blocks the label of their nearest decided neighbours: of both if they agree, else
 of the nearer one, good of equals.
 
+Names of classes are hints only. A container whose class, id or role says advert, comments or menu goes if it has no
+more text than the rest of the page, or if the rest has good text of its own; else it stays and its blocks are judged
+like others. An article that is no part of another one never goes for its own class.
+
 Texts are decoded, white space inside a block becomes one blank, and blocks are joined by line breaks.
 Pages are worked on one by one within Arrow batches; nothing is shuffled.
 
@@ -17,6 +21,7 @@ comments and scripts with the page, a tag cut off at the end is dropped. Repeate
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -50,16 +55,20 @@ SILENT = frozenset("head script style noscript template svg math canvas iframe o
 RAW = "script|style|textarea|title|noscript|iframe|xmp|noembed|noframes"
 #: Containers that hold no article text; an article inside the first ones ends them.
 LOOSE = frozenset("nav header form".split())
-APART = frozenset("footer aside menu".split()) | LOOSE
+APART = frozenset("footer aside menu".split())
 MAIN = frozenset("article main".split())
 ROLES_APART = frozenset("navigation banner contentinfo complementary search form dialog alert "
                         "alertdialog menu menubar toolbar".split())
-#: Words of class and id that mark a container as no article text, whatever it holds.
+#: Words that turn a name into one of layout or state: ``has-sidebar``, ``ad-free``, ``overflow-hidden``.
+MODIFIERS = frozenset(
+    "has have no not non with without is are free open opened close closed enabled enable disabled disable "
+    "allow allowed allows off on overflow visually until above below js can show shown hide supports".split())
+#: Words of class and id that hint at a container without article text, whatever it holds.
 STRONG_HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments "
     "commentlist disqus reply replies respond related recommended recommendations newsletter subscribe "
     "signup".split())
-#: Words that do so unless the container holds an article or main element.
+#: Words that do so as far as the container holds no article or main element.
 WEAK_HINTS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer sidebar "
     "widget widgets cookie cookies consent gdpr notice notices banner popup modal overlay share sharing "
@@ -72,6 +81,9 @@ TOKEN = re.compile(
     re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"']+)")
 HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+#: What an end tag of a paragraph or list item reaches through.
+PASSED = INLINE | frozenset("p li ul ol div".split())
 
 
 @dataclass
@@ -83,6 +95,7 @@ class Element:
     link: bool = False
     weak: bool = False  # an article inside ends ``bad``
     group: int = 0  # the list it makes
+    region: int = 0  # the container with a hint that it is, or is in
 
 
 @dataclass
@@ -92,6 +105,15 @@ class Block:
     bad: bool
     main: bool
     group: int
+    region: int = 0
+
+
+@dataclass
+class Region:
+    """A container with a hint, and the one around it; an article in it is no part if the hint is weak."""
+
+    outer: int
+    weak: bool
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -102,7 +124,56 @@ def attributes(source: str) -> dict[str, str]:
 
 
 def hints(given: dict[str, str]) -> set[str]:
-    return {w.lower() for w in HINT_WORD.findall(f"{given.get('class', '')} {given.get('id', '')}")}
+    """Words of the names in class and id; names of layout and state have none."""
+    found: set[str] = set()
+    for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        words = {w.lower() for w in HINT_WORD.findall(name)}
+        if not words & MODIFIERS:
+            found |= words
+    return found
+
+
+class Open:
+    """The open elements, with counts that tell at once whether an end tag has one to close."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.all: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]  # inline names since each block element
+        self.walls: list[Counter[str]] = [Counter()]  # names since each element that ends a search
+
+    def push(self, element: Element) -> None:
+        name = element.name
+        self.stack.append(element)
+        self.all[name] += 1
+        if name in INLINE:
+            self.inline[-1][name] += 1
+        else:
+            self.inline.append(Counter())
+        if name in PASSED:
+            self.walls[-1][name] += 1
+        else:
+            self.walls.append(Counter())
+
+    def pop(self) -> Element:
+        element = self.stack.pop()
+        name = element.name
+        self.all[name] -= 1
+        if name in INLINE:
+            self.inline[-1][name] -= 1
+        else:
+            self.inline.pop()
+        if name in PASSED:
+            self.walls[-1][name] -= 1
+        else:
+            self.walls.pop()
+        return element
+
+    def reached(self, name: str) -> bool:
+        """Whether an end tag of this name closes an element."""
+        if name in INLINE:
+            return self.inline[-1][name] > 0
+        return (self.walls[-1] if name in ("p", "li") else self.all)[name] > 0
 
 
 class Page:
@@ -110,7 +181,8 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[Block] = []
-        self.stack: list[Element] = []
+        self.regions: list[Region] = [Region(0, False)]  # the page
+        self.open_ = Open()
         self.parts: list[str] = []
         self.linked = 0
         self.breaks = 0
@@ -132,7 +204,7 @@ class Page:
         self.flush()
 
     def state(self) -> Element | None:
-        return self.stack[-1] if self.stack else None
+        return self.open_.stack[-1] if self.open_.stack else None
 
     def text(self, source: str) -> None:
         top = self.state()
@@ -149,13 +221,13 @@ class Page:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.state() or Element("")
-            self.blocks.append(Block(text, self.linked, top.bad, top.main, top.group))
+            self.blocks.append(Block(text, self.linked, top.bad, top.main, top.group, top.region))
         self.parts, self.linked, self.breaks = [], 0, 0
 
     def end_inline(self) -> None:
         """Inline elements left open end with the block around them."""
-        while self.stack and self.stack[-1].name in INLINE:
-            self.stack.pop()
+        while self.name_of_top() in INLINE:
+            self.open_.pop()
 
     def open(self, name: str, source: str) -> None:
         if name == "br":
@@ -172,32 +244,43 @@ class Page:
             self.flush()
             self.end_inline()
             if name == self.name_of_top() and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                self.stack.pop()
+                self.open_.pop()
             elif self.name_of_top() == "p":
-                self.stack.pop()
-        self.stack.append(self.element(name, attributes(source) if source.strip(" /") else {}))
+                self.open_.pop()
+        self.open_.push(self.element(name, attributes(source) if source.strip(" /") else {}))
 
     def name_of_top(self) -> str:
-        return self.stack[-1].name if self.stack else ""
+        top = self.state()
+        return top.name if top else ""
 
     def element(self, name: str, given: dict[str, str]) -> Element:
         top = self.state() or Element("")
-        own = Element(name, top.bad, top.silent, top.main, top.link or name == "a", top.weak, top.group)
+        own = Element(name, top.bad, top.silent, top.main, top.link or name == "a", top.weak, top.group, top.region)
         words = hints(given) if given and name not in ("html", "body") else set()
-        if name in MAIN and not words & STRONG_HINTS:
+        role = given.get("role", "").lower()
+        if name in MAIN:
+            if top.main or top.region:
+                words &= STRONG_HINTS  # as a comment among others has
+            else:
+                words = set()
             own.main = True
             if own.bad and own.weak:
                 own.bad = own.weak = False
-        hidden = "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
-        strong = bool(words & STRONG_HINTS or hidden)
-        loose = bool(name in LOOSE or words & WEAK_HINTS or given.get("role", "").lower() in ROLES_APART)
+            while self.regions[own.region].weak:
+                own.region = self.regions[own.region].outer
+        strong = bool(words & STRONG_HINTS)
+        weak = bool(name in LOOSE - {"nav"} or words & WEAK_HINTS or role in ROLES_APART)
         if own.main and (name in MAIN or name == "header" or words & {"header"} and not words & (
                 WEAK_HINTS - {"header"})):
-            loose = False  # the head of an article is part of it
-        if strong or name in APART - LOOSE:
+            weak = False  # the head of an article is part of it
+        if name in APART or "hidden" in given or HIDDEN.search(given.get("style", "")):
             own.bad, own.weak = True, False
-        elif loose and not own.bad:
+        elif name == "nav" and not own.bad:
             own.bad, own.weak = True, True
+        elif strong or weak:
+            own.main = own.main and not strong
+            self.regions.append(Region(own.region, not strong))
+            own.region = len(self.regions) - 1
         if name in SILENT:
             own.silent = True
         if name in ("ul", "ol", "dl", "menu"):
@@ -210,14 +293,32 @@ class Page:
             return self.open("br", "")
         if name not in INLINE:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].name == name:
-                del self.stack[i:]
-                return
-            if name in INLINE and self.stack[i].name not in INLINE:
-                return
-            if name in ("p", "li") and self.stack[i].name not in INLINE | {"p", "li", "ul", "ol", "div"}:
-                return
+        if not self.open_.reached(name):
+            return
+        while self.open_.pop().name != name:
+            pass
+
+
+def left_out(blocks: list[Block], regions: list[Region], labels: list[bool | None]) -> list[bool]:
+    """Whether each block is in a container that goes for its hint.
+
+    It goes with a container that goes, if it has at most half of the page's text, if there is good text of some length
+    beside it, or any beside a short one. ``labels`` are those of the first pass.
+    """
+    size, good = [0] * len(regions), [0] * len(regions)
+    for block, label in zip(blocks, labels, strict=True):
+        if not block.bad:
+            size[block.region] += len(block.text)
+            good[block.region] += len(block.text) if label else 0
+    every, inside = sum(size), size[:]
+    for number in range(len(regions) - 1, 0, -1):  # inner ones come after those around them
+        inside[regions[number].outer] += inside[number]
+    gone, beside = [False] * len(regions), [0] * len(regions)
+    for number, region in enumerate(regions[1:], 1):
+        beside[number] = beside[region.outer] + good[region.outer]
+        gone[number] = (gone[region.outer] or 2 * inside[number] <= every or beside[number] >= LONG
+                        or 0 < beside[number] and inside[number] < LONG)
+    return [gone[b.region] for b in blocks]
 
 
 def link_density(block: Block) -> float:
@@ -254,10 +355,10 @@ def first_pass(blocks: list[Block]) -> list[bool | None]:
 
 
 def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided ones; a page without any is good."""
+    """Undecided blocks take the label of the nearest decided ones; without a good one they are good."""
     n = len(labels)
-    if not any(x is not None for x in labels):
-        return [True] * n
+    if not any(labels):
+        return [x is None for x in labels]
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
     last = None
@@ -282,7 +383,10 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(source: str | None) -> str:
-    blocks = [b for b in Page(source or "").blocks if not b.bad]  # those give no label to others
+    page = Page(source or "")
+    gone = left_out(page.blocks, page.regions, first_pass(page.blocks))
+    # blocks that go give no label to others
+    blocks = [b for b, away in zip(page.blocks, gone, strict=True) if not away and not b.bad]
     kept = second_pass(first_pass(blocks))
     return "\n".join(b.text for b, good in zip(blocks, kept, strict=True) if good)
 

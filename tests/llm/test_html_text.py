@@ -43,6 +43,26 @@ PAGES = {
     "table": ("<article><table><tr><td>a</td><td>b</td></tr></table></article>", "a\nb"),
     "less-than signs": ("<article><p>1 < 2 and 3 <4</p></article>", "1 < 2 and 3 <4"),
     "empty": ("", ""), "null": (None, ""),
+    "a class on the article": ("<article class='post has-comments'><p>Body.</p></article>", "Body."),
+    "free of adverts": ("<article class='post ad-free'><p>Body.</p></article>", "Body."),
+    "a class of layout": (f"<div class='flex overflow-hidden'><p>{PROSE}</p></div>", PROSE),
+    "a class of layout in an article": (
+        "<article><div class='flex overflow-hidden'><p>Body.</p></div></article>", "Body."),
+    "a sidebar elsewhere": (f"<div class='content has-sidebar'><p>{PROSE}</p></div>", PROSE),
+    "no sidebar": (f"<div class='no-sidebar'><p>{PROSE}</p></div>", PROSE),
+    "open for comments": (f"<div class='post comment-open'><p>{PROSE}</p></div>", PROSE),
+    "replies on": ("<main class='replies-enabled'><article><p>Body.</p></article></main>", "Body."),
+    "a form around all": (f"<form><div><p>{PROSE}</p></div></form>", PROSE),
+    "a hint around all": (f"<div class='comments widget'><div><p>{PROSE}</p></div></div>", PROSE),
+    "an article called comment": (f"<article class='comment'><p>{PROSE}</p></article>", PROSE),
+    "comments longer than the article": (
+        f"<div><p>{PROSE}</p></div><div class='comments'>" + f"<p>I say that {PROSE}</p>" * 5 + "</div>", PROSE),
+    "comments that are articles": (
+        f"<article><p>{PROSE}</p><article class='comment'><p>{PROSE}</p></article></article>", PROSE),
+    "a form around all, with comments": (
+        f"<form><p>{PROSE}</p><div id='comments'><p>{PROSE}</p><p>{PROSE}</p></div></form>", PROSE),
+    "end tags without an element": ("<article><div></p></b></section>One</div></i>two</article>", "One\ntwo"),
+    "an end tag inside a list": ("<article><ul><li>a<div>b</li><li>c</ul></article>", "a\nb\nc"),
 }
 
 
@@ -57,6 +77,7 @@ def test_second_pass():
     assert nearest([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert nearest([True, None, False]) == [True, True, False]
     assert nearest([None, None]) == [True, True]
+    assert nearest([None, False, None]) == [True, False, True]
     assert nearest([]) == []
 
 
@@ -90,6 +111,35 @@ def test_odd_tables(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("source", [
+    "<div>" * 40_000 + "</p>" * 40_000, "<b>" * 40_000 + "</i>" * 40_000,
+    "<li><section>" + "<div>" * 40_000 + "</li>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000,
+    "<div class=menu>" * 20_000 + "<p>x" * 20_000,
+])
+def test_malformed_pages_take_linear_time(source):
+    import time
+
+    start = time.process_time()
+    main_text(source)
+    assert time.process_time() - start < 5
+
+
+def test_pages_without_article_tags(spark, sf_dir):
+    """The density rules alone, on the given pages: hardly any boilerplate stays.
+
+    The words of these pages are made up, and many paragraphs have few stop words: a part of them goes.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    kept = words = other = 0
+    for r in rows:
+        want = main_text(r.html).split("\n")
+        got = main_text(re.sub(r"</?article>", "", r.html)).split("\n")
+        words += sum(len(x.split()) for x in want)
+        kept += sum(len(x.split()) for x in want if x in got)
+        other += sum(len(x.split()) for x in got if x not in want)
+    assert kept >= 0.75 * words and other <= 0.01 * words, (kept / words, other / words)
+
+
 def test_a_very_long_page():
     assert main_text("<article>" + "<p>word</p>" * 100_000).count("\n") == 99_999
     assert main_text("<div>" * 20_000 + "<p>deep</p>") == "deep"
