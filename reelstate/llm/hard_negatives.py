@@ -1,8 +1,8 @@
 """Hard negatives: for an anchor and each of its positives, the nearest rows of other labels within a window.
 
 Method: a multiway tree of hyperplanes (``gnat``). Its upper part is grown on a bounded sample and parts all rows
-into cells; one pass over all rows gives the ranges of distances at its nodes, so that they hold for every row. Cells
-are dealt into blocks, and each block grows the lower part of the tree over its own rows. Queries go to the blocks of
+into cells; one pass over all rows gives the ranges of distances at its nodes, so that they hold for every row. Small
+cells share a block and large ones are dealt into several, and each block grows the lower part of the tree over its own rows. Queries go to the blocks of
 the cells that no range rules out; a block's rows come first in their task, then its queries stream past
 them. Every leaf is scored exactly: nothing is approximate, the recall is 1.
 
@@ -18,6 +18,7 @@ Shorter vectors end in zeros. Of rows that repeat an id the smallest counts, by
 a positive, and positives without a negative in their window, give no row. Equal scores go by the smaller id.
 """
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,9 @@ LEAST, MOST = 30, 90
 ANCHORS = 100
 #: Rows that the upper part of the tree is grown on, those of the smallest hashes of their ids.
 SAMPLE = 4096
-#: Cells of the upper part: at least, and rows of a cell where there are more.
+#: Cells of the upper part, and blocks: at least so many, and rows of a cell where there are more.
 CELLS, CELL = 16, 32_768
-#: Rows of a block, about, and of a leaf.
+#: Rows of a block and of a leaf, at most.
 BLOCK, LEAF = 65_536, 512
 #: Queries that are searched together.
 BATCH = 2048
@@ -61,6 +62,20 @@ def _batch(vectors: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray,
     return matrix(vectors.column("_vector"), dims), ids, labels
 
 
+def packed_cells(counts: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """First block and number of blocks of each cell: neighbours share a block, large cells have several."""
+    found, block, filled = {}, -1, most
+    for cell, rows in sorted(counts.items()):
+        if rows > most:
+            found[cell] = (block + 1, -(-rows // most))
+            block, filled = block + found[cell][1], most
+            continue
+        if filled + rows > most:
+            block, filled = block + 1, 0
+        found[cell], filled = (block, 1), filled + rows
+    return found
+
+
 class Index:
     """Rows in blocks, under the upper part of a tree."""
 
@@ -78,14 +93,11 @@ class Index:
         placed = saved(self._placed(rows), "cells")
         self._learn(placed)
         counts = dict(placed.groupBy("_cell").count().collect())
-        self.first, blocks = {}, {}
-        for number, n in sorted(counts.items()):
-            self.first[number] = sum(blocks.values())
-            blocks[number] = -(-n // block)
-        self.blocks, self.many = blocks, sum(blocks.values())
+        self.blocks = packed_cells(counts, min(block, -(-many // CELLS) if many else 1))
+        self.many = max((first + n for first, n in self.blocks.values()), default=0)
         # a table of cells, of which there are no more than rows in the sample
         of = rows.sparkSession.createDataFrame(
-            [(c, self.first[c], blocks[c]) for c in sorted(blocks)], "_of int, _first int, _blocks int")
+            [(cell, first, n) for cell, (first, n) in self.blocks.items()], "_of int, _first int, _blocks int")
         self.rows = placed.join(F.broadcast(of), placed["_cell"] == of["_of"]).select(
             (F.col("_first") + F.pmod(order, F.col("_blocks")).cast("int")).alias("_block"),
             "_id", "_label", "_vector")
@@ -140,22 +152,26 @@ class Index:
         return found.withColumn("_rank", rank).where(F.col("_rank") <= most)
 
     def _routed(self, most: int, same: bool):
-        tree, dims, sample, first, blocks = self.tree, self.dims, self.sample, self.first, self.blocks
+        tree, dims, sample, blocks = self.tree, self.dims, self.sample, self.blocks
 
         @releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for wanted, batch in _wanted(batches, dims, most, same):
                 if sample:
                     wanted.offer(np.arange(len(batch)), *sample)
-                floor = wanted.floor()
+                floor, asked = wanted.floor(), defaultdict(list)
                 for cell, own in wanted.leaves(tree):
-                    for block in range(first.get(cell, 0), first.get(cell, 0) + blocks.get(cell, 0)):
-                        part = batch.take(pa.array(own))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(own), block, dtype=np.int32)), pa.array([True] * len(own)),
-                             *[part.column(name) for name in ("_id", "_label", "_vector")],
-                             _lists(floor[own]), part.column("_high")],
-                            names=["_block", "_query", "_id", "_label", "_vector", "_low", "_high"])
+                    first, many = blocks.get(cell, (0, 0))
+                    for block in range(first, first + many):
+                        asked[block].append(own)
+                for block, parts in asked.items():
+                    own = np.unique(np.concatenate(parts))
+                    part = batch.take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), block, dtype=np.int32)), pa.array([True] * len(own)),
+                         *[part.column(name) for name in ("_id", "_label", "_vector")],
+                         _lists(floor[own]), part.column("_high")],
+                        names=["_block", "_query", "_id", "_label", "_vector", "_low", "_high"])
 
         return run
 
@@ -173,9 +189,11 @@ class Index:
                     if not query:
                         held.append(_batch(part, dims))
                         continue
-                    if tree is None:
+                    if tree is None and held:
                         rows = [np.concatenate(x) for x in zip(*held)]
                         held, tree = [], gnat.grow(rows[0], leaf)
+                    if tree is None:  # none of a large cell's rows were dealt to this block
+                        continue
                     for wanted, _ in _wanted([part], dims, most, same):
                         wanted.search(tree, *rows)
                         asked, window, place = np.nonzero(wanted.found != gnat.NO_ID)

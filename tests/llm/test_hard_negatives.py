@@ -107,6 +107,11 @@ def test_ranges_rule_out_most_subtrees():
     assert reached < 0.1 * 40 * len(tree.leaves)
 
 
+def test_cells_are_packed():
+    found = hard_negatives.packed_cells({0: 3, 1: 4, 2: 9, 4: 25, 5: 1, 7: 9}, 10)
+    assert found == {0: (0, 1), 1: (0, 1), 2: (1, 1), 4: (2, 3), 5: (5, 1), 7: (5, 1)}
+
+
 def test_ranges_of_all_rows_hold(spark):
     """The upper tree knows the distances of every row, not of the sample alone."""
     rows = spark.createDataFrame(clusters(), TABLE)
