@@ -1,7 +1,7 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Method: a block and a template are sets of words. A block is a line of the text; with ``paragraphs``
-also a paragraph, a run of several lines between blank ones, which finds notices wrapped over lines. A
+Method: a block and a template are sets of words. A block is a line of the text, or a paragraph, a run of
+several lines between blank ones, which finds notices wrapped over lines; ``paragraphs=False`` leaves those out. A
 template is found in a block if the block holds at least ``CONTAINMENT`` of the template's words. The
 join is exact and filtered in three ways. Words are ordered by the number of blocks that hold them, rarest
 first. Prefix: a block with enough of a template's words holds one of the template's first
@@ -9,8 +9,10 @@ first. Prefix: a block with enough of a template's words holds one of the templa
 of the first shared word in both, enough shared words can still follow. What is left is verified on
 the full sets. All of it is DataFrame functions.
 
-The templates and their words are fixed text of this module, a few hundred words; they bound the lists
-that are broadcast. Blocks lose all other words before the first shuffle.
+The lists that are joined to blocks have a row for each word of the templates. Up to ``BROADCAST`` of them are
+broadcast, longer ones are left to Spark's own choice. Blocks lose all other words before the first shuffle.
+Licenses that are worded alike are found together where their notices share enough words, as the GPL in a notice of
+the LGPL.
 
 Beside the method, phrases are looked up word by word in the whole text.
 
@@ -32,7 +34,10 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices as their licenses give them; a label may have several.
+#: Rows of the templates' words that are broadcast at most.
+BROADCAST = 100_000
+#: Notices as their licenses give them, and names; a label may have several. Of up to four words all have to be there,
+#: which tells licenses apart whose notices differ in a word.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
@@ -50,6 +55,32 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are "
             "permitted provided that the following conditions are met"),
     ("proprietary", "All rights reserved."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the Software"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except "
+               "in compliance with the License"),
+    ("lgpl", "GNU Lesser General Public"),
+    ("agpl", "GNU Affero General Public"),
+    ("mpl", "Mozilla Public License"),
+    ("epl", "Eclipse Public License"),
+    ("boost", "Boost Software License - Version"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions "
+            "and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+            "and the following disclaimer in the documentation and/or other materials provided with the "
+            "distribution"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+              "or promote products derived from this software without specific prior written permission"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+            "is hereby granted, provided that the above copyright notice and this permission notice appear in "
+            "all copies"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+            "rights to this work"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike"),
+    ("cc-by-sa", "CC BY-SA"),
+    *((label, f"SPDX-License-Identifier: {label}")
+      for label in ("mit", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "bsd", "isc", "unlicense", "cc0")),
 )
 
 
@@ -119,7 +150,7 @@ def _wrapped_blocks(docs: DataFrame, key: str, text: str, given, containment: fl
 
 
 def blocks(docs: DataFrame, key: str, text: str, given=TEMPLATES,
-           containment: float = CONTAINMENT, paragraphs: bool = False) -> DataFrame:
+           containment: float = CONTAINMENT, paragraphs: bool = True) -> DataFrame:
     """``_id, _hash, _block, held``: blocks with enough words of the templates, and these words."""
     if paragraphs:
         return _wrapped_blocks(docs, key, text, given, containment)
@@ -133,7 +164,7 @@ def blocks(docs: DataFrame, key: str, text: str, given=TEMPLATES,
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLATES,
-          containment: float = CONTAINMENT, paragraphs: bool = False) -> DataFrame:
+          containment: float = CONTAINMENT, paragraphs: bool = True) -> DataFrame:
     """``_id, _hash, _block, label, contained``: blocks with a template at the threshold."""
     spark = docs.sparkSession
     # read twice, to count the words and to join
@@ -146,7 +177,8 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLA
     order = ranked.select("_word").distinct().join(counted, F.col("_word") == counted["word"], "left")
     order = order.select("_word", F.struct(F.coalesce("count", F.lit(0)).alias("count"),
                                            F.col("_word").alias("by")).alias("rank"))
-    order = F.broadcast(order)
+    small = len(_vocabulary(given, containment)[0]) * len(given) <= BROADCAST
+    order = F.broadcast(order) if small else order
     ranked = ranked.join(order, "_word")
     sets = ranked.groupBy("template", "label", "size", "needed").agg(
         F.sort_array(F.collect_list("rank")).alias("ordered"))
@@ -154,7 +186,8 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLA
         "template", "label", "size", "needed",
         F.transform("ordered", lambda r: r["by"]).alias("all"),
         F.posexplode(F.slice("ordered", 1, F.col("size") - F.col("needed") + 1)).alias("at", "_rank"))
-    prefix = F.broadcast(prefix.withColumn("_first", F.col("_rank.by")))
+    prefix = prefix.withColumn("_first", F.col("_rank.by"))
+    prefix = F.broadcast(prefix) if small else prefix
     placed = each.join(order, each["word"] == order["_word"])
     places = placed.groupBy("_id", "_hash", "_block", "n").agg(
         F.sort_array(F.collect_set("rank")).alias("ranks"))
@@ -204,7 +237,7 @@ def phrase_columns(df: DataFrame, carried: list[str], text: str, phrases=PHRASES
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", given=TEMPLATES,
-            containment: float = CONTAINMENT, paragraphs: bool = False) -> DataFrame:
+            containment: float = CONTAINMENT, paragraphs: bool = True) -> DataFrame:
     """One row for each document: places of the phrases, labels, and the best containment found."""
     own = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(text)).alias("_hash"),
                       F.col(text).alias("_text"))

@@ -6,8 +6,8 @@ boilerplate. Boilerplate lines are removed from all documents but the first that
 document of which too little is left is rejected. All of it is DataFrame functions.
 
 Copies of one text count once, so that a document is not called boilerplate for being copied. The
-limit is a share of the host's distinct texts, with a least count for small hosts. With a share of 0
-the least count alone is the limit, which does not grow with the host.
+limit is a number of distinct texts that does not grow with the host. A ``share`` of the host's distinct texts
+may raise it.
 
 Defined cases: null text has no words and fails the base rule. A null host is a host of its own. A
 null ``doc_id`` sorts first. Repeated rows get the same verdict each.
@@ -22,9 +22,9 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate in more documents of a host than both of these allow.
+#: A line is boilerplate in more documents of a host than both of these allow; the share is off.
 LEAST_DOCUMENTS = 10
-DOCUMENT_SHARE = 0.05
+DOCUMENT_SHARE = 0.0
 #: A document is depleted if fewer than this share of its words is left.
 LEAST_LEFT = 0.2
 

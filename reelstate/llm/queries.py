@@ -48,13 +48,10 @@ WITH docs AS (
 ), rep AS (
     SELECT rid, count(DISTINCT p) AS n_repeat_words
     FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
-), host AS (
-    SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source
 ), often AS (
     SELECT l.source, l.line, min({'d': l.doc_id, 't': l.text}) AS first
     FROM line l GROUP BY l.source, l.line
-    HAVING count(DISTINCT l.text) > greatest(
-        10, 0.05 * (SELECT n FROM host h WHERE h.source IS NOT DISTINCT FROM l.source))
+    HAVING count(DISTINCT l.text) > 10
 ), gone AS (
     SELECT l.rid, sum(l.n) AS n_removed_words
     FROM line l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.line = l.line
@@ -83,14 +80,10 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
-_SHARE = "0.05 * (SELECT n FROM host h"
-FIXED_LIMIT_SQL = LINE_SQL.replace(_SHARE, _SHARE.replace("0.05", "0"))
-
-
-@query(FIXED_LIMIT_SQL)
+@query(LINE_SQL)
 def op3_fixed_limit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules of all documents, with a limit of boilerplate that is one for all hosts."""
-    return line_rules.verdicts(table(spark, sf_dir, "documents"), share=0)
+    """The same rules with their limit given by name."""
+    return line_rules.verdicts(table(spark, sf_dir, "documents"), least=10, share=0)
 
 
 @query()
@@ -236,6 +229,8 @@ place AS (
     FROM (VALUES {_TEMPLATE_ROWS}) AS t(id, label, text)
 ), part AS (
     SELECT rid, unnest(string_split(text, chr(10))) AS part FROM doc
+    UNION ALL
+    SELECT rid, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) FROM doc
 ), held AS (
     SELECT rid, label, len(list_intersect(bw, tw)) / len(tw) AS contained
     FROM (SELECT rid, list_filter(regexp_split_to_array(translate(part,
@@ -257,19 +252,13 @@ FROM doc LEFT JOIN base b USING (rid) LEFT JOIN best h USING (rid)
 
 @query(LICENSE_SQL)
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and templates in all documents, line by line."""
+    """License phrases and templates in all documents, in lines and in notices over several lines."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
-_LINE_PART = "SELECT rid, unnest(string_split(text, chr(10))) AS part FROM doc\n"
-NOTICE_SQL = LICENSE_SQL.replace(_LINE_PART, _LINE_PART + r"""    UNION ALL
-    SELECT rid, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) FROM doc
-""")
-
-
-@query(NOTICE_SQL)
+@query(LICENSE_SQL)
 def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and templates in all documents, in lines and in notices over several lines."""
+    """The same scan with its blocks given by name."""
     return licenses.scanned(table(spark, sf_dir, "documents"), paragraphs=True)
 
 

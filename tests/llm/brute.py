@@ -97,7 +97,7 @@ def contamination(docs, items, window=10):
     return out
 
 
-def line_verdicts(rows, least=10, share=0.05, least_left=0.2, texts=None):
+def line_verdicts(rows, least=10, share=0, least_left=0.2, texts=None):
     """A list, in the order of the rows ``(doc_id, text, source)``, of verdicts; ``texts`` gets the
     texts that are left."""
     def normal(line):

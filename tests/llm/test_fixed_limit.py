@@ -23,20 +23,19 @@ def hot_host():
 
 def test_limit_does_not_grow_with_the_host(spark):
     df = spark.createDataFrame(hot_host(), SCHEMA)
-    found = line_rules.frequent_lines(df, share=0)
+    found = line_rules.frequent_lines(df)
     assert sorted(r.n_docs for r in found.collect()) == [11, 30, 120]
-    assert line_rules.frequent_lines(df).count() == 0
-    got = Counter(tuple(r[c] for c in COLUMNS) for r in line_rules.verdicts(df, share=0).collect())
-    assert got == Counter(brute.line_verdicts(hot_host(), share=0))
+    assert line_rules.frequent_lines(df, share=0.05).count() == 0  # an option
+    got = Counter(tuple(r[c] for c in COLUMNS) for r in line_rules.verdicts(df).collect())
+    assert got == Counter(brute.line_verdicts(hot_host()))
 
 
 def test_query_equals_its_sql(spark, sf_dir, tmp_path):
-    run = queries.QUERIES["op3_fixed_limit_rules"]
-    assert queries.FIXED_LIMIT_SQL != queries.LINE_SQL
-    assert spark_rows(run(spark, sf_dir)) == oracle_rows(oracle_connection(sf_dir), queries.FIXED_LIMIT_SQL)
+    run = queries.QUERIES["op3_line_rules"]
+    assert spark_rows(run(spark, sf_dir)) == oracle_rows(oracle_connection(sf_dir), queries.LINE_SQL)
     spark.createDataFrame(hot_host(), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = spark_rows(run(spark, str(tmp_path)))
-    assert got == oracle_rows(connection, queries.FIXED_LIMIT_SQL)
+    assert got == oracle_rows(connection, queries.LINE_SQL)
     assert sum(row[got[0].index("n_removed_words")] * n for row, n in got[1].items()) == 119 * 6 + 29 * 5 + 10 * 5

@@ -38,7 +38,7 @@ def test_places_and_labels(spark):
     assert (got[6].n_base, got[6].last_word) == (2, 4)
     assert (got[8].base_labels, got[8].labels, got[8].score) == ("", "mit", 1.0)
     assert (got[9].base_labels, got[9].labels) == ("cc-by", "cc-by,cc-by-nc")
-    assert got[10].labels == "" and got[11].labels == "proprietary"
+    assert got[10].labels == "proprietary" and got[11].labels == "proprietary"
     assert got[14].n_base == 3000 and got[15].first_word == 30_000
 
 
