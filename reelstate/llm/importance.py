@@ -2,9 +2,10 @@
 
 Method: words, runs of punctuation marks, and pairs of such neighbours are hashed into ``BUCKETS`` buckets. Two bag-of-n-grams
 models are counted: the target's over labelled good documents, of which at most ``LABELLED`` are
-taken, the raw one over all documents. A document's log weight is the sum over its n-grams of the logarithm of the models' ratio (with
-``normalise`` their mean). Gumbel noise is added and the ``share`` of the largest keys is drawn, which
-samples without replacement in proportion to the weights.
+taken, the raw one over all documents. A document's log weight is the mean over its n-grams of the logarithm of the
+models' ratio; as a sum (``normalise=False``) it would grow with the text's length and leave the noise without effect.
+Gumbel noise of scale ``noise`` is added and the ``share`` of the largest keys is drawn, which samples without
+replacement in proportion to the exponential of log weight by noise.
 
 The models have a fixed number of buckets, so that what the driver holds does not grow. The noise is a
 hash of the document's id and text, so that a task that runs again draws the same. The cut between
@@ -34,8 +35,8 @@ KEEP = 0.85
 LABELLED = 20_000
 #: Added to each bucket's count, so that an unseen n-gram does not decide alone.
 SMOOTH = 1.0
-#: Scale of the noise; 1 draws in proportion to the weights.
-NOISE = 1.0
+#: Scale of the noise. Mean log weights lie some hundredths apart; at 1 the noise would decide nearly alone.
+NOISE = 0.05
 DIGIT = 16
 
 
@@ -106,12 +107,14 @@ def gumbel(*columns) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def ordered_bits(value: Column) -> Column:
-    """A number between 0 and 2^52 that orders as the value does, for values within a million of 0.
+def with_order(df: DataFrame, value: str, order: str) -> DataFrame:
+    """``df`` with a whole number that orders exactly as the double ``value`` does: its bits."""
 
-    Values closer than a thousand-millionth count as ties.
-    """
-    return F.round((F.greatest(F.least(value, F.lit(1e6)), F.lit(-1e6)) + 1e6) * 1e9).cast("long")
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        bits = (np.asarray(batch.column(value), dtype=np.float64) + 0.0).view(np.int64)  # -0 is 0
+        return {order: pa.array(np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits))}
+
+    return with_arrow_columns(df, work, T.StructType([T.StructField(order, T.LongType())]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> tuple[int, int]:
@@ -120,19 +123,21 @@ def kth_largest(df: DataFrame, column: str, k: int) -> tuple[int, int]:
     Numbers are counted by their digits of ``DIGIT`` bits, highest first; the driver sees at most
     one row for each digit.
     """
+    # without sign: the smallest number is 0
+    plain = F.col(column).bitwiseXOR(F.lit(-(1 << 63)))
     low, above = 0, 0
     for shift in (48, 32, 16, 0):
         above_digit = shift + DIGIT
         part = df if above_digit == 64 else df.where(
-            F.shiftright(column, above_digit) == (low >> above_digit))
-        digit = F.shiftright(column, shift).bitwiseAND((1 << DIGIT) - 1)
+            F.shiftrightunsigned(plain, above_digit) == F.lit(low >> above_digit))
+        digit = F.shiftrightunsigned(plain, shift).bitwiseAND((1 << DIGIT) - 1)
         counts = dict(tuple(r) for r in part.groupBy(digit.alias("d")).count().collect())
         for d in sorted(counts, reverse=True):
             if above + counts[d] >= k:
                 low |= d << shift
                 break
             above += counts[d]
-    return low, above
+    return low - (1 << 63), above
 
 
 def drawn(scored: DataFrame, weight: str, names: list[str], share: float = KEEP,
@@ -143,7 +148,7 @@ def drawn(scored: DataFrame, weight: str, names: list[str], share: float = KEEP,
     them are drawn together, so that repeated rows at the cut may add to the share.
     """
     keyed = scored.withColumn("_key", F.col(weight) + noise * gumbel(*names))
-    keyed = saved(keyed.withColumn("_order", ordered_bits(F.col("_key"))), "weights")
+    keyed = saved(with_order(keyed, "_key", "_order"), "weights")
     k = math.ceil(share * keyed.count() - 1e-9)
     if k <= 0:
         return keyed.withColumn("_drawn", F.lit(False)).drop("_order")
@@ -158,7 +163,7 @@ def drawn(scored: DataFrame, weight: str, names: list[str], share: float = KEEP,
 
 def resampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
               buckets: int = BUCKETS, share: float = KEEP, smooth: float = SMOOTH,
-              noise: float = NOISE, normalise: bool = False) -> DataFrame:
+              noise: float = NOISE, normalise: bool = True) -> DataFrame:
     """One row for each document: number of n-grams, log weight, noisy key, and whether it is drawn."""
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     target = model(good_documents(docs.select(key, text), labels, key), text, buckets)
