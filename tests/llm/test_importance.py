@@ -136,7 +136,7 @@ def test_the_draw_of_a_table_by_hand(tables):
     keys = sorted((r.sample_key for r in rows), reverse=True)
     cut = keys[math.ceil(0.4 * len(rows)) - 1]
     assert all(r.kept == (r.sample_key >= cut) for r in rows)
-    assert any(r.log_weight < s.log_weight for r in rows if r.kept for s in rows if not r.kept)
+    assert any(r.log_weight < s.log_weight for r in rows if r.kept for s in rows if not s.kept)
 
 
 def test_long_texts_and_clashing_columns(spark, tables):
