@@ -64,24 +64,25 @@ def missing_steps(events: DataFrame, key: str = "task_id") -> DataFrame:
 
 
 def completions(tasks: DataFrame, public_base: str, finished_at: Column) -> DataFrame:
-    """Completion events: URL and result in one row, so no reader sees half of them.
+    """Completion events, one for each task: URL and result in one row, so no reader sees half of them.
 
-    ``tasks`` carries ``task_id``, ``filename``, ``duration``, ``resolution`` and
-    ``detections``, with ``part`` and ``first_pos`` where results come in parts. The first
-    part completes the task; the others add to its result alone. The message is left untouched.
+    ``tasks`` carries ``task_id``, ``filename``, ``duration`` and ``resolution``, and the result's ``detections`` or,
+    for detections that are stored beside the log, their ``version``, ``parts`` and ``total``. Appended after
+    its parts are written, the event makes them the task's result at once. The message is left untouched.
     """
-    numbers = [F.col(name) if name in tasks.columns else F.lit(0) for name in ("part", "first_pos")]
-    completes = numbers[0] == 0
     name = text.processed_name(F.col("task_id"), F.col("filename"))
+    stored = "version" in tasks.columns
+    numbers = {n: F.col(n) for n in ("version", "parts", "total")} if stored else {}
+    none = F.lit(None).cast(S.RESULT["detections"].dataType)
     result = documents.result(
-        F.col("filename"), F.col("duration"), F.col("resolution"),
-        text.completion_text(finished_at), F.col("detections"), *numbers,
+        F.col("filename"), F.col("duration"), F.col("resolution"), text.completion_text(finished_at),
+        none if stored else F.col("detections"), **numbers,
     )
     return tasks.select(
         "task_id",
-        F.when(completes, F.lit(S.COMPLETED)).alias("status"),
-        F.when(completes, F.lit(S.PROGRESS_LAST)).alias("progress"),
-        F.when(completes, text.public_url(public_base, name)).alias("processed_video_url"),
+        F.lit(S.COMPLETED).alias("status"),
+        F.lit(S.PROGRESS_LAST).alias("progress"),
+        text.public_url(public_base, name).alias("processed_video_url"),
         result.alias("result"),
     )
 

@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelstate.operators import records, results, selection, state
+from reelstate.operators import lookup, records, results, selection, state
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import query
-from reelstate.schemas import STATUSES, UPLOADING
-from reelstate.streaming import progress
+from reelstate.schemas import STATUSES, TASK_EVENTS, UPLOADING
+from reelstate.session import scratch_path
+from reelstate.sources import event_log, replies, result_store, state_levels
+from reelstate.streaming import latest, progress
 
 FIELDS = ["status", "progress", "message", "processed_video_url"]
 ENUMS = {"status": STATUSES}
@@ -85,20 +87,67 @@ def a4_two_phase_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.phase_progress(moves, standins.task_events(spark, sf_dir))
 
 
-@query(sql.with_tables(
-    'SELECT task_id, pos, "timestamp", horse_id, person_name, confidence FROM detections',
+def _completed(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Completion events of all tasks, their detections stored in parts of two; one in five has a version before."""
+    parts = results.assemble_results(standins.detections(spark, sf_dir), part_size=2)
+    done = []
+    for version, (seq, some) in {1: (5, parts.where("task_id % 5 = 0 AND part = 0")), 2: (9, parts)}.items():
+        manifest = result_store.write_results(some, path, version)
+        named = manifest.withColumns({
+            "filename": F.concat(F.lit("clip_"), F.col("task_id").cast("string"), F.lit(".mp4")),
+            "duration": F.lit("00:30"), "resolution": F.lit("1920x1080"),
+        })
+        finished = F.lit("2026-03-06 14:00:00").cast("timestamp")
+        events = records.completions(named, standins.PUBLIC_BASE, finished)
+        done.append(events.withColumns({"seq": F.lit(seq).cast("long"), "event_time": finished}))
+    return done[0].unionByName(done[1])
+
+
+_SERVED = sql.with_tables(
+    """SELECT task_id, CAST(200 AS INTEGER) AS code, pos, "timestamp", horse_id, person_name, confidence
+       FROM detections
+       UNION ALL
+       SELECT NULL, CAST(404 AS INTEGER), NULL, NULL, NULL, NULL, NULL FROM orders
+       WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
     sql.DETECTIONS,
-))
+)
+
+
+def _served(spark: SparkSession, sf_dir: str, current: DataFrame, path: str) -> DataFrame:
+    """Every order's request answered in JSON from a state and the stored parts, and the replies flattened."""
+    documents = result_store.served_documents(current, result_store.read_results(spark, path))
+    answers = lookup.answer_documents(standins.requests(spark, sf_dir), documents, unique=True)
+    sent = records.reply_documents(answers.withColumn("key", F.col("task_id").cast("string")),
+                                   ["task_id", "status", "result"])
+    out = scratch_path(spark, "result-replies")
+    replies.write_replies(sent, out, "key")
+    read = replies.read_replies(spark, out).select(
+        F.col("data.task_id").cast("long").alias("task_id"), "code", "data.result")
+    return results.flatten_results(read, ["task_id", "code"], keep_empty=True)
+
+
+@query(_SERVED)
 def a3_result_through_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections assembled in parts of two, completed, merged into state, flattened again."""
-    parts = results.assemble_results(standins.detections(spark, sf_dir), part_size=2)
-    tasks = parts.withColumns({
-        "filename": F.concat(F.lit("clip_"), F.col("task_id").cast("string"), F.lit(".mp4")),
-        "duration": F.lit("00:30"), "resolution": F.lit("1920x1080"),
-    })
-    finished = F.lit("2026-03-06 14:00:00").cast("timestamp")
-    done = records.completions(tasks, standins.PUBLIC_BASE, finished).withColumn("seq", F.lit(1))
-    return results.detection_table(results.flatten_results(state.result_parts(done), ["task_id"]))
+    """Results in up to four parts: stored, merged into state, served in replies, flattened again."""
+    path = scratch_path(spark, "results")
+    merged = state.merged_state(_completed(spark, sf_dir, path), ["status", "result"])
+    return _served(spark, sf_dir, merged.drop("last_seq"), path)
+
+
+@query(_SERVED)
+def a3_result_through_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the event log, a stream from it, and the state table that the stream keeps."""
+    path, log, table = (scratch_path(spark, name) for name in ("results", "result-log", "result-state"))
+    done = _completed(spark, sf_dir, path).withColumn("task_id", F.col("task_id").cast("string"))
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in TASK_EVENTS if f.name not in done.columns}
+    event_log.append_events(done.withColumns(missing), log)
+    latest.upsert_stream(
+        event_log.stream_events(spark, log), table, scratch_path(spark, "result-checkpoint"),
+        ["status", "result"], trigger={"availableNow": True},
+    ).awaitTermination()
+    current = state_levels.read_state(spark, table, ["status", "result"])
+    return _served(spark, sf_dir, current.select(
+        F.col("task_id").cast("long").alias("task_id"), "status", "result"), path)
 
 
 def _carried(field: str) -> str:

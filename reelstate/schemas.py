@@ -53,10 +53,11 @@ def _struct(**fields):
 _S, _I, _L, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampType()
 
 DETECTION = _struct(timestamp=_S, horse_id=_S, person_name=_S, confidence=_S)
-# A result of many detections comes in parts; the first one has neither number.
+# A result holds its detections, or names their stored version (``sources.result_store``) with its number of
+# parts and detections; a reply of such a result holds one part. The first part has no ``part`` and ``first_pos``.
 RESULT = _struct(
     filename=_S, duration=_S, resolution=_S, processed_at=_S, detections=T.ArrayType(DETECTION),
-    part=_L, first_pos=_L,
+    part=_L, first_pos=_L, version=_L, parts=_L, total=_L,
 )
 UPLOAD_MANIFEST = _struct(task_id=_S, filename=_S, path=_S, length=_L, modificationTime=_TS)
 TASK_EVENTS = _struct(

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from reelstate.sources import files
 
-RESULT_FIELD = "result"
 COMMITS = "_commits"
 PLACE = ["bucket", "level", "until"]
 # Requested keys that are looked up one by one in a file's pages; more are found by reading their buckets.
@@ -99,13 +98,6 @@ def bucket_of(key: str, layout: Layout) -> Column:
 # --- merging -------------------------------------------------------------------------
 
 
-def _rank(field: str, at: Column) -> Column:
-    """What orders the values of a field; of a result's parts with one ``at`` the first counts."""
-    if field != RESULT_FIELD:
-        return at
-    return F.when(at.isNotNull(), F.struct(at, -F.coalesce(F.col(f"{field}.part"), F.lit(0))))
-
-
 def merge_events(events: DataFrame, fields: Sequence[str], key: str = "task_id",
                  order: str = "seq") -> DataFrame:
     """The rows that events add to a table."""
@@ -117,7 +109,7 @@ def merged_fields(fields: Sequence[str], order: str, events: bool = False) -> li
     merged = []
     for field in fields:
         at = F.when(F.col(field).isNotNull(), F.col(order)) if events else F.col(f"{field}_{order}")
-        merged += [F.max_by(field, _rank(field, at)).alias(field), F.max(at).alias(f"{field}_{order}")]
+        merged += [F.max_by(field, at).alias(field), F.max(at).alias(f"{field}_{order}")]
     last = order if events else f"last_{order}"
     return merged + [F.max(last).alias(f"last_{order}")]
 

@@ -136,19 +136,3 @@ def test_late_result_stays_with_its_attempt(spark):
     assert {(r.seq, r.attempt) for r in found.collect()} == {(1, 1), (2, 1), (3, 2), (4, 1), (5, 2)}
     merged = state.merged_state(found, ["status"], keys=("task_id", "attempt"))
     assert {r.attempt: r.status for r in merged.collect()} == {1: "completed", 2: "processing"}
-
-
-def test_a_result_in_parts_loses_nothing(spark):
-    rows = [(ID, n, f"00:{n:02}", "H", "p", "0.9_0.8") for n in range(5)]
-    flat = spark.createDataFrame(rows, "task_id STRING, pos BIGINT, timestamp STRING, horse_id STRING, "
-                                       "person_name STRING, confidence STRING")
-    tasks = results.assemble_results(flat, part_size=2).withColumns(
-        {"filename": F.lit("a.mp4"), "duration": F.lit("00:30"), "resolution": F.lit("1x1")})
-    done = records.completions(tasks, "http://x", F.lit("2026-03-06 14:00:00").cast("timestamp"))
-    done = done.withColumn("seq", F.lit(13))
-    assert done.filter("status = 'completed'").count() == 1
-    found = results.flatten_results(state.result_parts(done), ["task_id"])
-    assert sorted((r.pos, r.timestamp) for r in found.collect()) == [(n, f"00:{n:02}") for n in range(5)]
-    first = state.merged_state(done, ["status", "result"]).first()
-    assert first.status == "completed" and len(first.result.detections) == 2
-    assert first.result.part is None
