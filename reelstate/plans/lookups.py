@@ -72,26 +72,31 @@ def j2_unknown_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(sql.with_tables(
+# events without a status report progress, and are part of the log
+AS_OF = sql.with_tables(
     """SELECT p.task_id, p.seq AS request_id, e.status, e.progress
        FROM (SELECT * FROM task_events WHERE status = 'error') p
        ASOF LEFT JOIN (
          SELECT task_id, event_time,
            last_value(status IGNORE NULLS) OVER w AS status,
            last_value(progress IGNORE NULLS) OVER w AS progress
-         FROM task_events WHERE status <> 'error'
-         WINDOW w AS (PARTITION BY task_id ORDER BY seq
+         FROM task_events WHERE coalesce(status, '') <> 'error'
+         WINDOW w AS (PARTITION BY task_id ORDER BY event_time, seq
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         QUALIFY row_number() OVER (PARTITION BY task_id, event_time ORDER BY seq DESC) = 1
        ) e ON p.task_id = e.task_id AND p.event_time >= e.event_time""",
     sql.TASK_EVENTS,
-))
+)
+
+
+@query(AS_OF)
 def j3_state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rows stand in for polls, all others are the log they look into."""
     events = standins.task_events(spark, sf_dir).withColumn("at", F.unix_micros("event_time"))
     polls = events.filter("status = 'error'").select(
         "task_id", "at", F.col("seq").alias("request_id")
     )
-    log = events.filter("status <> 'error'").select("task_id", "at", "seq", "status", "progress")
+    log = events.filter("coalesce(status, '') <> 'error'").select("task_id", "at", "seq", "status", "progress")
     return lookup.state_as_of(polls, log, ["status", "progress"]).drop("at")
 
 

@@ -6,13 +6,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import ORACLES, query
-from reelstate.plans.lookups import NOT_FOUND
+from reelstate.plans.lookups import AS_OF, NOT_FOUND
 from reelstate.plans.reads_writes import TABLE_FILES, file_facts
 from reelstate.plans.scalars import s_m1_transfer_percent
 from reelstate.plans.states import FIELDS
 from reelstate.session import scratch_path
 from reelstate.sources import landing, state_levels
-from reelstate.streaming import eviction, latest, progress
+from reelstate.streaming import eviction, expiry, latest, progress, timeline
 
 DRAIN = {"availableNow": True}
 
@@ -59,6 +59,45 @@ def t3_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
 
 
+@query(_STATE)
+def t3_restarted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events; a new start from the stored table; the other half, in which finished tasks are not held."""
+    table, events = scratch_path(spark, "restarted-state"), standins.task_events(spark, sf_dir)
+    for half in range(2):
+        folder = scratch_path(spark, "half-log")
+        events.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == half).write.parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        known = state_levels.read_state(spark, table, FIELDS) if half else None
+        running = expiry.expiring_state_stream(stream, FIELDS, initial=known, stay=None)
+        checkpoint = scratch_path(spark, "restart-checkpoint")
+        with eviction.rocksdb_store(spark):
+            # a new checkpoint numbers its batches from 0 again
+            _drain(latest.publish_state(running, table, checkpoint, FIELDS, trigger=DRAIN, first_batch=half * 1000))
+    return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
+
+
+@query(AS_OF)
+def j3_as_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls and events as streams, the files of either out of order; a last row of each moves the watermark on."""
+    events, fields = standins.task_events(spark, sf_dir), ["status", "progress"]
+    columns = ["task_id", "event_time", "seq", *fields]
+    rows = {"polls": events.where("status = 'error'").select("task_id", "event_time", F.col("seq").alias("request_id")),
+            "events": events.where("coalesce(status, '') <> 'error'").select(columns)}
+    end = events.agg((F.max("event_time") + F.expr("INTERVAL 4000 DAYS")).alias("event_time"))
+    streams = {}
+    for name, df in rows.items():
+        folder = scratch_path(spark, name)
+        for part in (df.where("seq % 2 = 1" if name == "events" else "request_id % 2 = 1"),
+                     df.where("seq % 2 = 0" if name == "events" else "request_id % 2 = 0"),
+                     df.limit(0).unionByName(end, allowMissingColumns=True)):
+            part.coalesce(1).write.mode("append").parquet(folder)
+        streams[name] = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    answers = timeline.as_of_stream(streams["polls"], streams["events"], fields, delay="2000 days")
+    with eviction.rocksdb_store(spark):
+        return _appended(answers, "as-of-answers").where("task_id IS NOT NULL").select(
+            "task_id", "request_id", *fields)
+
+
 @query(sql.with_tables(
     """SELECT task_id, seq, status FROM task_events WHERE status IS NOT NULL
        QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1

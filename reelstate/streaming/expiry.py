@@ -42,26 +42,25 @@ class MergeUntilDone(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = dict(zip(self.names, self.record.get())) if self.record.exists() else dict.fromkeys(self.names)
         for row in rows:
-            for name in (*self.fields, "last"):
+            seq = row[self.order]
+            if seq is None:
+                continue
+            for name in self.fields:
                 at = f"{name}_{self.order}"
-                if name == "last":
-                    at, value, seq = f"last_{self.order}", None, row[self.order]
-                else:
-                    value, seq = row[name], row[self.order]
-                    if value is None:
-                        continue
-                if seq is not None and (held[at] is None or seq >= held[at]):
-                    held[at] = seq
-                    if name != "last":
-                        held[name] = value
+                if row[name] is not None and (held[at] is None or seq >= held[at]):
+                    held[name], held[at] = row[name], seq
+            last = f"last_{self.order}"
+            held[last] = seq if held[last] is None else max(held[last], seq)
         self.record.update(tuple(held[name] for name in self.names))
         self._wait(held, timerValues)
         yield Row(_key=key[0], **held)
 
     def _wait(self, held: dict, timerValues) -> None:
+        if self.stay is None:
+            return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if self.stay is not None and held["status"] is not None and held["status"] not in self.active:
+        if held["status"] is not None and held["status"] not in self.active:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stay)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -34,11 +34,15 @@ def upsert_stream(events: DataFrame, table: str, checkpoint: str, fields: Sequen
 
 
 def publish_state(state: DataFrame, table: str, checkpoint: str, fields: Sequence[str], key: str = "task_id",
-                  order: str = "seq", trigger: dict | None = None, layout: Layout | None = None) -> StreamingQuery:
-    """Merge the updated rows of a state stream into a table each second."""
+                  order: str = "seq", trigger: dict | None = None, layout: Layout | None = None,
+                  first_batch: int = 0) -> StreamingQuery:
+    """Merge the updated rows of a state stream into a table each second.
+
+    A stream with a new checkpoint numbers its batches from 0: give it a ``first_batch`` above those in the table.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, table, batch_id, fields, key, order, layout)
+        store_batch(batch, table, first_batch + batch_id, fields, key, order, layout)
 
     return _start(state.writeStream.outputMode("update").foreachBatch(publish), checkpoint, trigger)
 

@@ -1,6 +1,5 @@
 """Polls answered with the state of their instant, from streams of polls and events in any order."""
 
-import datetime as dt
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -74,9 +73,10 @@ def as_of_stream(polls: DataFrame, events: DataFrame, fields: Sequence[str], key
                  delay: str = "10 minutes") -> DataFrame:
     """Each poll with the record as of its instant, in append mode: the stream form of ``lookup.state_as_of``.
 
-    ``polls`` (key, poll, at) and ``events`` (key, at, order, fields) are streams; ``at`` is a timestamp. A poll is answered when the
-    watermark, ``delay`` behind the latest rows of both, has passed it, and sees every event that came
-    before that. Rows later than the watermark are dropped. Start the stream inside ``eviction.rocksdb_store``.
+    ``polls`` (key, poll, at) and ``events`` (key, at, order, fields) are streams; ``at`` is a timestamp. The watermark is
+    ``delay`` behind the latest row of the stream that is further back. A poll is answered when it has passed the poll,
+    and sees every event that came before that. Rows that it has passed are dropped. Start the stream inside
+    ``eviction.rocksdb_store``.
     """
     instant = F.unix_micros(at)
     asked = polls.select(
@@ -99,8 +99,3 @@ def as_of_stream(polls: DataFrame, events: DataFrame, fields: Sequence[str], key
     )
     return answered.select(F.col("_key").alias(key), F.timestamp_micros("_at").alias(at),
                            F.col("_id").alias(poll), *fields)
-
-
-def flush_after(stream_time: dt.datetime, delay: dt.timedelta) -> dt.datetime:
-    """An instant whose row moves the watermark past ``stream_time``."""
-    return stream_time + delay + dt.timedelta(milliseconds=2)
