@@ -11,7 +11,7 @@ from reelstate.plans.catalog import query
 from reelstate.plans.lookups import answered_documents
 from reelstate.plans.scalars import REPLY_LINES_SQL, order_replies
 from reelstate.session import scratch_path
-from reelstate.sources import event_log, landing, replies
+from reelstate.sources import event_log, landing, listing, replies
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -46,9 +46,38 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(sql.with_tables(
+def landed_uploads(spark: SparkSession, sf_dir: str) -> str:
+    """A folder that every document's upload has landed in, by the first digit of its task; some have no bytes."""
+    uploads = standins.uploads(spark, sf_dir)
+    folder = scratch_path(spark, "landed")
+    name = text.storage_name(F.col("task_id"), F.col("filename"))
+    rows = uploads.select(F.concat(F.lit(f"{folder}/"), F.substring("task_id", 1, 1), F.lit("/"), name).alias("path"),
+                          (F.col("n_chars") % 7).alias("size"))
+
+    def land(part) -> None:
+        for path, size in part:
+            files, inner = listing.opened(path)
+            files.create_dir(inner.rsplit("/", 1)[0])
+            with files.open_output_stream(inner) as out:
+                out.write(b"x" * size)
+
+    rows.foreachPartition(land)
+    return folder
+
+
+UPLOADED = sql.with_tables(
     "SELECT task_id, basename AS filename, n_chars % 7 AS length FROM uploads", sql.UPLOADS,
-))
+)
+
+
+@query(UPLOADED)
+def io1_landed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of uploaded files, listed by tasks, those without bytes among them."""
+    files = listing.list_files(spark, landed_uploads(spark, sf_dir))
+    return landing.to_manifest(files).select("task_id", "filename", "length")
+
+
+@query(UPLOADED)
 def io1_inventory_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest from an inventory table: empty files stay, and no folder is listed."""
     return landing.to_manifest(_landed(spark, sf_dir)).select("task_id", "filename", "length")

@@ -7,11 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 from reelstate.plans import sql, standins
 from reelstate.plans.catalog import ORACLES, query
 from reelstate.plans.lookups import AS_OF, NOT_FOUND
-from reelstate.plans.reads_writes import TABLE_FILES, file_facts
+from reelstate.plans.reads_writes import TABLE_FILES, UPLOADED, file_facts, landed_uploads
 from reelstate.plans.scalars import s_m1_transfer_percent
 from reelstate.plans.states import FIELDS
 from reelstate.session import scratch_path
-from reelstate.sources import landing, state_levels
+from reelstate.sources import landing, listing, state_levels
 from reelstate.streaming import eviction, expiry, latest, progress, timeline
 
 DRAIN = {"availableNow": True}
@@ -36,6 +36,13 @@ def t1_upload_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _appended(file_facts(arrivals), "arrivals")
 
 
+@query(UPLOADED)
+def t1_landed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded files arriving on a stream that lists them in tasks."""
+    files = listing.stream_files(spark, landed_uploads(spark, sf_dir), settle=0)
+    return _appended(landing.to_manifest(files).select("task_id", "filename", "length"), "landed-manifest")
+
+
 @query(ORACLES[s_m1_transfer_percent.__name__])
 def t2_percent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = standins.transfers(standins.table_stream(spark, sf_dir, "lineitem"))
