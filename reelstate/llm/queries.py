@@ -125,7 +125,7 @@ WITH RECURSIVE msg AS (
           FROM (SELECT rid, string_split(translate(text, chr(1), ' '), chr(10)) AS ls FROM msg))
 ), line AS (
     SELECT rid, p, body,
-           CASE WHEN level = 0 AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) > 0
+           CASE WHEN coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) > level
                      AND regexp_matches(body, '(?i)^[ \t]*(?:on [^\n]* wrote|[^\n]* wrote|-+ *original message *-+)[ \t]*:?[ \t]*$')
                 THEN -1 ELSE level END AS level
     FROM raw
@@ -136,33 +136,35 @@ WITH RECURSIVE msg AS (
            min(p) AS spot, string_agg(body, chr(10) ORDER BY p) AS text
     FROM run WHERE level >= 0 GROUP BY rid, level, island
     HAVING trim(regexp_replace(string_agg(body, ' '), '[\x20\x09-\x0D]+', ' ', 'g')) <> ''
+), para AS (
+    SELECT rid, level, no, unnest(range(1, len(ps) + 1)) AS q, ps
+    FROM (SELECT *, regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n') AS ps FROM passage)
 ), piece AS (
-    SELECT rid, level, no, 0 AS part, text FROM passage
+    SELECT rid, level, no, 0 AS par, 0 AS part, text FROM passage
     UNION ALL
-    SELECT rid, level, no, p, ls[p]
-    FROM (SELECT rid, level, no, ls, unnest(range(1, len(ls) + 1)) AS p
-          FROM (SELECT *, string_split(text, chr(10)) AS ls FROM passage))
+    SELECT rid, level, no, q, 0, ps[q] FROM para
     UNION ALL
-    SELECT rid, 0, 0, -1, string_agg(text, chr(10) ORDER BY spot) FROM passage WHERE level = 0
-    GROUP BY rid
+    SELECT rid, level, no, q, p, ls[p]
+    FROM (SELECT rid, level, no, q, ls, unnest(range(1, len(ls) + 1)) AS p
+          FROM (SELECT *, string_split(ps[q], chr(10)) AS ls FROM para))
     UNION ALL
-    SELECT rid, 0, no, -2, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n'))
-    FROM passage WHERE level = 0
+    SELECT rid, 0, 0, -1, -1, string_agg(text, chr(10) ORDER BY spot) FROM passage WHERE level = 0
+    GROUP BY rid
 ), norm AS (
-    SELECT DISTINCT conv_id, turn, level, no, part,
+    SELECT DISTINCT conv_id, turn, level, no, par, part,
            lower(trim(regexp_replace(p.text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS text
     FROM piece p JOIN msg m ON m.rid = p.rid
 ), said AS (
     SELECT conv_id, text, min(turn) AS original FROM norm
     WHERE level = 0 AND text <> '' AND turn IS NOT NULL GROUP BY conv_id, text
 ), hit AS (
-    SELECT n.conv_id, n.turn, level, no, part, length(n.text) AS chars, original
+    SELECT n.conv_id, n.turn, level, no, par, part, length(n.text) AS chars, original
     FROM norm n JOIN said s ON s.conv_id = n.conv_id AND s.text = n.text AND s.original < n.turn
     WHERE level > 0
 ), link AS (
-    SELECT * FROM hit h WHERE part = 0 OR NOT EXISTS (
+    SELECT * FROM hit h WHERE NOT EXISTS (
         SELECT 1 FROM hit w WHERE w.conv_id = h.conv_id AND w.turn = h.turn AND w.level = h.level
-        AND w.no = h.no AND w.part = 0)
+        AND w.no = h.no AND (w.par = 0 AND h.par > 0 OR w.par = h.par AND w.part = 0 AND h.part > 0))
 ), vote AS (
     SELECT conv_id, turn, level, original, sum(chars) AS chars, count(*) AS n FROM link
     GROUP BY conv_id, turn, level, original

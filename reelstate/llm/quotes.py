@@ -1,10 +1,11 @@
 """Quotation linking: whom a message answers, and its text without the quotes.
 
 Method: the lines of a message are parsed for their quote level (the leading ``>`` signs). Quoted
-lines of one level next to each other are a passage; an attribution line right over a quote goes with
-it. Passages are normalised (lower case, white space as one blank) and hashed. A quoted passage is
+lines of one level next to each other are a passage; an attribution line right over a deeper quote goes with
+it, at every level. Passages are normalised (lower case, white space as one blank) and hashed. A quoted passage is
 joined to the earliest message of its conversation that holds it among its own passages: the whole own text, a
-paragraph, or a line; a passage that no message holds as a whole is looked up line by line. A
+paragraph, or a line. A passage that no message holds as a whole is looked up paragraph by paragraph, which finds
+text in other line breaks, and a paragraph that none holds line by line. A
 message answers the original of most of the characters it quotes at its lowest linked level, the latest
 one of equals. Threads follow the answers to their first message by pointer jumping; in the order of
 conversation, thread and turn every answer comes after what it answers. All of it is DataFrame
@@ -46,8 +47,8 @@ def parsed(messages: DataFrame, text: str) -> DataFrame:
     step = messages.withColumn("_raw", levels)
     following = F.col("_raw")
     marked = F.transform("_raw", lambda x, i: F.struct(
-        F.when((x["level"] == 0) & x["body"].rlike(ATTRIBUTION)
-               & (F.coalesce(F.get(following, i + 1)["level"], F.lit(0)) > 0), F.lit(-1))
+        F.when(x["body"].rlike(ATTRIBUTION)
+               & (F.coalesce(F.get(following, i + 1)["level"], F.lit(0)) > x["level"]), F.lit(-1))
         .otherwise(x["level"]).alias("level"),
         x["body"].alias("body")))
     return step.withColumn("_lines", marked).drop("_raw")
@@ -84,34 +85,44 @@ def originals(lines: DataFrame) -> DataFrame:
 
 
 def quoted(lines: DataFrame) -> DataFrame:
-    """A row for each quoted passage (``part`` 0) and for each of its lines."""
+    """A row for each quoted passage (``paragraph`` 0), each of its paragraphs (``part`` 0) and each line of these."""
     levels = F.array_distinct(F.filter(F.transform("_lines", lambda x: x["level"]), lambda x: x > 0))
     found = lines.where(F.exists("_lines", lambda x: x["level"] > 0)).select(
         "_conv", "_turn", "_lines", F.explode(levels).alias("level"))
     found = found.select("_conv", "_turn", "level",
                          F.posexplode(_passages(F.col("level"))).alias("no", "passage"))
-    parts = F.concat(F.array(normalised(F.col("passage"))),
-                     F.transform(F.split("passage", "\n"), normalised))
-    found = found.select("_conv", "_turn", "level", "no", F.posexplode(parts).alias("part", "text"))
+
+    def piece(paragraph: Column, part: Column, text: Column) -> Column:
+        return F.struct(paragraph.cast("int").alias("paragraph"), part.cast("int").alias("part"),
+                        normalised(text).alias("text"))
+
+    zero = F.lit(0)
+    below = F.transform(F.split("passage", r"\n[\x20\x09-\x0D]*\n"), lambda text, at: F.concat(
+        F.array(piece(at + 1, zero, text)),
+        F.transform(F.split(text, "\n"), lambda line, no: piece(at + 1, no + 1, line))))
+    pieces = F.concat(F.array(piece(zero, zero, F.col("passage"))), F.flatten(below))
+    found = found.select("_conv", "_turn", "level", "no", F.inline(pieces))
     return found.where(F.col("text") != "").select(
-        "_conv", "_turn", "level", "no", "part", F.length("text").alias("chars"),
+        "_conv", "_turn", "level", "no", "paragraph", "part", F.length("text").alias("chars"),
         F.xxhash64("text").alias("_quoted"))
 
 
 def links(lines: DataFrame) -> DataFrame:
-    """``_conv, _turn, level, no, part, chars, original``: quotes with the turn that they come from.
+    """``_conv, _turn, level, no, paragraph, part, chars, original``: quotes with the turn that they come from.
 
-    Lines count only where their passage is not found as a whole.
+    Paragraphs count only where their passage is not found as a whole, lines where their paragraph is not.
     """
     said, quotes = originals(lines), quoted(lines).distinct()
     found = quotes.join(said, (quotes["_conv"] == said["_of"]) & (quotes["_quoted"] == said["_said"])
                         & (said["_at"] < quotes["_turn"]))
     found = found.withColumnRenamed("_at", "original").drop("_of", "_said", "_quoted")
     passage = ["_conv", "_turn", "level", "no"]
-    as_whole = found.where(F.col("part") == 0)
-    lines_only = found.where(F.col("part") > 0).join(
-        as_whole.select(*passage).distinct(), passage, "left_anti")
-    return as_whole.unionByName(lines_only)
+    as_whole = found.where("paragraph = 0")
+    rest = found.where("paragraph > 0").join(as_whole.select(*passage).distinct(), passage, "left_anti")
+    paragraphs = rest.where("part = 0")
+    place = [*passage, "paragraph"]
+    lines_only = rest.where("part > 0").join(paragraphs.select(*place).distinct(), place, "left_anti")
+    return as_whole.unionByName(paragraphs).unionByName(lines_only)
 
 
 def answers(found: DataFrame) -> DataFrame:

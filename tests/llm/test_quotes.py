@@ -4,6 +4,16 @@ import pytest
 from compare import oracle_rows, spark_rows
 from reelstate.llm import queries, quotes
 
+THREE = ("The first paragraph goes on\nfor two lines.\n\nThe second one, which is\nlonger, goes on for\nthree lines.\n\n"
+         "The third is short.")
+#: Two of three paragraphs in other line breaks; a reply above its quote, quoted again in other line breaks.
+WRAPPED = [
+    (7, 0, "user", THREE),
+    (7, 1, "assistant", "> The first paragraph goes\n> on for two lines.\n>\n> The third\n> is short.\nI agree, as far\nas it goes."),
+    (7, 2, "user", "My answer is on top and\nhas two lines.\n\nOn Tuesday, Y wrote:\n> I agree, as far\n> as it goes."),
+    (7, 3, "assistant", "> My answer is on top\n> and has two lines.\n>\n> On Tuesday, Y wrote:\n>> I agree,\n>> as far as it goes.\nDone."),
+    (7, 4, "user", "> Not said, and\n> by nobody.\n> \n> Done.\n> The second one, which is\nlast"),
+]
 A = "Hello there, all of you.\n\nThe second paragraph has\ntwo lines of text."
 MESSAGES = [
     (1, 0, "user", A),
@@ -19,7 +29,7 @@ MESSAGES = [
     (2, 3, "user", "In another conversation.\n> In another conversation."),
     (2, 3, "user", "In another conversation.\n> In another conversation."),
     (2, 4, "user", "X wrote:\nnothing"), (2, 5, "user", "\x01\n> \x01 a\n>b \n>\n\n>>c"),
-    (None, 1, "user", "a"), (None, 2, "user", "> a\nb"), (3, None, "user", "> a"), (3, 1, "user", "a"),
+    (None, 1, "user", "a"), (None, 2, "user", "> a\nb"), (3, None, "user", "> a"), (3, 1, "user", "a"), *WRAPPED,
 ]
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -39,6 +49,68 @@ def test_parents_and_threads(found):
                      5: (None, 5, 0), 6: (0, 0, 1), 7: (3, 0, 2)}
 
 
+def brute(messages):
+    """Whom each message answers, in plain Python: passages, else paragraphs, else lines."""
+    import re
+
+    def flat(text):
+        return " ".join(text.split()).lower()
+
+    def cut(text):
+        rows = [(re.match(r"[ \t]*((?:>[ \t]*)*)", x)[1].count(">"), re.sub(r"^[ \t]*((?:>[ \t]*)+)", "", x))
+                for x in (text or "").split("\n")]
+        for i, (level, body) in enumerate(rows[:-1]):
+            if re.search(r"(?i)^[ \t]*(on .* wrote|.* wrote|-+ *original message *-+)[ \t]*:?[ \t]*$", body) and (
+                    rows[i + 1][0] > level):
+                rows[i] = (-1, body)
+        found = []
+        for level, body in rows:
+            if found and found[-1][0] == level:
+                found[-1][1].append(body)
+            else:
+                found.append((level, [body]))
+        return [(level, "\n".join(bodies)) for level, bodies in found]
+
+    said = {}
+    for conv, turn, _, text in messages:
+        own = [t for level, t in cut(text) if level == 0]
+        parts = ["\n".join(own), *own, *[p for t in own for p in re.split(r"\n\s*\n", t)],
+                 *[x for t in own for x in t.split("\n")]]
+        for part in parts:
+            if flat(part):
+                said.setdefault((conv, flat(part)), turn)
+
+    out = {}
+    for conv, turn, _, text in messages:
+        votes, n = {}, 0
+
+        def vote(level, part):
+            nonlocal n
+            at = said.get((conv, flat(part)))
+            if at is None or at >= turn:
+                return False
+            votes[-level, at] = votes.get((-level, at), 0) + len(flat(part))
+            n += 1
+            return True
+
+        for level, passage in cut(text):
+            if level > 0 and flat(passage) and not vote(level, passage):
+                for paragraph in re.split(r"\n\s*\n", passage):
+                    if flat(paragraph) and not vote(level, paragraph):
+                        for x in paragraph.split("\n"):
+                            vote(level, x)
+        best = max(((level, chars, at) for (level, at), chars in votes.items()), default=None)
+        out[conv, turn] = (best and best[2], n)
+    return out
+
+
+def test_rewrapped_partial_quotes(found):
+    want = brute(WRAPPED)
+    assert {k: (found[k]["reply_to"], found[k]["n_linked"]) for k in want} == want
+    assert want == {(7, 0): (None, 0), (7, 1): (0, 2), (7, 2): (1, 1), (7, 3): (2, 2), (7, 4): (0, 2)}
+    assert [found[7, n]["thread"] for n in range(5)] == [0] * 5 and found[7, 3]["depth"] == 3
+
+
 def test_own_text(found):
     assert found[1, 0]["own_text"] == A
     assert found[1, 1]["own_text"] == "Good day to you."
