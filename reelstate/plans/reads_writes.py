@@ -7,7 +7,7 @@ from reelstate import schemas as S
 from reelstate.functions import documents, text
 from reelstate.operators import records, results
 from reelstate.plans import sql, standins
-from reelstate.plans.catalog import query
+from reelstate.plans.catalog import ORACLES, query
 from reelstate.plans.lookups import answered_documents
 from reelstate.plans.scalars import REPLY_LINES_SQL, order_replies
 from reelstate.session import scratch_path
@@ -127,6 +127,18 @@ def io3_event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.drop("event_time").withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@query(ORACLES["io3_event_append"])
+def io3_compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log from batches of hashed events, its busy days compacted twice while it grows."""
+    events = standins.task_events(spark, sf_dir)
+    path = scratch_path(spark, "compacted-log")
+    for batch in range(4):
+        event_log.append_events(events.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == batch), path, batch=str(batch))
+        event_log.compact_days(spark, path, events.schema, most=1)
+    log = event_log.read_events(spark, path, schema=events.schema)
+    return log.drop("event_time").withColumn("event_date", F.col("event_date").cast("string"))
+
+
 @query(sql.with_tables(
     """SELECT CAST(task_id AS VARCHAR) AS task_id, pos, "timestamp", horse_id, person_name,
          confidence, CAST(200 AS INTEGER) AS code

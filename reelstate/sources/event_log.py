@@ -1,4 +1,4 @@
-"""The append-only task event log: parquet, one folder per day."""
+"""The append-only task event log: parquet, one folder per day and batch."""
 
 import uuid
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructType
 
 from reelstate.schemas import STATUSES, TASK_EVENTS
+from reelstate.sources import compaction
 
 DAY = "event_date"
 BATCH = "event_batch"
@@ -39,19 +40,30 @@ def append_events(events: DataFrame, path: str, batch: str | None = None) -> Non
 def read_events(spark: SparkSession, path: str, days: tuple[str, str] | None = None,
                 schema=TASK_EVENTS) -> DataFrame:
     """The log, or the folders of an inclusive range of days."""
-    events = spark.read.schema(_with_day(schema)).parquet(path).drop(BATCH)
+    return _seen(spark, path, days, schema).drop(BATCH)
+
+
+def _seen(spark: SparkSession, path: str, days: tuple[str, str] | None, schema) -> DataFrame:
+    events = spark.read.schema(_with_day(schema)).parquet(path)
+    events = events.where(compaction.visible(spark, path, DAY, BATCH))
     if days is None:
         return events
     first, last = (F.lit(day).cast("date") for day in days)
     return events.filter(F.col(DAY).between(first, last))
 
 
+def compact_days(spark: SparkSession, path: str, schema=TASK_EVENTS, most: int = compaction.MOST_BATCHES,
+                 keep: int = compaction.KEEP) -> list[str]:
+    """Rewrite the days of more than ``most`` batches as one batch each; these days."""
+    return compaction.compact(_seen(spark, path, None, schema), path, DAY, BATCH, most, keep)
+
+
 def stream_events(spark: SparkSession, path: str, schema=TASK_EVENTS,
                   files_per_batch: int = 1_000) -> DataFrame:
     return (
         spark.readStream.schema(_with_day(schema))
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path).drop(BATCH)
+        .parquet(path).where(~F.col(BATCH).startswith(compaction.PREFIX)).drop(BATCH)
     )
 
 

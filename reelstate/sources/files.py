@@ -24,3 +24,27 @@ def mark(spark: SparkSession, path: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     files, found = _opened(spark, path)
     files.delete(found, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written aside and renamed: it is there whole or not at all."""
+    files, found = _opened(spark, path)
+    aside = found.suffix("._new")
+    out = files.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if files.exists(found):
+        files.delete(found, False)
+    files.rename(aside, found)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, found = _opened(spark, path)
+    stream = files.open(found)
+    try:
+        jvm = spark.sparkContext._jvm
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
