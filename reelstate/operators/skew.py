@@ -22,15 +22,17 @@ from reelstate.session import scratch_path
 HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
-    """Keys with more than ``limit`` rows, with the number of their rows as ``_hot``."""
-    counted = df.filter(_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot"))
+def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None, nulls: bool = False) -> DataFrame:
+    """Keys with more than ``limit`` rows, with the number of their rows as ``_hot``; with ``nulls`` NULL keys too."""
+    counted = df if nulls else df.filter(_not_null(keys))
+    counted = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot"))
     return counted.filter(F.col("_hot") > (limit or HOT_ROWS))
 
 
-def found_hot(df: DataFrame, keys: list[str], limit: int | None) -> tuple[DataFrame | None, int]:
+def found_hot(df: DataFrame, keys: list[str], limit: int | None,
+              nulls: bool = False) -> tuple[DataFrame | None, int]:
     """The hot keys of ``df``, written down, and their rows together; None without any."""
-    hot = hot_keys(df, keys, limit)
+    hot = hot_keys(df, keys, limit, nulls)
     rows = hot.agg(F.sum("_hot")).first()[0]
     return (_written(hot, "hot-keys"), rows) if rows else (None, 0)
 
@@ -50,10 +52,19 @@ def _not_null(keys: list[str]) -> Column:
 
 def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(cold, hot)`` rows of ``df``; hot rows carry ``_hot``."""
-    marked = df.join(hot, keys, "left").select(*df.columns, "_hot")
+    marked = _null_safe(df, hot, keys, "left").select(*df.columns, "_hot")
     return marked.filter("_hot IS NULL").drop("_hot"), marked.filter("_hot IS NOT NULL")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which NULL keys meet."""
+    named = right.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    match = F.lit(True)
+    for key in keys:
+        match = match & left[key].eqNullSafe(named[f"_of_{key}"])
+    return left.join(named, match, how).drop(*[f"_of_{key}" for key in keys])
+
+
 def in_pieces(hot: DataFrame, keys: list[str], order: list[str], rows: int,
               limit: int | None = None) -> DataFrame:
     """Hot rows cut into ``_piece``s of about ``limit`` rows, in the order of keys and ``order``.
@@ -119,10 +130,10 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], columns: list
 
     The rows of a piece of a hot key are sorted in one task, and the totals of its pieces, of
     which there are ``rows / limit``, in another, so no task sees a hot key whole. Rows with a NULL
-    key are one group and are not split: leave them out first where there may be many.
+    key are one group, and are split as others are.
     """
     rows = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found, many = found_hot(df, keys, limit)
+    found, many = found_hot(df, keys, limit, nulls=True)
     if found is None:
         return df.withColumns({c.name: c.local(rows) for c in columns})
     cold, hot = split_hot(df, keys, found)
@@ -139,9 +150,9 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], columns: list
     inside = W.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
+    local = hot.withColumns({f"_local_{c.name}": c.local(inside) for c in columns})
     hot = (
-        hot.withColumns({f"_local_{c.name}": c.local(inside) for c in columns})
-        .join(carried, [*keys, "_piece"])
+        _null_safe(local, carried, [*keys, "_piece"], "inner")
         .withColumns({
             c.name: c.merge(F.col(f"_carried_{c.name}"), F.col(f"_local_{c.name}"))
             for c in columns

@@ -8,7 +8,7 @@ from reelstate.plans import sql, standins
 from reelstate.plans.catalog import query
 from reelstate.schemas import STATUSES, TASK_EVENTS, UPLOADING
 from reelstate.session import scratch_path
-from reelstate.sources import event_log, replies, result_store, state_levels
+from reelstate.sources import event_log, history, replies, result_store, state_levels
 from reelstate.streaming import latest, progress
 
 FIELDS = ["status", "progress", "message", "processed_video_url"]
@@ -195,6 +195,20 @@ def w2_attempt_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(sql.with_tables(
+    f"SELECT task_id, seq, {', '.join(_carried(field) for field in FIELDS)}, attempt FROM attempts",
+    sql.TASK_EVENTS, _ATTEMPTS,
+))
+def w1_daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History and attempts, three parts of the log one after the other, each from the snapshot of the one before."""
+    events = standins.task_events(spark, sf_dir).drop("event_time")
+    path, last = scratch_path(spark, "history"), events.agg(F.max("seq")).first()[0] or 0
+    for day in range(3):
+        part = events.where((F.col("seq") * 3 / (last + 1)).cast("int") == day)
+        history.extend(part, path, day, FIELDS, F.col("status") == UPLOADING)
+    return history.read_history(spark, path)
+
+
 _LATE_ATTEMPTS = """
 late AS (
   SELECT task_id, seq, status, progress,

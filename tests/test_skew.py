@@ -130,6 +130,22 @@ def test_pieces_stay_small(spark, name):
     same(results.with_positions(rows, order, limit=limit), results.with_positions(rows, order))
 
 
+def test_null_keys_are_split_like_others(spark, events):
+    """A third of the rows without a key: same history as without a split, in pieces below the limit."""
+    rows = events.withColumn("task_id", F.when(F.col("seq") % 3 != 0, F.col("task_id")))
+    found = skew.found_hot(rows, ["task_id"], LIMIT, nulls=True)[0]
+    assert found.where("task_id IS NULL").count() == 1
+    cold, hot = skew.split_hot(rows, ["task_id"], found)
+    many = rows.where("task_id IS NULL").count()
+    assert hot.where("task_id IS NULL").count() == many and cold.where("task_id IS NULL").count() == 0
+    pieces = skew.in_pieces(hot.where("task_id IS NULL"), ["task_id"], ["seq"], many, LIMIT)
+    assert max(r["count"] for r in pieces.groupBy("_piece").count().collect()) <= 2 * LIMIT
+    for build in (lambda limit: state.state_history(rows, ["status"], limit=limit),
+                  lambda limit: state.number_attempts(rows, F.col("status") == "uploading", limit=limit),
+                  lambda limit: results.with_positions(rows, ["seq"], limit=limit)):
+        same(build(LIMIT), build(None))
+
+
 def test_documents_in_parts(events):
     flat = results.with_positions(events, ["seq"]).select(
         "task_id", "pos", F.col("at").cast("string").alias("timestamp"),
