@@ -15,6 +15,8 @@ from reelstate.sources import landing, listing, state_levels
 from reelstate.streaming import eviction, expiry, latest, progress, timeline
 
 DRAIN = {"availableNow": True}
+# The given tables are small: a few buckets hold them.
+LAYOUT = state_levels.Layout(buckets=4)
 
 
 def _drain(running: StreamingQuery) -> None:
@@ -62,7 +64,7 @@ def t3_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = scratch_path(spark, "latest-state")
     running = latest.latest_state_stream(_event_stream(spark, sf_dir), FIELDS)
     checkpoint = scratch_path(spark, "latest-checkpoint")
-    _drain(latest.publish_state(running, table, checkpoint, FIELDS, trigger=DRAIN))
+    _drain(latest.publish_state(running, table, checkpoint, FIELDS, trigger=DRAIN, layout=LAYOUT))
     return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
 
 
@@ -79,7 +81,8 @@ def t3_restarted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         checkpoint = scratch_path(spark, "restart-checkpoint")
         with eviction.rocksdb_store(spark):
             # a new checkpoint numbers its batches from 0 again
-            _drain(latest.publish_state(running, table, checkpoint, FIELDS, trigger=DRAIN, first_batch=half * 1000))
+            _drain(latest.publish_state(running, table, checkpoint, FIELDS, trigger=DRAIN, layout=LAYOUT,
+                                         first_batch=half * 1000))
     return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)
 
 
@@ -117,7 +120,8 @@ def t4_followed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = eviction.follow_tasks(_event_stream(spark, sf_dir), late_milliseconds=None)
     checkpoint = scratch_path(spark, "follow-checkpoint")
     with eviction.rocksdb_store(spark):
-        _drain(latest.publish_changes(changes, table, checkpoint, drop="followed = false", trigger=DRAIN))
+        _drain(latest.publish_changes(changes, table, checkpoint, drop="followed = false", trigger=DRAIN,
+                                       layout=LAYOUT))
     newest = state_levels.read_state(spark, table, ["row"])
     return newest.filter("row.followed").select("task_id", F.col("last_seq").alias("seq"), "row.status")
 
@@ -148,14 +152,20 @@ def t5_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch_path(spark, name) for name in ("requests", "state", "answers", "answer-checkpoint")
     )
     for step in range(STEPS):
-        part = events.filter(F.col("seq") % STEPS == step)
-        state_levels.store_batch(state_levels.merge_events(part, fields), table, step, fields)
-        asked.filter(F.col("request_id") % STEPS == step).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(asked.schema).parquet(folder)
-        _drain(progress.answer_stream(
-            stream, lambda batch: state_levels.read_state(spark, table, fields, asked=batch).select("task_id", *fields),
-            answers, checkpoint,
-        ))
+        asked.filter(F.col("request_id") % STEPS == step).coalesce(1).write.mode("append").parquet(folder)
+    grown = 0
+
+    def state_now(batch: DataFrame) -> DataFrame:
+        nonlocal grown
+        for step in range(grown, batch.first().request_id % STEPS + 1):
+            part = events.filter(F.col("seq") % STEPS == step)
+            rows = state_levels.merge_events(part, fields)
+            state_levels.store_batch(rows, table, step, fields, layout=LAYOUT)
+            grown = step + 1
+        return state_levels.read_state(spark, table, fields, asked=batch).select("task_id", *fields)
+
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    _drain(progress.answer_stream(stream, state_now, answers, checkpoint))
     return progress.read_answers(spark, answers)
 
 
@@ -165,5 +175,5 @@ def t6_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = scratch_path(spark, "upserted-state")
     events = _event_stream(spark, sf_dir)
     checkpoint = scratch_path(spark, "upsert-checkpoint")
-    _drain(latest.upsert_stream(events, table, checkpoint, FIELDS, trigger=DRAIN))
+    _drain(latest.upsert_stream(events, table, checkpoint, FIELDS, trigger=DRAIN, layout=LAYOUT))
     return state_levels.read_state(spark, table, FIELDS).select("task_id", "last_seq", *FIELDS)

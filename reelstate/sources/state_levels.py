@@ -129,13 +129,15 @@ def store_batch(rows: DataFrame, table: str, batch_id: int, fields: Sequence[str
         return
     layout = last.layout if last else layout or Layout()
     number = last.number + 1 if last else 0
-    added = rows.withColumn("bucket", bucket_of(key, layout))
+    merged = rows.withColumn("bucket", bucket_of(key, layout))
     old = _parts(spark, table, layout, set(layout.due(number)))
-    if old is not None:
+    if old is None:  # nothing to merge with: the rows are merged already
+        merged = merged.repartition("bucket")
+    else:
         place = [F.col(name) for name in PLACE]
         leaving = old.where((F.col("until") < number) & (layout.merged_at(*place) == number))
-        added = added.unionByName(leaving.drop("level", "until"))
-    merged = added.repartition("bucket").groupBy("bucket", key).agg(*merged_fields(fields, order))
+        both = merged.unionByName(leaving.drop("level", "until"))
+        merged = both.repartition("bucket").groupBy("bucket", key).agg(*merged_fields(fields, order))
     merged = merged.withColumns({"level": layout.level_at(F.col("bucket"), number), "until": F.lit(number)})
     if drop:
         merged = merged.where(f"level < {layout.levels} OR NOT coalesce({drop}, false)")
@@ -181,19 +183,19 @@ def read_state(spark: SparkSession, table: str, fields: Sequence[str], key: str
     """The table as of its last batch: one row for each key.
 
     With ``asked``, a DataFrame of keys, only what may hold them is read: the buckets of its keys and, up to ``POINTS``
-    keys, the pages of their files that the keys fall into. Other keys may be among the rows.
+    rows, the pages of their files that the keys fall into. Other keys may be among the rows.
     """
     last = Commit.last(spark, table)
     if last is None:
         raise ValueError(f"no state in {table} yet")
     layout, points, buckets = last.layout, None, set(range(last.layout.buckets))
     if asked is not None:
-        wanted = asked.select(key).where(F.col(key).isNotNull()).distinct()
-        some = wanted.select(key, bucket_of(key, layout)).limit(POINTS + 1).collect()
+        wanted = asked.select(key, bucket_of(key, layout).alias("_bucket")).where(F.col(key).isNotNull())
+        some = wanted.limit(POINTS + 1).collect()
         if len(some) <= POINTS:
-            points, buckets = [k for k, _ in some], {b for _, b in some}
-        else:
-            buckets = {b for b, in wanted.select(bucket_of(key, layout)).distinct().collect()}
+            points, buckets = sorted({k for k, _ in some}), {b for _, b in some}
+        elif layout.buckets > POINTS:  # else so many rows are in nearly all buckets
+            buckets = {b for b, in wanted.select("_bucket").distinct().collect()}
     parts = _parts(spark, table, layout, buckets)
     if parts is None:  # none of the keys has a bucket with rows
         parts, points = _parts(spark, table, layout, set(range(layout.buckets))), []

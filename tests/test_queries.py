@@ -37,6 +37,12 @@ def test_matches_sql(spark, oracle, sf_dir, name):
     check(spark, oracle, sf_dir, name)
 
 
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if n.startswith("io3_")))
+def test_matches_sql_the_second_time(spark, oracle, sf_dir, name):
+    """Nothing that a query leaves behind changes the next run in the same process."""
+    check(spark, oracle, sf_dir, name)
+
+
 @pytest.mark.parametrize("name", WITH_HOT_KEYS)
 def test_matches_sql_when_most_keys_are_hot(spark, oracle, sf_dir, name, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 4)
