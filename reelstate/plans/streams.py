@@ -162,7 +162,8 @@ def t5_request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = state_levels.merge_events(part, fields)
             state_levels.store_batch(rows, table, step, fields, layout=LAYOUT)
             grown = step + 1
-        return state_levels.read_state(spark, table, fields, asked=batch).select("task_id", *fields)
+        # with the batch's own session, whose settings hold for its reads
+        return state_levels.read_state(batch.sparkSession, table, fields, asked=batch).select("task_id", *fields)
 
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     _drain(progress.answer_stream(stream, state_now, answers, checkpoint))

@@ -23,7 +23,7 @@ def answer_stream(requests: DataFrame, state_now: Callable[[DataFrame], DataFram
                   trigger: dict | None = None) -> StreamingQuery:
     """Answer the requests of a stream from the state at the time of each micro-batch.
 
-    ``state_now`` is called with every batch and opens the state anew, what the batch asks for at
+    ``state_now`` is called with every batch and opens the state anew in the batch's session, what the batch asks for at
     least; a stream-static join would keep the files that were there when the stream started. Hot
     request keys are split as in batch lookups. A batch that is run again replaces its own answers.
     """
