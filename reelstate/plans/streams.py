@@ -11,7 +11,7 @@ from reelstate.plans.reads_writes import TABLE_FILES, UPLOADED, file_facts, land
 from reelstate.plans.scalars import s_m1_transfer_percent
 from reelstate.plans.states import FIELDS
 from reelstate.session import scratch_path
-from reelstate.sources import landing, listing, state_levels
+from reelstate.sources import files, landing, listing, state_levels
 from reelstate.streaming import eviction, expiry, latest, progress, timeline
 
 DRAIN = {"availableNow": True}
@@ -88,7 +88,7 @@ def t3_restarted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(AS_OF)
 def j3_as_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polls and events as streams, the files of either out of order; a last row of each moves the watermark on."""
+    """Polls and events as streams in three batches out of order; a last row of each stream moves the watermark on."""
     events, fields = standins.task_events(spark, sf_dir), ["status", "progress"]
     columns = ["task_id", "event_time", "seq", *fields]
     rows = {"polls": events.where("status = 'error'").select("task_id", "event_time", F.col("seq").alias("request_id")),
@@ -96,12 +96,14 @@ def j3_as_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = events.agg((F.max("event_time") + F.expr("INTERVAL 4000 DAYS")).alias("event_time"))
     streams = {}
     for name, df in rows.items():
-        folder = scratch_path(spark, name)
+        folder, first = scratch_path(spark, name), 0
         for part in (df.where("seq % 2 = 1" if name == "events" else "request_id % 2 = 1"),
                      df.where("seq % 2 = 0" if name == "events" else "request_id % 2 = 0"),
                      df.limit(0).unionByName(end, allowMissingColumns=True)):
-            part.coalesce(1).write.mode("append").parquet(folder)
-        streams[name] = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            part.write.mode("append").parquet(folder)
+            # as many files a batch as the first part has
+            first = first or sum(x.endswith(".parquet") for x in files.names(spark, folder))
+        streams[name] = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", first).parquet(folder)
     answers = timeline.as_of_stream(streams["polls"], streams["events"], fields, delay="2000 days")
     with eviction.rocksdb_store(spark):
         return _appended(answers, "as-of-answers").where("task_id IS NOT NULL").select(

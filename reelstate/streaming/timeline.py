@@ -11,12 +11,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of a task that are one entry of its state.
+CHUNK = 1_000
+
 
 class AnswerAsOf(StatefulProcessor):
     """Holds, for each task, its polls and events that the watermark has not passed, and one record of all before.
 
     Once the watermark has passed a poll no event before it can come any more: the poll is answered, and the events
     up to it are folded into the record. What is held is bounded by the events and polls of the watermark's delay.
+    A task has one timer, at the earliest row that it holds: however many rows the watermark passes at once, they are
+    read, sorted and folded once. The rows of a batch are stored in one call, up to ``CHUNK`` of them as one entry.
     """
 
     def __init__(self, fields: Sequence[str], kinds: Sequence[str], poll: str):
@@ -24,50 +29,59 @@ class AnswerAsOf(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        columns = ", ".join(f"`{name}` {kind}" for name, kind in zip(self.fields, self.kinds))
-        self.record = handle.getValueState("record", columns)
-        self.events = handle.getListState("events", f"at BIGINT, seq BIGINT, {columns}")
-        self.polls = handle.getListState("polls", f"at BIGINT, id {self.poll}")
+        columns = list(zip(self.fields, self.kinds))
+        self.record = handle.getValueState("record", ", ".join(f"`{name}` {kind}" for name, kind in columns))
+        row = [("_at", "BIGINT"), ("_is_poll", "BOOLEAN"), ("_seq", "BIGINT"), ("_id", self.poll), *columns]
+        self.held = handle.getListState("held", ", ".join(f"`{name}` ARRAY<{kind}>" for name, kind in row))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        instants = set()
-        for row in rows:
-            instants.add(row["_at"])
-            if row["_is_poll"]:
-                self.polls.appendValue((row["_at"], row["_id"]))
-            else:
-                self.events.appendValue((row["_at"], row["_seq"], *[row[name] for name in self.fields]))
-        for at in instants:  # a poll sees the events of its own instant
-            self.handle.registerTimer(at // 1000 + 1)
+        names = ["_at", "_is_poll", "_seq", "_id", *self.fields]
+        new = [tuple(row[name] for name in names) for row in rows]
+        first = _passed_at(new)
+        self.held.appendList(_chunks(new))
+        timers = list(self.handle.listTimers())
+        if not timers or first < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # timers are in milliseconds: all that lies before this one is complete
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        polls = [tuple(x) for x in self.polls.get()] if self.polls.exists() else []
-        events = [tuple(x) for x in self.events.get()] if self.events.exists() else []
-        record = list(self.record.get()) if self.record.exists() else [None] * len(self.fields)
-        due = sorted([(p[0], 1, 0, p) for p in polls if p[0] < until]
-                     + [(e[0], 0, e[1], e) for e in events if e[0] < until], key=lambda x: x[:3])
-        for _, is_poll, _, values in due:
+        # all that lies before the watermark, which is in milliseconds, is complete
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for chunk in self.held.get():
+            for row in zip(*chunk):
+                (due if row[0] < until else later).append(row)
+        before = self.record.get()
+        record = list(before) if before else [None] * len(self.fields)
+        # a poll sees the events of its own instant
+        for at, is_poll, _, poll, *values in sorted(due, key=lambda x: (x[0], x[1], 0 if x[1] else x[2])):
             if is_poll:
-                yield Row(**{"_key": key[0], "_at": values[0], "_id": values[1],
-                             **dict(zip(self.fields, record))})
+                yield Row(**{"_key": key[0], "_at": at, "_id": poll, **dict(zip(self.fields, record))})
             else:
-                record = [old if new is None else new for old, new in zip(record, values[2:])]
-        if due:
-            self._keep(self.polls, [p for p in polls if p[0] >= until])
-            self._keep(self.events, [e for e in events if e[0] >= until])
-            self.record.update(tuple(record))
-
-    @staticmethod
-    def _keep(state, rows: list[tuple]) -> None:
-        state.put(rows) if rows else state.clear()
+                record = [old if new is None else new for old, new in zip(record, values)]
+        self.record.update(tuple(record))
+        if later:
+            self.held.put(_chunks(later))
+            self.handle.registerTimer(_passed_at(later))
+        else:
+            self.held.clear()
 
     def close(self) -> None:
         pass
 
 
+def _chunks(rows: list[tuple]) -> list[tuple]:
+    """Rows as entries of the state, each with a list for every column."""
+    return [tuple(map(list, zip(*rows[n:n + CHUNK]))) for n in range(0, len(rows), CHUNK)]
+
+
+def _passed_at(rows: list[tuple]) -> int:
+    """The watermark, in milliseconds, that has passed the earliest row."""
+    return min(row[0] for row in rows) // 1000 + 1
+
+
 def as_of_stream(polls: DataFrame, events: DataFrame, fields: Sequence[str], key: str = "task_id",
                  at: str = "event_time", poll: str = "request_id", order: str = "seq",
                  delay: str = "10 minutes") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,64 @@ def test_polls_on_a_stream_equal_the_batch_form(spark):
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert len([p for p in query.recentProgress if p["stateOperators"] and p["sink"]["numOutputRows"]]) > 2
     assert sizes[-1] < 100, sizes
+
+
+class Store:
+    """Stands in for a task's state and timers, and counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self._state(get=lambda: self.value, update=lambda row: setattr(self, "value", row),
+                           exists=lambda: self.value is not None)
+
+    def getListState(self, name, schema):
+        held = []
+        return self._state(get=lambda: iter(list(held)), exists=lambda: bool(held), appendValue=held.append,
+                           appendList=held.extend, put=lambda rows: held.__setitem__(slice(None), rows), clear=held.clear)
+
+    def _state(self, **calls):
+        return SimpleNamespace(**{name: self._counted(call) for name, call in calls.items()})
+
+    def _counted(self, call):
+        def counted(*values):
+            self.calls += 1
+            return call(*values)
+        return counted
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def pass_by(self, processor, watermark):
+        """What a watermark, in milliseconds, brings."""
+        times, found = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), []
+        for at in sorted(at for at in self.timers if at <= watermark):
+            expired = SimpleNamespace(getExpiryTimeInMs=lambda: at)
+            found += processor.handleExpiredTimer(("a",), times, expired)
+            self.timers.discard(at)
+        return [(row["_at"], row["_id"], row["status"]) for row in found]
+
+
+def test_a_task_is_folded_once_for_all_rows_that_the_watermark_passes():
+    """The calls to the state's store do not grow with the rows of a task, and some rows stay for the next watermark."""
+    store = Store()
+    processor = timeline.AnswerAsOf(["status"], ["string"], "bigint")
+    processor.init(store)
+    rows = [{"_at": n * 1_000_000, "_is_poll": n % 4 == 3, "_id": n, "_seq": n, "status": None if n % 4 == 1 else f"s{n}"}
+            for n in range(4_000)]
+    for some in (rows[1::2], rows[::2]):
+        list(processor.handleInputRows(("a",), iter(some), None))
+    first, last = store.pass_by(processor, 2_002_000), store.pass_by(processor, 5_000_000)
+    assert first + last == [(n * 1_000_000, n, f"s{n - 1}") for n in range(3, 4_000, 4)]
+    assert first[-1][1] == 1_999 and not store.timers
+    assert store.calls < 40
