@@ -27,6 +27,10 @@ def reply_messages(replies: DataFrame, key: str = "task_id") -> DataFrame:
     )
 
 
-def write_replies(replies: DataFrame, path: str, key: str = "task_id") -> None:
-    """One compact JSON line per reply."""
-    reply_messages(replies, key).select("value").write.text(path)
+def write_replies(replies: DataFrame, path: str, key: str = "task_id", compression: str = "gzip") -> None:
+    """One compact JSON line per reply, in compressed files that ``read_replies`` and other readers of text open as such.
+
+    Keys and repeated values are most of a reply: its files take a tenth of the text or less. A file is one task's work
+    to read, as it was to write. ``compression`` "none" writes plain text.
+    """
+    reply_messages(replies, key).select("value").write.text(path, compression=compression)

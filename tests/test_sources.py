@@ -104,6 +104,21 @@ def test_reply_messages_have_key_and_value(spark):
     assert (row.key, json.loads(row.value)["data"]) == ("t1", {"task_id": "t1"})
 
 
+def test_replies_take_little_room(spark, tmp_path):
+    """Files of replies hold a fraction of the text, and read back as the same lines."""
+    uploads = spark.range(20_000).selectExpr("CAST(id AS STRING) AS task_id")
+    sent = records.accepted_replies(uploads)
+    lines = [r.value for r in replies.reply_messages(sent).collect()]
+    path = tmp_path / "replies"
+    replies.write_replies(sent, str(path))
+    taken = sum(f.stat().st_size for f in path.iterdir() if f.name.startswith("part-"))
+    assert taken < sum(len(line.encode()) + 1 for line in lines) / 5
+    assert sorted(r.value for r in spark.read.text(str(path)).collect()) == sorted(lines)
+    assert replies.read_replies(spark, str(path)).where("code = 200").select("data.task_id").distinct().count() == 20_000
+    replies.write_replies(sent.limit(3), str(tmp_path / "plain"), compression="none")
+    assert sum(len(f.read_text(encoding="utf-8").splitlines()) for f in (tmp_path / "plain").glob("part-*.txt")) == 3
+
+
 def test_missing_steps(spark):
     rows = [("a", p) for p in (0, 10, 20, 45, 100)] + [("b", None)]
     gaps = records.missing_steps(spark.createDataFrame(rows, "task_id STRING, progress INT"))
